@@ -51,8 +51,12 @@ def noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, quiet, n))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, least_docs: int = 5, ridge: float = 1e-4, rate: float = 0.3) -> Model:
-    """Weights of words in at least ``least_docs`` documents, by adaptive gradient steps on the documents' log loss."""
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, least_docs: int = 5, least_z: float = 4.0, ridge: float = 1e-3, rate: float = 0.3) -> Model:
+    """Word weights by adaptive gradient steps on the documents' log loss.
+
+    Words count that ``least_docs`` documents hold and whose share among toxic ones is off by ``least_z`` standard
+    deviations: with so few labels the rest would only be learned by heart.
+    """
     hs, sents, rows, n_s, n_d = [], [], [], 0, 0
     for part in W.slices(texts, 1 << 24):
         h, sentence, row, _, _ = sentence_words(part)
@@ -65,7 +69,10 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, least_docs: int
     h, sentence, row = np.concatenate(hs), np.concatenate(sents), np.concatenate(rows)
     vocab, word = np.unique(h, return_inverse=True)
     pairs = np.unique(row[sentence] * len(vocab) + word.ravel())
-    common = np.bincount(pairs % len(vocab), minlength=len(vocab)) >= least_docs
+    df = np.bincount(pairs % len(vocab), minlength=len(vocab))
+    toxic = np.bincount(pairs % len(vocab), labels[pairs // len(vocab)], len(vocab))
+    share = labels.mean()
+    common = (df >= least_docs) & (np.abs(toxic - df * share) >= least_z * np.sqrt(df * share * (1 - share)))
     place = np.cumsum(common) - 1
     keep = common[word.ravel()]
     word, sentence = place[word.ravel()[keep]], sentence[keep]
@@ -75,7 +82,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, least_docs: int
     slope, slope_bias = np.full(len(vocab), 1e-8), 1e-8
     for _ in range(rounds):
         z = bias + np.bincount(sentence, weight[word], n_s)
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0, -z))
         whole = np.clip(noisy_or(z, row, n_d), 1e-9, 1 - 1e-9)
         back = p * (1 - y / whole)[row] / n_d
         grad = np.bincount(word, back[sentence], len(vocab)) + ridge * weight / len(y)

@@ -42,7 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = labels.count()
     # the training rows are drawn before the texts are joined: see fit_docs
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labels.where(draw <= min(1.0, 6000 / max(1, n)))
+    drawn = labels.where(draw <= min(1.0, 20_000 / max(1, n)))
     model = toxicity.fit_toxicity(docs.where(~F.col("held_out")).join(drawn, "doc_id"))
     return toxicity.score_toxicity(docs, model, sentences=False).select("doc_id", "held_out", "score", "predicted")
 

@@ -51,7 +51,7 @@ def noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, quiet, n))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, least_docs: int = 5, least_z: float = 4.0, ridge: float = 1e-3, rate: float = 0.3) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 400, least_docs: int = 5, least_z: float = 4.0, ridge: float = 1e-3, rate: float = 1.0) -> Model:
     """Word weights by adaptive gradient steps on the documents' log loss.
 
     Words count that ``least_docs`` documents hold and whose share among toxic ones is off by ``least_z`` standard
@@ -95,7 +95,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 150, least_docs: int
     return Model(vocab[order], weight[order], float(bias))
 
 
-def fit_toxicity(labelled: DataFrame, *, fit_docs: int = 6000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
+def fit_toxicity(labelled: DataFrame, *, fit_docs: int = 20_000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
     """From about ``fit_docs`` labelled rows drawn by a hash of the id: the bound of the training sample, fitted in one task.
 
     Rows without text or label teach nothing; without rows of both labels every score is about 0.

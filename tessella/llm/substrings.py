@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import extended, materialize
 
-CONTEXTS = "key long, doc_id long, uid long, start int, text binary"
-REMOVED = "doc_id long, uid long, start int, n int"
-EXACT = "k1 long, k2 long, doc_id long, uid long, start int"
+CONTEXTS = "key long, doc_id long, uid int, start int, text binary"
+REMOVED = "doc_id long, uid int, start int, n int"
+EXACT = "k1 long, k2 long, doc_id long, uid int, start int"
 
 
 class SuffixAutomaton:
@@ -219,14 +219,14 @@ def _match(contexts: DataFrame, min_words: int) -> DataFrame:
     return parted.mapInArrow(run, REMOVED)
 
 
-def repeated_windows(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 20_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 5_000) -> DataFrame:
     """(doc_id, uid, start, n): runs of windows of (doc_id, uid, text) rows that documents with smaller ids hold too.
 
     Anchors that two documents share are found by count, combined before the shuffle. An anchor of more
     than ``hot_docs`` documents would make a large shard: its windows are taken one by one and settled by
     their smallest document, an exact way of the same outcome that has no large group.
     """
-    gram = max(1, min_words // 2 - 1)
+    gram = max(1, min_words // 3)
     known = docs.where("doc_id is not null and text is not null")
     marks = _fingerprints(known, min_words, gram)
     shared = materialize(marks.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"))
@@ -242,7 +242,7 @@ def repeated_windows(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 20
     return _match(_contexts(rows(False), min_words, gram), min_words).unionByName(settled)
 
 
-def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 5_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` without words covered by ``min_words`` consecutive ones that a document with a smaller id holds too.
 
     Words are runs of anything but ASCII white space, unchanged; windows are judged on the input. Adds n_words,
@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 20_0
     names = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     docs = docs.drop(*names)
     fields = docs.schema
-    rows = docs.withColumn("_uid", F.xxhash64(id_col, text_col))
+    rows = docs.withColumn("_uid", F.hash(id_col, text_col))
     plain = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_uid").alias("uid"), F.col(text_col).alias("text"))
     gone = repeated_windows(plain, min_words=min_words, hot_docs=hot_docs)
     gone = gone.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("uid").alias("_uids"), F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_ns"))

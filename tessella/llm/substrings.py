@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import extended, materialize
 
+UID, MARKS, OF = "__uid", "__marks", "__of"
 CONTEXTS = "key long, doc_id long, uid int, start int, text binary"
 REMOVED = "doc_id long, uid int, start int, n int"
 EXACT = "k1 long, k2 long, doc_id long, uid int, start int"
@@ -132,13 +133,13 @@ def _marked(part: W.Slice, marks: list[np.ndarray], min_words: int, gram: int) -
     return w, v, hit & ok
 
 
-def _contexts(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
+def _contexts(rows: DataFrame, id_col: str, text_col: str, min_words: int, gram: int) -> DataFrame:
     """Each stretch of windows with one shared anchor: key (the anchor), doc_id, uid, start word and its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, uids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            for part in W.slices(batch.column(2)):
+            ids, uids, marks = batch.column(id_col).to_numpy(), batch.column(UID).to_numpy(), batch.column(MARKS)
+            for part in W.slices(batch.column(text_col)):
                 own = [marks[i].values.to_numpy() for i in range(part.lo, part.hi)]
                 w, v, hit = _marked(part, own, min_words, gram)
                 new, doc = hit.copy(), w.doc[: len(v)]
@@ -154,16 +155,16 @@ def _contexts(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
                 text = [b" ".join(raw[a:b].split()) for a, b in zip(lo.tolist(), hi.tolist())]
                 yield _batch(CONTEXTS, [W.longs(v[begin]), ids[part.lo + row], uids[part.lo + row], (begin - w.first[row]).astype(np.int32), text])
 
-    return rows.select("doc_id", "uid", "text", "marks").mapInArrow(run, CONTEXTS)
+    return rows.mapInArrow(run, CONTEXTS)
 
 
-def _exact(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
+def _exact(rows: DataFrame, id_col: str, text_col: str, min_words: int, gram: int) -> DataFrame:
     """Windows themselves, by a 128-bit hash, for anchors that very many documents share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, uids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            for part in W.slices(batch.column(2)):
+            ids, uids, marks = batch.column(id_col).to_numpy(), batch.column(UID).to_numpy(), batch.column(MARKS)
+            for part in W.slices(batch.column(text_col)):
                 own = [marks[i].values.to_numpy() for i in range(part.lo, part.hi)]
                 w, _, hit = _marked(part, own, min_words, gram)
                 at = np.flatnonzero(hit)
@@ -171,7 +172,7 @@ def _exact(rows: DataFrame, min_words: int, gram: int) -> DataFrame:
                 one, two = W.grams(w.hash, min_words)[at], W.grams(W.mix(w.hash + W.GRAM), min_words)[at]
                 yield _batch(EXACT, [W.longs(one), W.longs(two), ids[part.lo + row], uids[part.lo + row], (at - w.first[row]).astype(np.int32)])
 
-    return rows.select("doc_id", "uid", "text", "marks").mapInArrow(run, EXACT)
+    return rows.mapInArrow(run, EXACT)
 
 
 def _match(contexts: DataFrame, min_words: int) -> DataFrame:
@@ -219,27 +220,27 @@ def _match(contexts: DataFrame, min_words: int) -> DataFrame:
     return parted.mapInArrow(run, REMOVED)
 
 
-def repeated_windows(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 5_000) -> DataFrame:
-    """(doc_id, uid, start, n): runs of windows of (doc_id, uid, text) rows that documents with smaller ids hold too.
+def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_docs: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, uid, start, n): runs of windows that documents with smaller ids hold too.
 
-    Anchors that two documents share are found by count, combined before the shuffle. An anchor of more
-    than ``hot_docs`` documents would make a large shard: its windows are taken one by one and settled by
-    their smallest document, an exact way of the same outcome that has no large group.
+    ``known`` has a row tag named UID, and neither ids nor texts that are null. Anchors that two documents share are found by
+    count, combined before the shuffle. An anchor of more than ``hot_docs`` documents would make a large shard: its
+    windows are taken one by one and settled by their smallest document, an exact way of the same outcome that
+    has no large group. Whole rows go into the join with their marks, as they do in ``remove_repeats``: Spark shuffles them once for all.
     """
     gram = max(1, min_words // 3)
-    known = docs.where("doc_id is not null and text is not null")
-    marks = _fingerprints(known, min_words, gram)
+    marks = _fingerprints(known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_words, gram)
     shared = materialize(marks.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"))
     pairs = materialize(marks.join(shared, "v").select("doc_id", "v", (F.col("n") > hot_docs).alias("hot")))
 
     def rows(hot: bool) -> DataFrame:
-        own = pairs.where(F.col("hot") == hot).groupBy("doc_id").agg(F.collect_list("v").alias("marks"))
-        return known.join(own, "doc_id")
+        own = pairs.where(F.col("hot") == hot).groupBy(F.col("doc_id").alias(OF)).agg(F.collect_list("v").alias(MARKS))
+        return known.join(own, F.col(id_col) == F.col(OF))
 
-    windows = _exact(rows(True), min_words, gram)
+    windows = _exact(rows(True), id_col, text_col, min_words, gram)
     first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
     settled = windows.join(first, ["k1", "k2"]).where("doc_id > first").select("doc_id", "uid", "start", F.lit(1).alias("n"))
-    return _match(_contexts(rows(False), min_words, gram), min_words).unionByName(settled)
+    return _match(_contexts(rows(False), id_col, text_col, min_words, gram), min_words).unionByName(settled)
 
 
 def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 5_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -253,26 +254,28 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 5_00
     names = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     docs = docs.drop(*names)
     fields = docs.schema
-    rows = docs.withColumn("_uid", F.hash(id_col, text_col))
-    plain = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_uid").alias("uid"), F.col(text_col).alias("text"))
-    gone = repeated_windows(plain, min_words=min_words, hot_docs=hot_docs)
-    gone = gone.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("uid").alias("_uids"), F.collect_list("start").alias("_starts"), F.collect_list("n").alias("_ns"))
-    joined = rows.join(gone, F.col(id_col) == F.col("_of"), "left").drop("_of")
+    rows = docs.withColumn(UID, F.hash(id_col, text_col))
+    fine = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
+    gone = repeated_windows(rows.where(fine), min_words=min_words, hot_docs=hot_docs, id_col=id_col, text_col=text_col)
+    lists = [F.collect_list(c).alias(f"__{c}s") for c in ("uid", "start", "n")]
+    gone = gone.groupBy(F.col("doc_id").alias(OF)).agg(*lists)
+    joined = rows.where(fine).join(gone, F.col(id_col) == F.col(OF), "left").drop(OF)
+    joined = joined.unionByName(rows.where(~fine), allowMissingColumns=True)
     schema = extended(fields, *list(zip(names, ("long", "long", "string", "string")))[: 3 + keep_text])
     width = len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = {n: batch.column(n) for n in ("_uid", "_uids", "_starts", "_ns")}
+            get = {n: batch.column(n) for n in (UID, "__uids", "__starts", "__ns")}
             texts = batch.column(text_col)
             n_words, n_removed, shas, kept = [], [], [], []
             for i in range(batch.num_rows):
                 text = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else b""
                 tokens = text.split()
                 n_words.append(len(tokens))
-                if get["_uids"][i].is_valid:
-                    mine = get["_uids"][i].values.to_numpy() == get["_uid"][i].as_py()
-                    starts, ns = get["_starts"][i].values.to_numpy()[mine], get["_ns"][i].values.to_numpy()[mine]
+                if get["__uids"][i].is_valid:
+                    mine = get["__uids"][i].values.to_numpy() == get[UID][i].as_py()
+                    starts, ns = get["__starts"][i].values.to_numpy()[mine], get["__ns"][i].values.to_numpy()[mine]
                     edge = np.zeros(len(tokens) + 1, np.int32)
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + ns + min_words - 1, -1)

@@ -68,7 +68,7 @@ def _upto(t: Column, block: int) -> Column:
     return (chosen(k) - chosen(F.lit(0))) * block + (t - k * block) * (chosen(k + 1) - chosen(k))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block_words: int = 64, shard_docs: int = 20_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block_words: int = 64, shard_docs: int = 1_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """How many words of each document a mix takes whose sources meet target weights.
 
     Sources weigh ``weights`` in turn, by code point, null last (null is a source of its own),

@@ -74,4 +74,7 @@ def with_views(sql: str) -> str:
     views = ", ".join(f"{n} AS ({SQL[n]})" for n in reversed(need))
     if not views:
         return sql
-    return f"WITH {views}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {views} {sql}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(start):
+            return f"{start}{views}, {sql[len(start):]}"
+    return f"WITH {views} {sql}"

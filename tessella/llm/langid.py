@@ -132,7 +132,7 @@ def word_runs(part: W.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 def fit(texts: pa.Array, pieces: Pieces, rounds: int = 4, extra: float = 0.1) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over all segmentations."""
     groups: list[tuple[np.ndarray, dict[int, np.ndarray], int]] = []
-    for part in W.slices(texts, 1 << 22):
+    for part in W.slices(texts, 1 << 21):
         start, end, h, _ = word_runs(part)
         _, first, count = np.unique(h, return_index=True, return_counts=True)
         for own, matrix in by_length(part.data, start[first], end[first]):
@@ -217,7 +217,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
             lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if own.langs:
-                for part in W.slices(texts, 8 << 20):
+                for part in W.slices(texts, 2 << 20):
                     logs = log_likelihoods(part, own)
                     logs -= logs.max(axis=1, keepdims=True)
                     post = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)

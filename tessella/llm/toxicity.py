@@ -58,7 +58,7 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 400, least_docs: int
     deviations: with so few labels the rest would only be learned by heart.
     """
     hs, sents, rows, n_s, n_d = [], [], [], 0, 0
-    for part in W.slices(texts, 1 << 24):
+    for part in W.slices(texts, 1 << 21):
         h, sentence, row, _, _ = sentence_words(part)
         hs.append(h)
         sents.append(sentence + n_s)
@@ -134,7 +134,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", sen
         for batch in batches:
             texts = batch.column(text_col)
             score, found = np.zeros(len(texts)), [[] for _ in range(len(texts) * sentences)]
-            for part in W.slices(texts, 4 << 20):
+            for part in W.slices(texts, 2 << 20):
                 h, sentence, row, start, end = sentence_words(part)
                 z = logits(h, sentence, len(row), own)
                 score[part.lo : part.hi] = noisy_or(z, row, part.hi - part.lo)

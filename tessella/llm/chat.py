@@ -21,6 +21,15 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("\\b"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    """As texts, and the bracket that ends a role's name."""
+    return F.replace(escape(role), F.lit("]"), F.lit("\\c"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\c"), F.lit("]")))
+
+
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted.
 
@@ -40,7 +49,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.col("turns"),
         lambda t, i: F.concat(
             F.when((i > 0) & (F.get(F.col("turns"), i - 1)["role"] == t["role"]), F.lit(NEXT)).otherwise(
-                F.concat(F.when(i > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), escape(t["role"]), F.lit(BODY))
+                F.concat(F.when(i > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN), escape_role(t["role"]), F.lit(BODY))
             ),
             escape(t["text"]),
         ),
@@ -59,7 +68,7 @@ def read_chats(chats: DataFrame) -> DataFrame:
             F.substr(b, F.lit(len(OPEN) + len(BODY) + 1) + F.length(F.substring_index(F.substr(b, F.lit(len(OPEN) + 1)), "]\n", 1))).alias("body"),
         ),
     )
-    turns = F.flatten(F.transform(parts, lambda p: F.transform(F.split(p["body"], "<NEXT>", -1), lambda x: F.struct(unescape(p["role"]).alias("role"), unescape(x).alias("text")))))
+    turns = F.flatten(F.transform(parts, lambda p: F.transform(F.split(p["body"], "<NEXT>", -1), lambda x: F.struct(unescape_role(p["role"]).alias("role"), unescape(x).alias("text")))))
     out = chats.select("conv_id", "formatted", turns.alias("turns"))
     learned = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARN), lambda t: t["text"]), "")
     return out.withColumn("learned", learned)

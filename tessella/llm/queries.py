@@ -81,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BITS = " + ".join(f"{16 >> b} * CAST(substr(bits, CAST(5 * i + {b + 1} AS INT), 1) = '1' AS INT)" for b in range(5))
 _ESCAPED = "length({0}) + length({0}) - length(replace(replace(replace({0}, '\\', ''), '<', ''), '[', ''))"
 
+_ROLE = _ESCAPED.format("r") + " + length(r) - length(replace(r, ']', ''))"
+
 ORACLES: dict[str, str] = {
     "op1_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
@@ -109,7 +111,7 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY k)) AS turns_sha256,
             CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
             sha256(coalesce(string_agg(x, '' ORDER BY k) FILTER (r = 'assistant'), '')) AS loss_sha256,
-            CAST(8 + 6 + sum(({_ESCAPED.format('x')}) + CASE WHEN k = 1 THEN 8 + ({_ESCAPED.format('r')}) WHEN r = before THEN 6 ELSE 14 + ({_ESCAPED.format('r')}) END) AS BIGINT) AS formatted_chars
+            CAST(8 + 6 + sum(({_ESCAPED.format('x')}) + CASE WHEN k = 1 THEN 8 + ({_ROLE}) WHEN r = before THEN 6 ELSE 14 + ({_ROLE}) END) AS BIGINT) AS formatted_chars
         FROM o GROUP BY conv_id""",
     "op8_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

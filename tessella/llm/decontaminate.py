@@ -82,7 +82,7 @@ def word_rates(docs: DataFrame, wanted: np.ndarray, text_col: str) -> dict[int,
 def seeds(items: list[tuple[int, np.ndarray]], rates: dict[int, float], n: int, rare: float, least: int) -> Seeds:
     """The items' n-grams (whole items, if shorter) whose words together are expected at a rate below ``rare``.
 
-    An item with fewer than ``least`` such n-grams gets its ``least`` rarest ones, so that none is out of reach.
+    The rarer half of an item's n-grams, and ``least`` of them, are seeds in any case, so that none is out of reach.
     """
     found = []
     for k, (_, h) in enumerate(items):
@@ -92,8 +92,9 @@ def seeds(items: list[tuple[int, np.ndarray]], rates: dict[int, float], n: int,
         log = np.log(np.maximum([rates[int(x)] for x in h], 1e-12))
         chance = np.convolve(log, np.ones(size), "valid")
         own = np.flatnonzero(chance < np.log(rare))
-        if len(own) < least:
-            own = np.argsort(chance, kind="stable")[:least]
+        most = max(least, len(chance) // 2)
+        if len(own) < most:
+            own = np.argsort(chance, kind="stable")[:most]
         g = W.grams(h, size)
         found += [(int(g[i]), k, int(i), size) for i in own]
     found.sort()

@@ -33,6 +33,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 NAMED = re.compile(r"(?:^|\s)(class|id|role|data-content|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Parts of class names and ids, by what pages use them for; they stand for pages that name their parts, in training.
+CONTAINERS = frozenset("#root html body div section article main center table tbody tr td".split())
 CONTENT_NAMES = "article content main post entry story body text prose".split()
 OTHER_NAMES = "ad ads advert advertisement banner sponsor promo nav navbar menu breadcrumb header masthead footer sidebar aside widget related comment comments reply disqus cookie consent notice alert popup modal newsletter subscribe signup share social login search pagination tags copyright legal skip".split()
 
@@ -174,7 +175,7 @@ class Model(NamedTuple):
     """Log-odds of each feature, and the potentials of child given parent (of an element without one: first)."""
 
     features: dict[str, tuple[float, float]]
-    edge: tuple[tuple[float, float], tuple[float, float]]
+    edge: tuple  # by whether the child is a container, the parent's and the child's state
     first: tuple[float, float]
 
 
@@ -182,7 +183,8 @@ def tally(page: Page, labels: list[int]) -> Counter:
     """(kind, feature, label) counts of one labelled page."""
     out: Counter = Counter()
     for i, y in enumerate(labels):
-        out["e", str(labels[page.parents[i]]) if i else "-", y] += 1
+        if i:
+            out["e", f"{int(page.tags[i] in CONTAINERS)}{labels[page.parents[i]]}", y] += 1
         out["y", "", y] += 1
         for f in page.features[i]:
             out["f", f, y] += 1
@@ -197,9 +199,9 @@ def fit_counts(counts: dict[tuple[str, str, int], float], least: float = 2, extr
         if sum(seen) >= least:
             features[f] = tuple((seen[y] + extra) / total[y] for y in (0, 1))
     edge = []
-    for parent in "01":
-        row = [counts.get(("e", parent, y), 0) + extra for y in (0, 1)]
-        edge.append((row[0] / sum(row), row[1] / sum(row)))
+    for kind in "01":
+        rows = [[counts.get(("e", kind + parent, y), 0) + extra for y in (0, 1)] for parent in "01"]
+        edge.append(tuple((a / (a + b), b / (a + b)) for a, b in rows))
     return Model(features, tuple(edge), (1 - 1e-3, 1e-3))
 
 
@@ -218,10 +220,11 @@ def marginals(page: Page, model: Model) -> list[float]:
                 a, b = a * x, b * y
         s = a + b
         up.append([a / s, b / s])
-    (e00, e01), (e10, e11) = model.edge
+    edges = [model.edge[tag in CONTAINERS] for tag in page.tags]
     messages: list[tuple[float, float]] = [(1.0, 1.0)] * n
     for i in range(n - 1, 0, -1):
         a, b = up[i]
+        (e00, e01), (e10, e11) = edges[i]
         m0, m1 = e00 * a + e01 * b, e10 * a + e11 * b
         messages[i] = (m0, m1)
         own = up[page.parents[i]]
@@ -234,6 +237,7 @@ def marginals(page: Page, model: Model) -> list[float]:
         if i:
             p = page.parents[i]
             m0, m1 = messages[i]
+            (e00, e01), (e10, e11) = edges[i]
             # the parent's belief without what this child told it
             x, y = down[p][0] * (up[p][0] / m0 if m0 else 0.0), down[p][1] * (up[p][1] / m1 if m1 else 0.0)
             d0, d1 = x * e00 + y * e10, x * e01 + y * e11
@@ -279,8 +283,9 @@ def fit_extractor(pages: DataFrame, *, fit_pages: int = 2000, html_col: str = "h
     own: Counter = Counter()
     for source in labelled_pages():
         page = parse(source)
-        own += tally(page, [x or 0 for x in page.labels])
-    # either kind of page counts as much as the other
+        for key, n in tally(page, [x or 0 for x in page.labels]).items():
+            own[key] += 20 * n
+    # names are rare, so labelled pages count twenty times, and either kind of page as much as the other
     scale = sum(v for (kind, _, _), v in own.items() if kind == "y") / max(1, sum(v for (kind, _, _), v in found.items() if kind == "y"))
     return fit_counts({k: own[k] + scale * found[k] for k in own.keys() | found.keys()})
 

@@ -47,7 +47,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
+    if len(_powers.get("up", ())) < max(1, n):
         size = max(n, 1 << 20)
         for name, base in (("up", BASE), ("down", BASE_INV)):
             row = np.full(size, base, np.uint64)

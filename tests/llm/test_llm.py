@@ -243,7 +243,7 @@ def test_marginals_against_all_assignments(spark):
     for state in range(1 << n):
         y, p = [state >> i & 1 for i in range(n)], 1.0
         for i in range(n):
-            p *= model.edge[y[page.parents[i]]][y[i]] if i else model.first[y[i]]
+            p *= model.edge[page.tags[i] in html.CONTAINERS][y[page.parents[i]]][y[i]] if i else model.first[y[i]]
             for f in page.features[i]:
                 p *= model.features[f][y[i]] if f in model.features else 1
         total += p

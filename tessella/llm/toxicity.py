@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from . import words as W
 from .common import extended
@@ -126,7 +127,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", sen
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted", "toxic_sentences")
-    more = [("score", "double"), ("predicted", "integer"), ("toxic_sentences", "array<string>")]
+    more = [("score", "double"), ("predicted", "integer"), ("toxic_sentences", ArrayType(StringType()))]
     schema = extended(docs.schema, *more[: 2 + sentences])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,7 +72,7 @@ def spans(batch: np.ndarray, pieces: Pieces) -> dict[int, np.ndarray]:
         if length > size:
             break
         h = (total[:, length:] - total[:, :-length]) * down[: size - length + 1]
-        rows = np.full(h.shape, pieces.n)
+        rows = np.full(h.shape, pieces.n, np.int32)
         maybe = pieces.seen[h >> np.uint64(44)]
         at = np.minimum(np.searchsorted(pieces.hash, h[maybe]), pieces.n - 1)
         rows[maybe] = np.where(pieces.hash[at] == h[maybe], pieces.row[at], pieces.n)
@@ -131,12 +131,23 @@ def word_runs(part: W.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def fit(texts: pa.Array, pieces: Pieces, rounds: int = 4, extra: float = 0.1) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over all segmentations."""
-    groups: list[tuple[np.ndarray, dict[int, np.ndarray], int]] = []
-    for part in W.slices(texts, 1 << 21):
+    seen, hashes, counts = np.zeros(0, np.uint64), [], []
+    distinct: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for part in W.slices(texts):
         start, end, h, _ = word_runs(part)
-        _, first, count = np.unique(h, return_index=True, return_counts=True)
-        for own, matrix in by_length(part.data, start[first], end[first]):
-            groups.append((count[own].astype(float), spans(matrix, pieces), matrix.shape[1]))
+        own, first, count = np.unique(h, return_index=True, return_counts=True)
+        hashes.append(own)
+        counts.append(count)
+        fresh = ~np.isin(own, seen)
+        for at, matrix in by_length(part.data, start[first[fresh]], end[first[fresh]]):
+            distinct.setdefault(matrix.shape[1], []).append((own[fresh][at], matrix))
+        seen = np.union1d(seen, own)
+    groups: list[tuple[np.ndarray, dict[int, np.ndarray], int]] = []
+    if len(seen):
+        total = np.bincount(np.searchsorted(seen, np.concatenate(hashes)), np.concatenate(counts), len(seen))
+        for size, found in distinct.items():
+            h, matrix = (np.concatenate(x) for x in zip(*found))
+            groups.append((total[np.searchsorted(seen, h)], spans(matrix, pieces), size))
     probs = np.full((pieces.n + 1, 1), 1 / pieces.n)
     probs[-1] = 0
     for _ in range(rounds):
@@ -217,7 +228,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
             lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
             if own.langs:
-                for part in W.slices(texts, 2 << 20):
+                for part in W.slices(texts):
                     logs = log_likelihoods(part, own)
                     logs -= logs.max(axis=1, keepdims=True)
                     post = np.exp(logs) / np.exp(logs).sum(axis=1, keepdims=True)

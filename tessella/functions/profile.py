@@ -12,8 +12,25 @@ DOCUMENT_TYPES = {".py": "code", ".js": "code", ".ts": "code", ".go": "code", ".
 LANGUAGES = {".py": "python", ".js": "javascript", ".ts": "typescript", ".go": "go", ".java": "java", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".cs": "csharp"}
 WORD = r"[\p{L}\p{N}_]+"
 #: Words that say nothing about a query's subject.
-STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "this", "that", "how", "what", "when", "where", "why", "who")
-CODE_PATTERNS = (r"\bdef\s+\w+", r"\bclass\s+\w+", r"\bfunction\s+\w+", r"\bimport\s+\w+", r"\w+\(\)", r"=>", r"\{.*\}", r"\breturn\b")
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will", "with",
+    "this", "but", "they", "have", "had", "what", "said", "each", "which", "their", "time", "if",
+)
+#: Signs of code in a query, whatever their case.
+CODE_PATTERNS = (r"def\s+\w+\s*\(", r"function\s+\w+\s*\(", r"class\s+\w+", r"\w+\.\w+\(", r"import\s+\w+", r"from\s+\w+\s+import", r"#include\s*<", r"public\s+class", r"private\s+\w+", r"async\s+def", r"await\s+\w+")
+#: A question's first word (or its beginning), and words that ask for a summary.
+QUESTION = r"^(what|how|why|when|where|who|which|can|could|would|should|is|are|does|do|did)|\?$"
+SUMMARY = "summary|summarize|overview|explain|describe"
+#: Words that tell what a query is after; the first action that has one counts.
+ACTIONS = {
+    "find": "find|search|locate|get", "explain": "explain|describe|what is|how does", "compare": "compare|difference|vs|versus",
+    "implement": "implement|create|build|make", "debug": "debug|fix|error|problem|issue", "optimize": "optimize|improve|performance|faster",
+}
+#: Words of programming languages in a query that looks like code; the first language that has one counts.
+QUERY_LANGUAGES = {
+    "python": r"\b(def|import|from|class|self)\b", "javascript": r"\b(function|var|let|const|console\.log)\b", "java": r"\b(public|private|class|static|void)\b",
+    "cpp": r"\b(#include|std::|namespace|template)\b", "go": r"\b(func|package|import|var|type)\b", "rust": r"\b(fn|let|mut|use|struct)\b",
+}
 
 
 def extension(path: Column) -> Column:
@@ -96,20 +113,57 @@ def clean_query(query: Column) -> Column:
 
 
 def query_type(query: Column) -> Column:
-    """QRY3: question (by prefix, no word boundary), code, summary, else semantic."""
+    """QRY3: question (by its beginning, no word boundary, or a question mark at the end), code, summary, else semantic."""
     low = F.lower(query)
-    return F.when(low.rlike(r"^(what|how|why|when|where|who|which|is|are|can|do|does)"), "question").when(looks_like_code(query), "code").when(low.rlike(r"(summar|overview|brief)"), "summary").otherwise("semantic")
+    return F.when(low.rlike(QUESTION), "question").when(looks_like_code(query), "code").when(low.rlike(SUMMARY), "summary").otherwise("semantic")
 
 
 def keywords(query: Column) -> Column:
     """QRY4: the words that are no stop words, in lower case and in order, each once."""
     found = F.regexp_extract_all(F.lower(query), F.lit(f"({WORD})"), 1)
-    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 1)))
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*STOP_WORDS)))
+
+
+def vector_query(query: Column, context: Column) -> Column:
+    """QRY7: the query after its context, if it has one."""
+    return F.when(context != "", F.concat_ws(" ", context, query)).otherwise(query)
+
+
+def keyword_query(query: Column) -> Column:
+    """QRY7: the keywords, or the query itself where there are none."""
+    found = keywords(query)
+    return F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(query)
+
+
+def word_count(query: Column) -> Column:
+    return F.size(F.filter(F.split(query, r"\s+", -1), lambda w: w != ""))
+
+
+def specificity(query: Column) -> Column:
+    """QRY8: specific beyond 5 words or with a bracket, dot or arrow; broad up to 2 words; else general."""
+    n = word_count(query)
+    return F.when((n > 5) | query.rlike(r"[().]|->"), "specific").when(n <= 2, "broad").otherwise("general")
+
+
+def action(query: Column) -> Column:
+    """QRY8: the first action one of whose words the query holds, else search."""
+    found = F
+    for name, words in ACTIONS.items():
+        found = found.when(F.lower(query).rlike(words), name)
+    return found.otherwise("search")
+
+
+def query_language(query: Column) -> Column:
+    """QRY10: natural unless the query looks like code; then the first language with a word in it, else unknown."""
+    found = F.when(~looks_like_code(query), "natural")
+    for name, words in QUERY_LANGUAGES.items():
+        found = found.when(query.rlike(f"(?i){words}"), name)
+    return found.otherwise("unknown")
 
 
 def query_complexity(query: Column) -> Column:
     """QRY9: up to 2 words simple, up to 5 medium, else complex."""
-    n = F.size(F.filter(F.split(query, r"\s+", -1), lambda w: w != ""))
+    n = word_count(query)
     return F.when(n <= 2, "simple").when(n <= 5, "medium").otherwise("complex")
 
 

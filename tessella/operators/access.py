@@ -62,3 +62,37 @@ def settings_resolve(settings: DataFrame) -> DataFrame:
     """REL7: of each key's values the one of the narrowest scope: user, workspace, organization, global."""
     scope = F.when(F.col("scope") == "user", 1).when(F.col("scope") == "workspace", 2).when(F.col("scope") == "organization", 3).otherwise(4)
     return settings.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(scope, "value"))).where("_n = 1").select("key", "scope", "value")
+
+
+def workspace_collections(collections: DataFrame, users: DataFrame, members: DataFrame) -> DataFrame:
+    """ACL5: for each user the collections of the own workspace with the owner's name, if any, and whether the user owns or may see each."""
+    owners = users.select(F.col("user_id").alias("owner_id"), F.col("user_name").alias("owner_name"))
+    active = members.where("is_active").select("collection_id", "user_id").distinct().withColumn("_member", F.lit(True))
+    rows = users.join(collections.join(owners, "owner_id", "left"), "workspace_id").join(active, ["collection_id", "user_id"], "left")
+    own = F.coalesce(F.col("owner_id") == F.col("user_id"), F.lit(False))
+    access = own | F.coalesce(F.col("visibility").isin("public", "internal"), F.lit(False)) | F.col("_member").isNotNull()
+    return rows.select("user_id", "collection_id", "owner_name", own.alias("is_owner"), access.alias("has_access"))
+
+
+def count_rows(df: DataFrame, filters: dict) -> DataFrame:
+    """REL3: how many rows pass the filters of ``apply_filters``; 0 on an empty table."""
+    return apply_filters(df, filters).agg(F.count("*").alias("total"))
+
+
+def exclude_deleted(df: DataFrame) -> DataFrame:
+    """REL4: rows not marked as deleted; a null mark counts as not deleted."""
+    return df.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
+
+
+def soft_delete(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """REL4: all rows, those named in ``ids`` marked as deleted; rows marked before stay so."""
+    gone = ids.select(F.col(key).alias("_key")).distinct().withColumn("_gone", F.lit(True))
+    joined = df.join(gone, F.col(key) == F.col("_key"), "left")
+    mark = F.col("_gone").isNotNull() | (F.coalesce(F.col("is_deleted"), F.lit(False)) if "is_deleted" in df.columns else F.lit(False))
+    return joined.withColumn("is_deleted", mark).drop("_key", "_gone")
+
+
+def page_info(df: DataFrame, offset: int, limit: int) -> DataFrame:
+    """REL5: total rows, the 1-based number of the page at ``offset``, pages in all, and whether others follow or go before."""
+    total = F.count("*")
+    return df.agg(total.alias("total"), F.lit(offset // limit + 1).cast("long").alias("page"), F.ceil(total / limit).alias("pages"), (total > offset + limit).alias("has_next"), F.lit(offset > 0).alias("has_previous"))

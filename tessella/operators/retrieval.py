@@ -69,3 +69,23 @@ def result_rows(hits: DataFrame, docs: DataFrame, preview: int = 500) -> DataFra
 def retrieval_counts(results: DataFrame) -> DataFrame:
     """RET16: how often each document was retrieved, and its best rank."""
     return results.groupBy("doc_id").agg(F.count("*").alias("retrieved"), F.min("rank").alias("best_rank"))
+
+
+def final_filters(hits: DataFrame, min_score: float, languages: list[str] | None = None, limit: int = 10) -> DataFrame:
+    """RET8: of each query's hits the best ``limit`` that reach the score and are in one of the languages; ties by id."""
+    kept = hits.where(F.col("score") >= min_score)
+    if languages is not None:
+        kept = kept.where(F.col("lang").isin(*languages))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+#: What a token counts in a title, a text and among keywords.
+TERM_WEIGHTS = {"title": 1.0, "content": 0.4, "keywords": 0.2}
+
+
+def weighted_terms(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """RET13: (doc, token, n, weight) over the columns named in TERM_WEIGHTS; words are not stemmed. Null texts have none."""
+    parts = F.array(*[F.struct(F.lit(w).alias("weight"), F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), 1).alias("tokens")) for c, w in TERM_WEIGHTS.items()])
+    tokens = docs.select(key, F.explode(parts).alias("p")).select(key, "p.weight", F.explode("p.tokens").alias("token"))
+    return tokens.groupBy(key, "token").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))

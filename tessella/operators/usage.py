@@ -116,3 +116,26 @@ def activity_rollup(events: DataFrame) -> DataFrame:
 def metric_periods(points: DataFrame, period: str) -> DataFrame:
     """ANA22: extremes, mean and samples of each metric in each period."""
     return points.groupBy("metric", F.window("ts", period).alias("w")).agg(F.min("value").alias("min"), F.max("value").alias("max"), _round(F.avg("value")).alias("avg"), F.count("*").alias("samples")).select("metric", F.col("w.start").alias("period"), "min", "max", "avg", "samples")
+
+
+def metric_history(points: DataFrame, metric: str, since: Column) -> DataFrame:
+    """ANA12: the points of one metric from a time on, oldest first."""
+    return points.where((F.col("metric") == metric) & (F.col("ts") >= since)).orderBy("ts", "event_id")
+
+
+def performance_flags(log: DataFrame, slow: float = 5.0, memory: float = 100.0) -> DataFrame:
+    """ANA20: entries of each service and level, and how many are errors, slower than ``slow`` seconds or above ``memory`` MB; nulls are neither."""
+    return log.groupBy("service", "level").agg(
+        F.count("*").alias("n"), F.count_if(F.col("level").isin("ERROR", "CRITICAL")).alias("errors"), F.count_if(F.col("seconds") > slow).alias("slow"), F.count_if(F.col("memory_mb") > memory).alias("heavy"),
+    )
+
+
+def active_sessions(sessions: DataFrame, as_of: Column) -> DataFrame:
+    """ANA25: sessions that are active and not expired, the latest used first."""
+    return sessions.where(F.col("is_active") & (F.col("expires_at") > as_of)).orderBy(F.desc("last_used"), "session_id")
+
+
+def stage_durations(records: DataFrame) -> DataFrame:
+    """ANA26: finished records of each status and their mean and longest seconds; records without both times don't count."""
+    took = F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")
+    return records.withColumn("_s", took).where("_s is not null").groupBy("status").agg(F.count("*").alias("n"), _round(F.avg("_s")).alias("avg_seconds"), F.max("_s").alias("max_seconds"))

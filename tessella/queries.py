@@ -198,3 +198,18 @@ register("ana15_cache_hits", """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts
 register("ana17_feedback", "SELECT count(*) AS n, round(avg(r), 6) AS mean, count(*) FILTER (r >= 4) AS positive, count(*) FILTER (r <= 2) AS negative FROM (SELECT 1 + 2 * quality + 2 * (1 - toxic) AS r FROM labels)", lambda s, d: U.feedback_summary(table(s, d, "labels").select((1 + 2 * F.col("quality") + 2 * (1 - F.col("toxic"))).alias("rating"))))
 register("ana21_activity", "SELECT query_type, status, count(*) AS n, count(DISTINCT user_id) AS users FROM query_log GROUP BY 1, 2", lambda s, d: U.activity_rollup(W.query_log(s, d)))
 register("ana22_periods", "SELECT event_type AS metric, time_bucket(INTERVAL 6 HOUR, ts::TIMESTAMP) AS period, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, count(*) AS samples FROM events GROUP BY 1, 2", lambda s, d: U.metric_periods(metrics(s, d), "6 hours"))
+register("ana12_history", "SELECT event_id, ts, metric, value FROM (SELECT event_id, ts, event_type AS metric, value FROM events) WHERE metric = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY", lambda s, d: U.metric_history(metrics(s, d), "error", as_of(metrics(s, d)) - F.expr("INTERVAL 10 DAYS")))
+register("ana20_flags", "SELECT event_type AS service, CASE WHEN event_id % 4 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS n, count(*) FILTER (event_id % 4 = 0) AS errors, count(*) FILTER (value > 5.0) AS slow, count(*) FILTER (value > 100.0) AS heavy FROM events GROUP BY 1, 2",
+    lambda s, d: U.performance_flags(table(s, d, "events").select(F.col("event_type").alias("service"), F.when(F.col("event_id") % 4 == 0, "ERROR").otherwise("INFO").alias("level"), F.col("value").alias("seconds"), F.col("value").alias("memory_mb"))))
+register("ana25_sessions", "SELECT event_id AS session_id, user_id FROM events WHERE event_type <> 'error' AND ts + INTERVAL 2 DAY > (SELECT max(ts) FROM events)",
+    lambda s, d: U.active_sessions(table(s, d, "events").select(F.col("event_id").alias("session_id"), "user_id", F.col("ts").alias("last_used"), (F.col("event_type") != "error").alias("is_active"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("expires_at")), as_of(table(s, d, "events"))).select("session_id", "user_id"))
+register("ana26_durations", "SELECT o_orderstatus AS status, count(*) AS n, round(avg(t), 6) AS avg_seconds, max(t) AS max_seconds FROM (SELECT o_orderstatus, date_diff('second', CAST(o_orderdate AS TIMESTAMP), CAST(l_shipdate AS TIMESTAMP)) AS t FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE t IS NOT NULL GROUP BY 1",
+    lambda s, d: U.stage_durations(table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"), F.col("l_shipdate").cast("timestamp").alias("completed_at"))))
+register("acl5_workspace_collections", "SELECT u.c_custkey AS user_id, c.collection_id, o.c_name AS owner_name, c.owner_id = u.c_custkey AS is_owner, c.owner_id = u.c_custkey OR c.visibility IN ('public', 'internal') OR EXISTS (SELECT 1 FROM members m WHERE m.collection_id = c.collection_id AND m.user_id = u.c_custkey AND m.is_active) AS has_access FROM customer u JOIN collections c ON c.workspace_id = u.c_nationkey LEFT JOIN customer o ON o.c_custkey = c.owner_id", lambda s, d: A.workspace_collections(W.collections(s, d), users(s, d), W.members(s, d)))
+register("rel3_count", "SELECT count(*) AS total FROM documents WHERE lang = 'en' AND n_chars >= 500", lambda s, d: A.count_rows(table(s, d, "documents"), {"lang": "en", "n_chars": {"gte": 500}}))
+register("rel4_deleted", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)", lambda s, d: A.exclude_deleted(A.soft_delete(table(s, d, "documents"), table(s, d, "labels").where("toxic = 1"), "doc_id")).select("doc_id", "lang"))
+register("rel5_page_info", "SELECT count(*) AS total, CAST(3 AS BIGINT) AS page, CAST(ceil(count(*) / 25.0) AS BIGINT) AS pages, count(*) > 75 AS has_next, true AS has_previous FROM documents", lambda s, d: A.page_info(table(s, d, "documents"), 50, 25))
+register("ret8_final_filters", f"WITH {_SCAN} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k JOIN documents USING (doc_id) WHERE score >= 0.3 AND lang IN ('en', 'fr') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5",
+    lambda s, d: R.final_filters(R.keyword_scan(_queries(s, d), table(s, d, "documents"), 10).drop("rank").join(table(s, d, "documents").select("doc_id", "lang"), "doc_id"), 0.3, ["en", "fr"], 5).select("query_id", "doc_id", "score", "rank"))
+register("ret13_weighted_terms", r"SELECT doc_id, token, count(*) AS n, round(sum(w), 6) AS weight FROM (SELECT doc_id, 1.0::DOUBLE AS w, unnest(regexp_extract_all(lower(path), '[\p{L}\p{N}_]+')) AS token FROM corpus UNION ALL SELECT doc_id, 0.4::DOUBLE, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) FROM corpus UNION ALL SELECT doc_id, 0.2::DOUBLE, unnest(regexp_extract_all(lower(lang), '[\p{L}\p{N}_]+')) FROM corpus) GROUP BY 1, 2",
+    lambda s, d: R.weighted_terms(W.corpus(s, d).select("doc_id", F.col("path").alias("title"), F.col("text").alias("content"), F.col("lang").alias("keywords"))))

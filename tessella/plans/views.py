@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunks import chunk_by_lines
+from ..operators.code import BRANCHES, NAME_AFTER, PYTHON_PATTERNS, chunk_by_patterns
 from ..sources.tables import table
 
 EXTENSIONS = (".py", ".js", ".go", ".md", ".json", ".txt")
@@ -21,6 +22,17 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk_by_lines(corpus(spark, d).select("doc_id", "text", "lang", "collection", "path"), 10)
 
 
+def code_view(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as code: its lines in turn begin classes and functions, branch, or are kept as statements."""
+    line = lambda x, i: F.when(i % 7 == 0, F.concat(F.lit("class C"), (i + 1).cast("string"), F.lit(":"))).when(i % 7 == 1, F.concat(F.lit("    def f_"), (i + 1).cast("string"), F.lit("(x):"))).when(i % 7 == 3, F.concat(F.lit("        if x: "), x)).otherwise(F.concat(F.lit("        "), x))
+    return corpus(spark, d).withColumn("text", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n"))
+
+
+def pattern_chunks(spark: SparkSession, d: str) -> DataFrame:
+    own = F.when(F.col("start_line") % 4 == 0, F.array("name")).otherwise(F.array().cast("array<string>"))
+    return chunk_by_patterns(code_view(spark, d)).withColumn("dependencies", own)
+
+
 def query_table(spark: SparkSession, d: str) -> DataFrame:
     said = table(spark, d, "conversations").where("role = 'user'")
     return said.select(F.col("conv_id").alias("user_id"), "turn", F.substring_index("text", ".", 1).alias("query"), F.concat(F.lit("src"), (F.col("conv_id") % 5).cast("string")).alias("collection"))
@@ -51,10 +63,18 @@ def collections(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_suppkey").alias("collection_id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("workspace_id"), F.col("s_suppkey").alias("owner_id"), visibility.alias("visibility"))
 
 
+_HITS = ", ".join(f"({i}, '{n}', '(?i){p}')" for i, (n, p) in enumerate(PYTHON_PATTERNS.items()))
 SQL = {
     "corpus": "SELECT *, source AS collection, doc_id % 150 AS owner_id, source || '/' || doc_id || (['.py', '.js', '.go', '.md', '.json', '.txt'])[CAST(doc_id % 6 + 1 AS INT)] AS path FROM documents",
     "chunks": """SELECT doc_id, lang, collection, path, CAST(b AS INT) AS chunk_no, 'block_' || b AS name, CAST(b * 10 + 1 AS INT) AS start_line, CAST(least(b * 10 + 10, len(ls)) AS INT) AS end_line, array_to_string(ls[b * 10 + 1 : b * 10 + 10], chr(10)) AS content
         FROM (SELECT *, unnest(range(0, CAST(ceil(len(ls) / 10.0) AS BIGINT))) AS b FROM (SELECT *, string_split(text, chr(10)) AS ls FROM corpus))""",
+    "code_view": """SELECT * REPLACE (array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE i % 7 WHEN 1 THEN 'class C' || i || ':' WHEN 2 THEN '    def f_' || i || '(x):'
+        WHEN 4 THEN '        if x: ' || x ELSE '        ' || x END), chr(10)) AS text) FROM corpus""",
+    "pattern_chunks": f"""SELECT doc_id, chunk_no, type, name, start_line, end_line, content, CAST(least(1 + len(regexp_extract_all(content, '{BRANCHES}')), 20) AS INT) AS complexity, CASE WHEN start_line % 4 = 0 THEN [name] ELSE [] END AS dependencies
+        FROM (SELECT doc_id, CAST(k - 1 AS INT) AS chunk_no, pat AS type, CASE WHEN regexp_matches(trim(ln), '{NAME_AFTER}') THEN regexp_extract(trim(ln), '{NAME_AFTER}', 1) ELSE pat || '_unknown' END AS name,
+            CAST(i AS INT) AS start_line, CAST(e AS INT) AS end_line, array_to_string(ls[i : e], chr(10)) AS content
+            FROM (SELECT *, row_number() OVER w AS k, coalesce(lead(i) OVER w - 1, len(ls)) AS e FROM (SELECT doc_id, ls, unnest(ls) AS ln, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM code_view))
+                JOIN (VALUES {_HITS}) h(o, pat, re) ON regexp_matches(ln, re) WINDOW w AS (PARTITION BY doc_id ORDER BY i, o)))""",
     "query_table": "SELECT conv_id AS user_id, turn, split_part(text, '.', 1) AS query, 'src' || (conv_id % 5) AS collection FROM conversations WHERE role = 'user'",
     "query_log": "SELECT event_id, ts, user_id, event_type AS query_type, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, value AS processing_time, event_id % 11 AS result_count, user_id % 5 AS collection FROM events",
     "api_usage": "SELECT event_id, ts, user_id AS api_key_id, event_type AS endpoint, CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS response_time_ms FROM events",

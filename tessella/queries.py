@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import profile as P
 from .operators import access as A
 from .operators import chunks as C
+from .operators import code as CO
 from .operators import dedup as D
+from .operators import quality as QL
+from .operators import rank as RK
+from .operators import reports as RP
 from .operators import retrieval as R
 from .operators import usage as U
 from .operators import vectors as V
@@ -213,3 +217,153 @@ register("ret8_final_filters", f"WITH {_SCAN} SELECT query_id, doc_id, score, ro
     lambda s, d: R.final_filters(R.keyword_scan(_queries(s, d), table(s, d, "documents"), 10).drop("rank").join(table(s, d, "documents").select("doc_id", "lang"), "doc_id"), 0.3, ["en", "fr"], 5).select("query_id", "doc_id", "score", "rank"))
 register("ret13_weighted_terms", r"SELECT doc_id, token, count(*) AS n, round(sum(w), 6) AS weight FROM (SELECT doc_id, 1.0::DOUBLE AS w, unnest(regexp_extract_all(lower(path), '[\p{L}\p{N}_]+')) AS token FROM corpus UNION ALL SELECT doc_id, 0.4::DOUBLE, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) FROM corpus UNION ALL SELECT doc_id, 0.2::DOUBLE, unnest(regexp_extract_all(lower(lang), '[\p{L}\p{N}_]+')) FROM corpus) GROUP BY 1, 2",
     lambda s, d: R.weighted_terms(W.corpus(s, d).select("doc_id", F.col("path").alias("title"), F.col("text").alias("content"), F.col("lang").alias("keywords"))))
+
+
+# chunks of code, and how good they are
+_CHUNK = "doc_id, chunk_no, type, name, start_line, end_line, content, complexity"
+register("chk1_chunk_by_patterns", f"SELECT {_CHUNK} FROM pattern_chunks", lambda s, d: W.pattern_chunks(s, d).select(*_CHUNK.split(", ")))
+register("chk3_chunk_with_fallback", f"""SELECT doc_id, type, name, start_line, end_line, complexity FROM pattern_chunks WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'semantic_block', 'block_' || (b + 1), CAST(b * 50 + 1 AS INT), CAST(least(b * 50 + 50, n) AS INT), 1 FROM (SELECT doc_id, n, unnest(range(0, CAST(ceil(n / 50.0) AS BIGINT))) AS b FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM corpus WHERE doc_id % 3 <> 0))""",
+    lambda s, d: CO.chunk_with_fallback(W.code_view(s, d).join(W.corpus(s, d).select("doc_id", F.col("text").alias("plain")), "doc_id").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.col("plain")))).select("doc_id", "type", "name", "start_line", "end_line", "complexity"))
+register("chk5_indent_block_ends", r"""SELECT doc_id, CAST(a.i AS INT) AS start_line, CAST(coalesce((SELECT min(j) FROM unnest(range(a.i + 1, len(ls) + 1)) t(j) WHERE trim(ls[j]) <> '' AND length(ls[j]) - length(ltrim(ls[j])) <= length(ls[a.i]) - length(ltrim(ls[a.i]))) - 1, len(ls)) AS INT) AS end_line
+    FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM code_view)) a WHERE regexp_matches(ls[a.i], '^\s*(?:def|class)\s')""", lambda s, d: CO.indent_block_ends(W.code_view(s, d), r"^\s*(?:def|class)\s"))
+register("chk13_semantic_group", """SELECT doc_id, name, type, start_line, end_line, CAST(complexity AS BIGINT) AS complexity FROM pattern_chunks WHERE NOT contains(name, 'f_')
+    UNION ALL SELECT doc_id, CASE WHEN count(*) > 1 THEN 'f__group' ELSE min(name) END, CASE WHEN count(*) > 1 THEN 'semantic_group' ELSE min(type) END, min(start_line), max(end_line), CAST(sum(complexity) AS BIGINT) FROM pattern_chunks WHERE contains(name, 'f_') GROUP BY doc_id""",
+    lambda s, d: CO.rule_semantic_group(W.pattern_chunks(s, d), "f_"))
+_PURPOSE = "(['code_review', 'bug_detection', 'documentation', 'other'])[CAST(doc_id % 4 + 1 AS INT)]"
+_LINES = "len(string_split(text, chr(10)))"
+_WORDY = " + ".join(f"(length(text) - length(replace(text, '{w}', ''))) / {len(w)}" for w in CO.COMPLEX_WORDS)
+register("chk16_select_strategy", f"""SELECT doc_id, round(score, 6) AS score, score > 0.5 AS agentic FROM (SELECT doc_id, (least({_LINES} / 200, 1.0) + least((length(text) - {_LINES} + 1) / {_LINES} / 80, 1.0) + least(({_WORDY}) / 20, 1.0)) / 3 * 0.4
+    + (CASE {_PURPOSE} WHEN 'code_review' THEN 0.9 WHEN 'bug_detection' THEN 0.8 WHEN 'documentation' THEN 0.6 ELSE 0.5 END) * 0.3 + least({_LINES} / 1000, 1.0) * 0.2 + (doc_id % 10 / 10 - 0.5) * 0.1 AS score FROM code_view)""",
+    lambda s, d: W.code_view(s, d).select("doc_id", CO.agentic_score(F.col("text"), F.element_at(F.array(*[F.lit(x) for x in ("code_review", "bug_detection", "documentation", "other")]), (F.col("doc_id") % 4 + 1).cast("int")), F.col("doc_id") % 10 / 10).alias("s")).select("doc_id", F.round("s", 6).alias("score"), (F.col("s") > 0.5).alias("agentic")))
+_RAW = "(['Func', 'Code-Block', 'Semantic Block', 'cls', 'INTERFACE', 'paragraph', 'meth'])[CAST(doc_id % 7 + 1 AS INT)]"
+register("chk17_chunk_types", f"SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'function' WHEN 1 THEN 'semantic_block' WHEN 2 THEN 'semantic_block' WHEN 3 THEN 'class' WHEN 4 THEN 'interface' WHEN 5 THEN 'unknown' ELSE 'method' END AS type FROM documents",
+    lambda s, d: table(s, d, "documents").select("doc_id", CO.normalize_chunk_type(F.element_at(F.array(*[F.lit(x) for x in ("Func", "Code-Block", "Semantic Block", "cls", "INTERFACE", "paragraph", "meth")]), (F.col("doc_id") % 7 + 1).cast("int"))).alias("type")))
+register("qlt11_coverage", f"SELECT d.doc_id, round(coalesce(least(c.covered / {_LINES}, 1.0) * 0.7 + least(c.n / 10, 1.0) * 0.3, 0), 6) AS score FROM code_view d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(end_line - start_line + 1) AS covered FROM pattern_chunks GROUP BY doc_id) c USING (doc_id)",
+    lambda s, d: CO.coverage_score(W.pattern_chunks(s, d), W.code_view(s, d)))
+
+
+def _contains(text: str, marks) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{m}')" for m in marks) + ")"
+
+
+_NAMED = r"regexp_extract_all(content, '(?m)(?:^|\s)(?:def|function)[ \t]+([^\s(]+|\()', 1)"
+_OF_CHUNK = f"""sc AS (SELECT *, lag(type) OVER (PARTITION BY doc_id ORDER BY chunk_no) <> type AS change, end_line - start_line + 1 AS lines,
+        least(1, 0.8 + CASE WHEN type IN ('function', 'class', 'method') THEN 0.1 ELSE 0 END - CASE WHEN length(replace(content, '{{', '')) <> length(replace(content, '}}', '')) THEN 0.2 ELSE 0 END
+            + CASE WHEN len({_NAMED}) >= 2 AND len(list_distinct(list_transform(list_filter({_NAMED}, lambda n: contains(n, '_')), lambda n: split_part(n, '_', 1)))) < len({_NAMED}) THEN 0.1 ELSE 0 END) AS coherence,
+        least(1, 0.7 + CASE WHEN {_contains('content', QL.ALONE)} THEN 0.2 ELSE 0 END + CASE WHEN len(dependencies) > 0 THEN 0.1 ELSE 0 END) AS context,
+        least(1, 0.7 + CASE WHEN length(name) > 3 AND NOT starts_with(name, 'chunk_') THEN 0.2 ELSE 0 END + CASE WHEN complexity <= 5 THEN 0.1 WHEN complexity > 8 THEN -0.1 ELSE 0 END) AS readability,
+        least(1, 0.7 + CASE WHEN end_line - start_line + 1 BETWEEN 20 AND 150 THEN 0.1 ELSE 0 END + 0.1 + CASE WHEN name <> '' AND NOT starts_with(name, 'chunk_') THEN 0.1 ELSE 0 END) AS own FROM pattern_chunks)"""
+register("qlt10_chunk_scores", f"WITH {_OF_CHUNK} SELECT doc_id, chunk_no, round(coherence::DOUBLE, 6) AS coherence, round(context::DOUBLE, 6) AS context, round(readability::DOUBLE, 6) AS readability, round(own::DOUBLE, 6) AS own FROM sc",
+    lambda s, d: QL.chunk_scores(W.pattern_chunks(s, d)).select("doc_id", "chunk_no", *[F.round(c, 6).alias(c) for c in ("coherence", "context", "readability", "own")]))
+_MISSING = """ms AS (SELECT doc_id, list(m ORDER BY i, j) [1:5] AS missing FROM (SELECT a.doc_id, a.chunk_no AS i, b.chunk_no AS j, a.name || ' -> ' || b.name AS m FROM pattern_chunks a JOIN pattern_chunks b ON a.doc_id = b.doc_id AND a.chunk_no <> b.chunk_no
+        AND contains(a.content, b.name) AND NOT list_contains(a.dependencies, b.name)) GROUP BY doc_id)"""
+register("qlt12_missing_dependencies", f"WITH {_MISSING} SELECT doc_id, coalesce(array_to_string(missing, '; '), '') AS missing FROM (SELECT DISTINCT doc_id FROM pattern_chunks) LEFT JOIN ms USING (doc_id)",
+    lambda s, d: QL.missing_dependencies(W.pattern_chunks(s, d)).select("doc_id", F.array_join("missing", "; ").alias("missing")))
+_HAVE = ", ".join(f"bool_or(contains(content, '{p}')) AS p{i}" for i, p in enumerate(QL.IMPORTANT))
+_LOST = " - ".join(f"CASE WHEN contains(text, '{p}') AND NOT coalesce(p{i}, false) THEN 0.1 ELSE 0 END" for i, p in enumerate(QL.IMPORTANT))
+_ALL8 = "(coherence * 1.5 + context + completeness * 0.8 + granularity + dependency * 0.8 + readability * 1.3 + maintainability * 1.2 + performance * 0.5) / 8.1"
+register("qlt9_assess", f"""WITH {_OF_CHUNK}, {_MISSING}, per AS (SELECT doc_id, count(*) AS n, avg(coherence) AS coherence, avg(context) AS context, avg(readability) AS readability, sum(lines) AS covered, avg(CASE WHEN lines BETWEEN 50 AND 200 THEN 1.0 WHEN lines < 50 THEN 0.6 ELSE 0.7 END) AS fit,
+        var_samp(lines) AS var, count(*) FILTER (change) AS changes, bool_or(len(dependencies) > 0) AS deps, {_HAVE} FROM sc GROUP BY doc_id),
+    r AS (SELECT doc_id, coalesce(coherence, 0) AS coherence, coalesce(context, 0) AS context, greatest(0, least(1, coalesce(covered, 0) / {_LINES} - {_LOST})) AS completeness,
+        (coalesce(fit, 0) + CASE WHEN n BETWEEN 3 AND 20 THEN 1.0 WHEN coalesce(n, 0) < 3 THEN 0.6 ELSE 0.7 END) / 2 AS granularity, greatest(0, least(1, 0.8 + CASE WHEN deps THEN 0.1 ELSE 0 END - 0.1 * coalesce(len(missing), 0))) AS dependency, coalesce(readability, 0) AS readability,
+        least(1, 0.8 + CASE WHEN changes < n - 1 THEN 0.1 ELSE 0 END + CASE WHEN n = 1 OR var < 100 THEN 0.1 WHEN var > 500 THEN -0.1 ELSE 0 END) AS maintainability,
+        least(1, 0.8 + CASE WHEN n_chars / 1000.0 < 1 THEN 0.2 WHEN n_chars / 1000.0 > 10 THEN -0.2 ELSE 0 END + CASE WHEN n BETWEEN 5 AND 15 THEN 0.1 WHEN n > 50 THEN -0.1 ELSE 0 END) AS performance
+        FROM code_view LEFT JOIN per USING (doc_id) LEFT JOIN ms USING (doc_id))
+    SELECT doc_id, {", ".join(f"round({k}::DOUBLE, 6) AS {k}" for k in QL.DIMENSIONS)}, round(({_ALL8})::DOUBLE, 6) AS overall FROM r""",
+    lambda s, d: QL.assess(W.pattern_chunks(s, d), W.code_view(s, d), "code_review", seconds=F.col("n_chars") / 1000.0))
+_KINDS = ("click", "view", "error")
+register("qlt14_feedback", f"""SELECT user_id AS chunk_id, count(*) AS n, round(coalesce(avg(CASE WHEN event_id % 7 > 0 THEN event_id % 5 + 1 END), 0), 6) AS average_rating, {", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in _KINDS)},
+    coalesce(string_agg(CASE WHEN k <= 5 AND event_id % 3 > 0 THEN props END, '|' ORDER BY event_id), '') AS recent FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) GROUP BY user_id""",
+    lambda s, d: QL.feedback_by_chunk(table(s, d, "events").select(F.col("user_id").alias("chunk_id"), F.col("event_id").alias("feedback_id"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 5 + 1).alias("rating"), F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("comment")), _KINDS))
+register("qlt15_suggestions", "SELECT unnest([source, lang]) AS suggestion, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, suggestion LIMIT 10", lambda s, d: QL.top_suggestions(table(s, d, "documents").select(F.array("source", "lang").alias("suggestions"))))
+register("qlt16_purpose_average", "SELECT doc_id, round(coalesce(list_avg(list_filter([CASE WHEN doc_id % 2 = 0 THEN quality / 2 END, CASE WHEN doc_id % 3 = 0 THEN toxic / 4 END], lambda x: x IS NOT NULL)), 0.6), 6) AS score FROM labels",
+    lambda s, d: table(s, d, "labels").select("doc_id", F.round(QL.purpose_average(F.when(F.col("doc_id") % 2 == 0, F.col("quality") / 2), F.when(F.col("doc_id") % 3 == 0, F.col("toxic") / 4)), 6).alias("score")))
+
+
+# expansion, re-ranking and searches over several collections
+_W = r"string_split(trim(regexp_replace(query, '\s+', ' ', 'g')), ' ')"
+_LOW = "lower(query)"
+_SYN = ", ".join(f"CASE WHEN contains({_LOW}, '{w}') THEN replace({_LOW}, '{w}', '{x}') END" for w, xs in RK.SYNONYMS.items() for x in xs)
+_STATED = rf"trim(regexp_replace(regexp_replace({_LOW}, '{RK.QUESTION_START}', ''), '\?+$', ''))"
+register("qry6_expand", f"""SELECT user_id, turn, string_agg(v, '|' ORDER BY o) AS expanded FROM (SELECT user_id, turn, v, min(o) AS o, row_number() OVER (PARTITION BY user_id, turn ORDER BY min(o)) AS k FROM (
+        SELECT user_id, turn, unnest(vs) AS v, generate_subscripts(vs, 1) AS o FROM (SELECT user_id, turn, list_concat(
+            list_filter(list_concat(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws) + 1), lambda k: array_to_string(ws[1:k], ' ')) ELSE [] END,
+                CASE WHEN len(ws) > 2 THEN flatten(list_transform(range(1, len(ws)), lambda i: list_transform(range(i + 1, len(ws) + 1), lambda j: array_to_string(ws[i:j], ' ')))) ELSE [] END), lambda v: v <> query AND length(v) > 3),
+            CASE kind WHEN 'code' THEN list_filter([{_SYN}], lambda v: v IS NOT NULL AND v <> {_LOW})
+                WHEN 'question' THEN list_filter([CASE WHEN {_STATED} <> {_LOW} THEN {_STATED} END, CASE WHEN starts_with({_LOW}, 'how to') THEN trim(replace({_LOW}, 'how to', '')) END], lambda v: v IS NOT NULL AND v <> '') ELSE [] END) AS vs
+        FROM (SELECT *, {_KIND.replace("{0}", "query")} AS kind, list_filter({_W}, lambda w: w <> '') AS ws FROM query_table))) GROUP BY user_id, turn, v) WHERE k <= 5 GROUP BY user_id, turn""",
+    lambda s, d: W.query_table(s, d).select("user_id", "turn", RK.expand(F.col("query"), P.query_type(F.col("query"))).alias("e")).where(F.size("e") > 0).select("user_id", "turn", F.array_join("e", "|").alias("expanded")))
+
+
+def _case(*tests) -> str:
+    return " + ".join(f"CASE WHEN {t} THEN {x} ELSE 0 END" for t, x in tests)
+
+
+_TOK = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
+_BARS = lambda i: "CASE kind " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in RK.LENGTHS.items()) + " ELSE 100 END"
+_FEATURES = f"""SELECT query_id, doc_id, score AS semantic_similarity,
+    CASE WHEN len(qw) > 0 THEN least(1.0, len(list_intersect(qw, {_TOK.format('text')})) / len(qw) + len(list_filter(qw, lambda w: contains(lower(text), w))) / len(qw) * 0.5) ELSE 0.0 END AS keyword_match,
+    (CASE WHEN n BETWEEN 200 AND 800 THEN 1.0 WHEN n < 200 THEN n / 200 ELSE 800 / n END
+        + least(1.0, 0.5 + {_case(("contains(text, chr(10))", 0.2), (_contains("text", ("def ", "class ", "function ", "import ")), 0.2), (_contains("text", ("# ", "* ", "- ")), 0.1))})
+        + CASE WHEN ends_with(text, '...') THEN 0.8 ELSE 1.0 END
+        + least(1.0, 0.5 + len(list_filter(string_split(text, '. '), lambda x: regexp_matches(x, '^\\p{{Lu}}'))) / len(string_split(text, '. ')) * 0.3 + CASE WHEN len(ws) > 0 AND list_sum(list_transform(ws, lambda w: length(w))) / len(ws) BETWEEN 3 AND 8 THEN 0.2 ELSE 0 END)) / 4 AS content_quality,
+    CASE WHEN kind = 'code' THEN least(1.0, {_case(*[(f"regexp_matches(text, '(?i){p}')", 0.1) for p in RK.CODE_SIGNS], *[(f"contains(lower(query), '{w}') AND regexp_matches(text, '{p}')", x) for w, p, x in (("function", r"def\s+\w+", 0.3), ("class", r"class\s+\w+", 0.3), ("import", r"import\s+\w+", 0.2))])}) END AS code_relevance,
+    CASE WHEN kind = 'question' THEN least(1.0, {_case(*[(f"contains(lower(text), '{a}')", 0.1) for a in RK.ANSWER_SIGNS], *[(f"contains(lower(query), '{w}') AND {_contains('lower(text)', m)}", 0.2) for w, m in RK.ANSWERS_TO.items()])}) END AS answer_likelihood,
+    CASE WHEN doc_id % 2 = 0 THEN 0.7 ELSE 0.5 END AS freshness,
+    greatest(0.0, least(1.0, 0.5 + {_case((_contains("lower(path)", ("readme", "doc", "guide", "tutorial")), 0.3), (_contains("lower(path)", ("test", "spec", "mock")), -0.2), (_contains("lower(path)", ("main", "core", "index", "app")), 0.2), ("type = 'markdown'", 0.2), ("type = 'code'", 0.1))})) AS source_authority,
+    CASE WHEN n < {_BARS(0)} THEN n / ({_BARS(0)}) WHEN n > {_BARS(1).replace("ELSE 100", "ELSE 1000")} THEN ({_BARS(1).replace("ELSE 100", "ELSE 1000")}) / n ELSE 1.0 END AS length_score
+    FROM (SELECT k.query_id, k.doc_id, k.score, text, path, query, length(text) AS n, CASE doc_id % 6 WHEN 3 THEN 'markdown' WHEN 4 THEN 'json' WHEN 5 THEN 'text' ELSE 'code' END AS type, {_KIND.replace("{0}", "query")} AS kind,
+        {_TOK.format('query')} AS qw, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM k JOIN corpus USING (doc_id) JOIN (SELECT user_id * 1000 + turn AS query_id, query FROM query_table) USING (query_id))"""
+
+
+def _candidates(s: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    asked = W.query_table(s, d).select((F.col("user_id") * 1000 + F.col("turn")).alias("query_id"), "query", P.query_type(F.col("query")).alias("kind"))
+    found = R.keyword_scan(_queries(s, d), table(s, d, "documents"), 50).drop("rank").join(asked, "query_id").join(W.corpus(s, d).select("doc_id", "text", "path"), "doc_id")
+    return found, RK.rerank_features(F.col("query"), F.col("kind"), F.col("text"), F.col("score"), F.col("path"), P.document_type(F.col("path")), F.col("doc_id") % 2 == 0)
+
+
+def _features(s: SparkSession, d: str) -> DataFrame:
+    found, features = _candidates(s, d)
+    return found.select("query_id", "doc_id", *[F.round(c, 6).alias(n) for n, c in features.items()])
+
+
+_SCAN50 = _SCAN.replace("rank <= 10", "rank <= 50")
+_NAMES = ("semantic_similarity", "keyword_match", "content_quality", "code_relevance", "answer_likelihood", "freshness", "source_authority", "length_score")
+register("ret9_rerank_features", f"WITH {_SCAN50} SELECT query_id, doc_id, {', '.join(f'round({n}::DOUBLE, 6) AS {n}' for n in _NAMES)} FROM ({_FEATURES})", _features)
+_SUM = " + ".join(f"coalesce({n}::DOUBLE * {RK.FEATURE_WEIGHTS.get(n, RK.OTHER_WEIGHT)}, 0)" for n in _NAMES)
+_BY = " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE {RK.FEATURE_WEIGHTS.get(n, RK.OTHER_WEIGHT)} END" for n in _NAMES)
+register("ret10_11_retrieve", f"WITH {_SCAN50} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(({_SUM}) / ({_BY})::DOUBLE, 6) AS score FROM ({_FEATURES}))) WHERE rank <= 10", lambda s, d: RK.rerank(*_candidates(s, d)))
+
+
+def _spread(s: SparkSession, d: str) -> DataFrame:
+    docs = W.corpus(s, d).select("doc_id", (F.col("doc_id") % 5).alias("collection"), F.col("text").alias("content"))
+    hits = R.keyword_scan(_queries(s, d), table(s, d, "documents"), 50).drop("rank").join(docs, "doc_id")
+    order = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 4")
+
+
+_SPREAD = f"""{_SCAN50}, hits AS (SELECT * FROM (SELECT query_id, doc_id, score, doc_id % 5 AS collection, text AS content, row_number() OVER (PARTITION BY query_id, doc_id % 5 ORDER BY score DESC, doc_id) AS rank FROM k JOIN documents USING (doc_id)) WHERE rank <= 4),
+    once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, @KEY) = 1)
+    SELECT query_id, doc_id, collection, score, row_number() OVER w AS rank FROM once WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, collection, once.rank, doc_id) QUALIFY row_number() OVER w <= 10"""
+register("acl9_multi_collection", "WITH " + _SPREAD.replace("@KEY", "left(content, 200) ORDER BY collection, rank, doc_id"), lambda s, d: RK.multi_collection_search(_spread(s, d)))
+register("acl10_cross_workspace", "WITH " + _SPREAD.replace("@KEY", "left(content, 100), collection ORDER BY score DESC, rank, doc_id"), lambda s, d: RK.cross_workspace_search(_spread(s, d)))
+
+# reports
+register("acl4_user_workspaces", "SELECT user_id, c.collection_id AS workspace_id, c.name, n_name AS organization_name, role, m.collection_id + user_id AS last_access_at FROM members m JOIN collections c ON m.collection_id = c.collection_id JOIN nation ON c.workspace_id = n_nationkey WHERE is_active AND c.visibility <> 'private'",
+    lambda s, d: RP.user_workspaces(
+        W.members(s, d).select("user_id", F.col("collection_id").alias("workspace_id"), "role", F.when(F.col("is_active"), "active").otherwise("left").alias("status"), (F.col("collection_id") + F.col("user_id")).alias("last_access_at")),
+        W.collections(s, d).select(F.col("collection_id").alias("workspace_id"), "name", F.col("workspace_id").alias("organization_id"), F.when(F.col("visibility") == "private", F.lit("gone")).alias("deleted_at")),
+        table(s, d, "nation").select(F.col("n_nationkey").alias("organization_id"), F.col("n_name").alias("organization_name"))))
+_TYPES = ("code", "markdown", "json", "text", "pdf", "unknown")
+register("ana2_processing_stats", "SELECT document_type, coalesce(n, 0) AS n, coalesce(bytes, 0) AS bytes FROM (SELECT unnest([" + ", ".join(f"'{t}'" for t in _TYPES) + "]) AS document_type) LEFT JOIN (SELECT CASE doc_id % 6 WHEN 3 THEN 'markdown' WHEN 4 THEN 'json' WHEN 5 THEN 'text' ELSE 'code' END AS document_type, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM corpus GROUP BY 1) USING (document_type)",
+    lambda s, d: RP.counts_of(W.corpus(s, d).select(P.document_type(F.col("path")).alias("document_type"), F.octet_length("text").cast("long").alias("bytes")), "document_type", _TYPES))
+register("ana16_batch_efficiency", """SELECT CAST(sum(size) AS BIGINT) AS total, CAST(sum(size) FILTER (b IS NOT NULL) AS BIGINT) AS batched, count(b) AS batches, round(avg(size) FILTER (b IS NOT NULL), 2) AS avg_batch_size, round(avg(wait) FILTER (b IS NOT NULL), 3) AS avg_batch_duration,
+    round(sum(size) FILTER (b IS NOT NULL) / sum(size) * 100, 2) AS efficiency FROM (SELECT CASE WHEN event_id % 3 > 0 THEN user_id END AS b, count(*) AS size, max(value) AS wait FROM events GROUP BY 1)""",
+    lambda s, d: RP.batch_efficiency(table(s, d, "events").select(F.when(F.col("event_id") % 3 > 0, F.col("user_id")).alias("batch_id"), F.col("value").alias("seconds"))))
+register("ana18_click_through", "SELECT event_id % 10 AS rank, count(*) AS shown, count(*) FILTER (event_type = 'click') AS clicks, round(count(*) FILTER (event_type = 'click') / count(*), 6) AS share, round(avg(value) FILTER (event_type = 'click'), 6) AS avg_view FROM events GROUP BY 1",
+    lambda s, d: RP.click_through(table(s, d, "events").select((F.col("event_id") % 10).alias("rank"), (F.col("event_type") == "click").alias("clicked"), F.col("value").alias("seconds"))))
+register("rel8_settings_by_category", "SELECT event_type AS category, event_id AS key, CASE WHEN event_id % 3 > 0 THEN props WHEN event_id % 2 = 0 THEN '***' END AS value, event_id % 3 = 0 AS is_sensitive FROM events",
+    lambda s, d: RP.settings_by_category(table(s, d, "events").select(F.col("event_type").alias("category"), F.col("event_id").alias("key"), F.when((F.col("event_id") % 3 > 0) | (F.col("event_id") % 2 == 0), F.col("props")).alias("value"), (F.col("event_id") % 3 == 0).alias("is_sensitive"))))
+register("ana23_platform_totals", "SELECT 'documents' AS entity, count(*) AS total FROM documents UNION ALL SELECT 'vectors', count(*) FROM embeddings UNION ALL SELECT 'queries', count(*) FROM conversations", lambda s, d: RP.platform_totals({"documents": table(s, d, "documents"), "vectors": table(s, d, "embeddings"), "queries": table(s, d, "conversations")}))
+register("ana23_rate", "SELECT count(*) AS recent, round(count(*) / 86400, 9) AS per_second FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR", lambda s, d: RP.rate(table(s, d, "events"), as_of(table(s, d, "events"))))

@@ -55,12 +55,15 @@ def expand(query: Column, kind: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.concat(usual, F.when(kind == "code", code).when(kind == "question", asked).otherwise(none))), 1, most)
 
 
-def keyword_match(query: Column, content: Column) -> Column:
-    """RET9: the share of the query's words among the content's words, and half the share found inside them; at most 1."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), 1))
-    asked = words(query)
-    inside = F.size(F.filter(asked, lambda w: F.contains(F.lower(content), w)))
-    return F.when(F.size(asked) > 0, F.least(F.lit(1.0), F.size(F.array_intersect(asked, words(content))) / F.size(asked) + inside / F.size(asked) * 0.5)).otherwise(F.lit(0.0))
+def word_set(text: Column) -> Column:
+    """The distinct words of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1))
+
+
+def keyword_match(asked: Column, words: Column, low: Column) -> Column:
+    """RET9: of the query's words the share among the content's words, and half the share found inside its lower-case text; at most 1."""
+    inside = F.size(F.filter(asked, lambda w: F.contains(low, w)))
+    return F.when(F.size(asked) > 0, F.least(F.lit(1.0), F.size(F.array_intersect(asked, words)) / F.size(asked) + inside / F.size(asked) * 0.5)).otherwise(F.lit(0.0))
 
 
 def content_quality(content: Column) -> Column:
@@ -75,17 +78,17 @@ def content_quality(content: Column) -> Column:
     return (length + structure + complete + F.least(F.lit(1.0), language)) / 4
 
 
-def code_relevance(query: Column, content: Column) -> Column:
-    """RET9: 0.1 for each sign of code, more for those that the query names."""
+def code_relevance(query: Column, signs: Column, content: Column) -> Column:
+    """RET9: ``signs`` (0.1 for each sign of code) and more for those that the query names."""
     low = F.lower(query)
     asked = [(F.contains(low, F.lit(w)) & content.rlike(p), x) for w, p, x in (("function", r"def\s+\w+", 0.3), ("class", r"class\s+\w+", 0.3), ("import", r"import\s+\w+", 0.2))]
-    return F.least(F.lit(1.0), _points(*[(content.rlike(f"(?i){p}"), 0.1) for p in CODE_SIGNS], *asked))
+    return F.least(F.lit(1.0), signs + _points(*asked))
 
 
-def answer_likelihood(query: Column, content: Column) -> Column:
-    """RET9: 0.1 for each sign of an answer, 0.2 where the content fits the question word."""
-    low, text = F.lower(query), F.lower(content)
-    return F.least(F.lit(1.0), _points(*[(F.contains(text, F.lit(s)), 0.1) for s in ANSWER_SIGNS], *[(F.contains(low, F.lit(w)) & _any(text, marks), 0.2) for w, marks in ANSWERS_TO.items()]))
+def answer_likelihood(query: Column, signs: Column, low: Column) -> Column:
+    """RET9: ``signs`` (0.1 for each sign of an answer) and 0.2 where the lower-case content fits the question word."""
+    asked = F.lower(query)
+    return F.least(F.lit(1.0), signs + _points(*[(F.contains(asked, F.lit(w)) & _any(low, marks), 0.2) for w, marks in ANSWERS_TO.items()]))
 
 
 def source_authority(path: Column, kind: Column) -> Column:
@@ -102,12 +105,25 @@ def length_fit(content: Column, kind: Column) -> Column:
     return F.when(n < bound(0), n / bound(0)).when(n > bound(1), bound(1) / n).otherwise(F.lit(1.0))
 
 
-def rerank_features(query: Column, kind: Column, content: Column, score: Column, path: Column, document_type: Column, dated: Column) -> dict[str, Column]:
-    """RET9: all features of a hit; code_relevance and answer_likelihood are null for other kinds of query. A null content counts as empty."""
+def prepare_contents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """RET9: what depends on a document alone, worked out once for it and not for each of its hits; a null text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    low = F.lower(text)
+    return docs.withColumns({
+        "_low": low, "_words": word_set(text), "_quality": content_quality(text),
+        "_code": _points(*[(text.rlike(f"(?i){p}"), 0.1) for p in CODE_SIGNS]), "_answer": _points(*[(F.contains(low, F.lit(a)), 0.1) for a in ANSWER_SIGNS]),
+    })
+
+
+def rerank_features(query: Column, asked: Column, kind: Column, content: Column, score: Column, path: Column, document_type: Column, dated: Column) -> dict[str, Column]:
+    """RET9: all features of a hit whose document has the columns of ``prepare_contents``; ``asked`` is the query's word set.
+
+    code_relevance and answer_likelihood are null for other kinds of query.
+    """
     text = F.coalesce(content, F.lit(""))
     return {
-        "semantic_similarity": score, "keyword_match": keyword_match(query, text), "content_quality": content_quality(text),
-        "code_relevance": F.when(kind == "code", code_relevance(query, text)), "answer_likelihood": F.when(kind == "question", answer_likelihood(query, text)),
+        "semantic_similarity": score, "keyword_match": keyword_match(asked, F.col("_words"), F.col("_low")), "content_quality": F.col("_quality"),
+        "code_relevance": F.when(kind == "code", code_relevance(query, F.col("_code"), text)), "answer_likelihood": F.when(kind == "question", answer_likelihood(query, F.col("_answer"), F.col("_low"))),
         "freshness": F.when(dated, 0.7).otherwise(0.5), "source_authority": source_authority(path, document_type), "length_score": length_fit(text, kind),
     }
 

@@ -318,9 +318,10 @@ _FEATURES = f"""SELECT query_id, doc_id, score AS semantic_similarity,
 
 
 def _candidates(s: SparkSession, d: str) -> tuple[DataFrame, dict]:
-    asked = W.query_table(s, d).select((F.col("user_id") * 1000 + F.col("turn")).alias("query_id"), "query", P.query_type(F.col("query")).alias("kind"))
-    found = R.keyword_scan(_queries(s, d), table(s, d, "documents"), 50).drop("rank").join(asked, "query_id").join(W.corpus(s, d).select("doc_id", "text", "path"), "doc_id")
-    return found, RK.rerank_features(F.col("query"), F.col("kind"), F.col("text"), F.col("score"), F.col("path"), P.document_type(F.col("path")), F.col("doc_id") % 2 == 0)
+    asked = W.query_table(s, d).select((F.col("user_id") * 1000 + F.col("turn")).alias("query_id"), "query", P.query_type(F.col("query")).alias("kind"), RK.word_set(F.col("query")).alias("asked"))
+    docs = RK.prepare_contents(W.corpus(s, d).select("doc_id", "text", "path"))
+    found = R.keyword_scan(_queries(s, d), table(s, d, "documents"), 50).drop("rank").join(asked, "query_id").join(docs, "doc_id")
+    return found, RK.rerank_features(F.col("query"), F.col("asked"), F.col("kind"), F.col("text"), F.col("score"), F.col("path"), P.document_type(F.col("path")), F.col("doc_id") % 2 == 0)
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella import queries as Q
 from tessella.functions import profile as P
-from tessella.operators import access, chunks, retrieval, vectors
+from tessella.operators import access, chunks, code, quality, rank, retrieval, vectors
 from tessella.sources import tables
 from tessella.streaming import live
 
@@ -87,3 +87,24 @@ def test_stream_of_metrics_has_one_row_a_window(spark, tmp_path):
     stream = live.metric_windows(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(60)
     assert sorted(r.n for r in spark.table("windows").collect()) == [2, 2, 2, 2]
+
+
+def test_pattern_chunks_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "x = 1\nclass A:\n    def f(self):\n        pass"), (4, "plain")], "doc_id long, text string")
+    found = sorted((r.doc_id, r.start_line, r.end_line, r.type, r.name) for r in code.chunk_by_patterns(docs).collect())
+    assert found == [(3, 2, 2, "class", "A"), (3, 3, 2, "function", "f"), (3, 3, 4, "method", "f")]
+    rest = sorted(r.doc_id for r in code.chunk_with_fallback(docs).where("type = 'semantic_block'").collect())
+    assert rest == [2, 4]
+
+
+def test_assess_without_chunks_and_with_a_circle(spark):
+    docs = spark.createDataFrame([(1, "a\nb"), (2, None)], "doc_id long, text string")
+    held = spark.createDataFrame([(1, 0, "class", "Abcd", "a\nb", 1, 2, 1, ["x"])], "doc_id long, chunk_no int, type string, name string, content string, start_line int, end_line int, complexity int, dependencies array<string>")
+    rows = {r.doc_id: r for r in quality.assess(held, docs, cyclic=docs.where("doc_id = 1")).collect()}
+    assert (rows[1].dependency, rows[1].completeness, rows[1].coherence) == (0.6, 1.0, 0.9)
+    assert (rows[2].coherence, rows[2].completeness, rows[2].dependency) == (0.0, 0.0, 0.8)
+
+
+def test_expansion_of_a_question(spark):
+    row = spark.createDataFrame([("how to sort", "question"), ("one", "semantic"), (None, "semantic")], "q string, k string").select(rank.expand(F.col("q"), F.col("k")).alias("e")).collect()
+    assert [r.e for r in row][:2] == [["how to", "to sort", "sort"], []]

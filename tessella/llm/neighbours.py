@@ -25,10 +25,36 @@ def _edges(u: np.ndarray, w: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(w, pa.int64()), pa.array(sim, pa.float64())], names=["u", "w", "sim"])
 
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
+def _top(edges: DataFrame, k: int, components: DataFrame | None, threshold: float) -> DataFrame:
+    """(u, w, sim, inside): each node's best ``k`` in its own component and its best ``k`` outside, with every link that leads outside."""
     best = edges.groupBy("u", "w").agg(F.max("sim").alias("sim"))
-    order = Window.partitionBy("u").orderBy(F.desc("sim"), "w")
-    return best.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n")
+    if components is None:
+        best = best.withColumn("inside", F.lit(False))
+    else:
+        for end in ("u", "w"):
+            best = best.join(components.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+        best = best.select("u", "w", "sim", (F.coalesce("_u", "u") == F.coalesce("_w", "w")).alias("inside"))
+    order = Window.partitionBy("u", "inside").orderBy(F.desc("sim"), "w")
+    return best.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= k) | (~F.col("inside") & (F.col("sim") >= threshold))).drop("_n")
+
+
+def _joined(components: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``components`` (node, component) after the further links (src, dst)."""
+    if links.isEmpty():
+        return components
+    known = [] if components is None else [components.select(F.col("node").alias("src"), F.col("component").alias("dst"))]
+    for more in known:
+        links = links.unionByName(more)
+    return materialize(connected_components(links))
+
+
+def _join_lists(graph: DataFrame, k: int, components: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame | None, bool]:
+    """The lists and components after every link in ``graph`` that leads outside has joined two components, and whether there was one."""
+    links = graph.where(~F.col("inside") & (F.col("sim") >= threshold)).select(F.col("u").alias("src"), F.col("w").alias("dst"))
+    after = _joined(components, links)
+    if after is components:
+        return graph, components, False
+    return materialize(_top(graph.select("u", "w", "sim"), k, after, threshold)), after, True
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -74,53 +100,58 @@ def _first_graph(nodes: DataFrame, k: int, projections: int, reach: int, dim: in
         ranged = nodes.withColumn("place", place).repartitionByRange("place", "id").sortWithinPartitions("place", "id")
         found = ranged.select("id", "v").mapInArrow(near, EDGES)
         graph = found if graph is None else graph.unionByName(found)
-    return _top(graph, k)
+    return graph
 
 
-def nn_descent(nodes: DataFrame, *, k: int = 10, projections: int = 4, reach: int = 8, rounds: int = 6, settle: float = 0.002) -> DataFrame:
-    """(u, w, sim): about the ``k`` nearest nodes of each of (id, v array<double>, all of one length), by cosine.
+def nn_descent(nodes: DataFrame, *, threshold: float, k: int = 10, projections: int = 4, reach: int = 8, rounds: int = 6, settle: float = 0.002) -> DataFrame | None:
+    """(node, component) of each of (id, v array<double>, all of one length) that a cosine >= ``threshold`` links; None without a link.
 
     Each round joins every node's neighbours, and those it is a neighbour of (the nearest 2k), with their vectors, compares them
-    with each other and keeps each one's best k. It ends when a round changes less than a share ``settle`` of the lists,
-    or after ``rounds``. A round is an equi-join and a group of at most 2k vectors a node; no list is longer.
+    with each other and keeps each one's best k. A list that is full of links is enlarged to the node's whole component: any pair
+    over the threshold joins two components for good, and a node keeps its best k inside and, apart from them, its best k outside.
+    So no list ends above the threshold, and copies within a tight group do not crowd out its links to others. It ends
+    when a round joins nothing and changes less than a share ``settle`` of the lists, or after ``rounds``. A round is an equi-join
+    and a group of at most 4k vectors a node; no list is longer.
     """
     first = nodes.select(F.size("v")).first()
-    spark = nodes.sparkSession
     if first is None:
-        return spark.createDataFrame([], EDGES)
-    graph = materialize(_first_graph(nodes, k, projections, reach, first[0]))
+        return None
+    graph = materialize(_top(_first_graph(nodes, k, projections, reach, first[0]), k, None, threshold))
+    graph, components, _ = _join_lists(graph, k, None, threshold)
     size = graph.count()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
-            ids, worst = group.column(1).to_numpy(), group.column(3).to_numpy()
+            ids, inner, outer, component = (group.column(i).to_numpy() for i in (1, 3, 4, 5))
             m = _matrix(group.column(2).chunk(0))
             sim = m @ m.T
-            better = sim > worst[:, None]
-            np.fill_diagonal(better, False)
+            better = sim > np.where(component[:, None] == component[None, :], inner[:, None], outer[:, None])
+            better &= ids[:, None] != ids[None, :]
             a, b = np.nonzero(better)
             if len(a):
                 yield _edges(ids[a], ids[b], sim[a, b])
 
     for _ in range(rounds):
-        order = Window.partitionBy("c").orderBy(F.desc("sim"), "m")
-        around = graph.select(F.col("u").alias("c"), F.col("w").alias("m"), "sim").unionByName(graph.select(F.col("w").alias("c"), F.col("u").alias("m"), "sim")).distinct()
+        order = Window.partitionBy("c", "inside").orderBy(F.desc("sim"), "m")
+        around = graph.select(F.col("u").alias("c"), F.col("w").alias("m"), "sim", "inside").unionByName(graph.select(F.col("w").alias("c"), F.col("u").alias("m"), "sim", "inside")).distinct()
         around = around.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * k).select("c", "m")
-        worst = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("least")).select(F.col("u").alias("id"), F.when(F.col("n") >= k, F.col("least")).otherwise(-2.0).alias("worst"))
-        known = nodes.join(worst, "id", "left").select(F.col("id").alias("m"), "v", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-        joined = around.join(known, "m").select("c", "m", "v", "worst").repartition("c").sortWithinPartitions("c", "m")
-        after = materialize(_top(graph.unionByName(joined.mapInArrow(compare, EDGES)), k))
+        least = [F.when(F.count_if(here) >= k, F.min(F.when(here, F.col("sim")))).otherwise(-2.0).alias(name) for name, here in (("inner", F.col("inside")), ("outer", ~F.col("inside")))]
+        known = nodes.join(graph.groupBy(F.col("u").alias("id")).agg(*least), "id", "left")
+        known = known.withColumn("component", F.col("id")) if components is None else known.join(components.withColumnRenamed("node", "id"), "id", "left")
+        known = known.select(F.col("id").alias("m"), "v", F.coalesce("inner", F.lit(-2.0)).alias("inner"), F.coalesce("outer", F.lit(-2.0)).alias("outer"), F.coalesce("component", "id").alias("component"))
+        joined = around.join(known, "m").select("c", "m", "v", "inner", "outer", "component").repartition("c").sortWithinPartitions("c", "m")
+        after = materialize(_top(graph.select("u", "w", "sim").unionByName(joined.mapInArrow(compare, EDGES)), k, components, threshold))
         changed = after.join(graph, ["u", "w"], "left_anti").count()
-        graph = after
-        if changed <= settle * size:
+        graph, components, more = _join_lists(after, k, components, threshold)
+        if not more and changed <= settle * size:
             break
-    return graph
+    return components
 
 
 def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """(id, n): the multiplicity of all nodes linked with each, from every pair inside a component of (id, v, mult, component).
 
-    Lists that are full of links are hereby enlarged to the whole component. A large component is cut in blocks; each pair of
+    A large component is cut in blocks; each pair of
     blocks is a matrix product in a task of its own that gives out sums, not pairs.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).drop("m")
@@ -151,9 +182,8 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", **descent) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row, for links of cosine >= ``threshold`` in double precision.
 
-    Equal vectors are one node with a count, and link with each other. NN-descent gives the neighbour graph of the nodes; its
-    edges over the threshold form components, and links are counted over every pair in a component, which enlarges full neighbour
-    lists as far as they can reach. Vectors that are null, empty, zero or hold null or non-finite components link with nothing and
+    Equal vectors are one node with a count, and link with each other. NN-descent finds the
+    components that links form among the nodes, and links are counted over every pair in a component. Vectors that are null, empty, zero or hold null or non-finite components link with nothing and
     are their own component; so do vectors of a length that no other has. A row with a null id links with nothing and has a
     null component; rows that repeat an id are nodes of one name. An empty table gives no rows.
     """
@@ -164,12 +194,12 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, bl
     valid = valid.withColumn("top", F.array_max(F.transform("v", F.abs))).select("vec_id", F.transform("v", lambda x: x / F.col("top")).alias("v"))
     nodes = materialize(valid.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")).select("id", "v", "mult", F.xxhash64("v").alias("h")))
     lengths = sorted(r[0] for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect())
-    edges = None
-    for d in lengths:
-        graph = nn_descent(nodes.where(F.size("v") == d).select("id", "v"), k=k, **descent).where(F.col("sim") >= threshold).select(F.col("u").alias("src"), F.col("w").alias("dst"))
-        edges = graph if edges is None else edges.unionByName(graph)
     spark = vectors.sparkSession
-    edges = edges if edges is not None else spark.createDataFrame([], "src long, dst long")
+    edges = spark.createDataFrame([], "src long, dst long")
+    for d in lengths:
+        found = nn_descent(nodes.where(F.size("v") == d).select("id", "v"), threshold=threshold, k=k, **descent)
+        if found is not None:
+            edges = edges.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))
     components = materialize(connected_components(edges))
     grouped = nodes.join(components, F.col("id") == F.col("node")).select("id", "v", "mult", "component")
     counts = None

@@ -119,6 +119,37 @@ def test_near_vectors_recall(spark):
     assert neighbours.audit_recall(vectors, neighbours.near_vectors(vectors), every=5) >= 0.9
 
 
+def beside(rnd, x, cosine):
+    """A random unit vector of this cosine to the unit vector ``x``."""
+    y = rnd.normal(size=x.shape)
+    y -= (y @ x) * x
+    return cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y)
+
+
+def links_by_brute_force(vectors):
+    """(n_links, component) of each place, by all pairs."""
+    linked = vectors @ vectors.T >= 0.95
+    np.fill_diagonal(linked, False)
+    of = np.arange(len(vectors))
+    while True:
+        least = np.minimum(of, np.where(linked, of[None, :], len(of)).min(axis=1))
+        if (least == of).all():
+            return linked.sum(axis=1).tolist(), of.tolist()
+        of = least
+
+
+def test_near_vectors_join_tight_groups_of_more_copies_than_a_list_holds(spark):
+    rnd = np.random.RandomState(8)
+    rows = [beside(rnd, np.eye(64)[0], 0.0) for _ in range(300)]
+    for i in range(3):
+        for centre in (np.eye(64)[i], beside(rnd, np.eye(64)[i], 0.965)):
+            rows += [beside(rnd, centre, 0.9995) for _ in range(100)]
+    vectors = np.array(rows)[rnd.permutation(len(rows))]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_vectors(frame).collect())
+    assert got == list(zip(range(len(rows)), *links_by_brute_force(vectors)))
+
+
 def test_warc_round_trip_and_damage(spark):
     rows = [(5, "http://a", "x"), (2, "http://b\r\nq%0A", "x"), (9, None, None), (7, "u", ""), (8, "v", "é" * 70_000)]
     archives = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), archive_bytes=10)

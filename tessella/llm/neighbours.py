@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize
 
 EDGES = "u long, w long, sim double"
+#: Share of the pairs at the threshold that the start may miss, the nodes of a bucket aimed at, and tables of buckets in one job.
+MISS, BUCKET, WAVE = 0.01, 128, 8
+log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -75,49 +81,148 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _first_graph(nodes: DataFrame, k: int, projections: int, reach: int, dim: int) -> DataFrame:
-    """Neighbours along a few random directions: nodes are range-partitioned by their projection, and look ``reach`` places around."""
-    graph = None
-    for r in range(projections):
-        axis = np.random.RandomState(101 + r).normal(size=dim)
-        axis = F.array(*[F.lit(float(x)) for x in axis])
-        place = F.aggregate(F.zip_with("v", axis, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+def _labels(linked: np.ndarray) -> np.ndarray:
+    """The smallest place that each can reach over the symmetric matrix ``linked``, whose diagonal is true."""
+    label = np.arange(len(linked))
+    rows = np.flatnonzero(linked.sum(axis=1) > 1)
+    linked, of = linked[np.ix_(rows, rows)], np.arange(len(rows))
+    while len(rows):
+        least = np.where(linked, of[None, :], len(of)).min(axis=1)
+        least = least[least]
+        if (least == of).all():
+            break
+        of = least
+    label[rows] = rows[of]
+    return label
+
+
+def _block_pairs(members: DataFrame, by: str, block: int, sizes: DataFrame) -> DataFrame:
+    """``members`` with (unit, side): the groups ``by`` that ``sizes`` names with their blocks are cut, each pair of blocks (sides 1 and 2) and each block (side 0) is a unit."""
+    own = members.join(sizes, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("id", by), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("a"), F.greatest(F.col("mine"), o).alias("b")))
+    units = own.withColumn("p", F.explode(pair))
+    return units.withColumn("unit", F.xxhash64(by, "p.a", "p.b")).withColumn("side", F.when(F.col("p.a") == F.col("p.b"), 0).when(F.col("mine") == F.col("p.a"), 1).otherwise(2))
+
 
-        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tail: pa.Table | None = None
+def _start(nodes: DataFrame, dim: int, bits: int, tables: range, threshold: float, near: int, block: int) -> DataFrame:
+    """(u, w, sim, link): what nodes in one bucket have to do with each other, a bucket being the signs along ``bits`` random directions.
+
+    All pairs in a bucket are compared, in blocks if it is large. ``link`` rows join what links join there, by fewer rows than
+    nodes; the others are each node's ``near`` nearest among those it is joined with and among the rest.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes = [np.random.RandomState(101 + t).normal(size=(dim, bits)) for t in tables]
+        for batch in batches:
+            if batch.num_rows:
+                m = _matrix(batch.column(1))
+                keys = np.stack([((t << 48) + ((m @ axis > 0) @ (1 << np.arange(bits, dtype=np.int64)))) for t, axis in zip(tables, axes)], axis=1)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * len(axes), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], names=["id", "v", "keys"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            ids, side = group.column(1).to_numpy(), group.column(3).to_numpy()
+            if len(ids) < 2:
+                continue
+            m = _matrix(group.column(2).chunk(0))
+            sim = m @ m.T
+            linked = sim >= threshold
+            np.fill_diagonal(linked, True)
+            label, before = _labels(linked), np.arange(len(ids))
+            if side[0]:
+                before = _labels(linked & (side[:, None] == side[None, :]))
+            joins = np.unique(np.stack([ids[before], ids[label]], axis=1)[before != label], axis=0)
+            found = [(joins[:, 0], joins[:, 1], np.full(len(joins), threshold), True)]
+            if not side[0]:
+                same = label[:, None] == label[None, :]
+                for mask in (same & (ids[:, None] != ids[None, :]), ~same):
+                    s = np.where(mask, sim, -3.0)
+                    best = np.argpartition(-s, near - 1, axis=1)[:, :near] if len(ids) > near else np.tile(before, (len(ids), 1))
+                    a, b = np.repeat(before, best.shape[1]), best.ravel()
+                    keep = s[a, b] > -3
+                    found.append((ids[a[keep]], ids[b[keep]], s[a, b][keep], False))
+            for u, w, s, link in found:
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([*_edges(u, w, s).columns, pa.array([link] * len(u))], names=["u", "w", "sim", "link"])
+
+    signed = nodes.select("id", "v").mapInArrow(sign, "id long, v array<double>, keys array<long>").select("id", "v", F.explode("keys").alias("key"))
+    sizes = materialize(signed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > block).select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    units = _block_pairs(signed, "key", block, sizes).select("unit", "id", "v", "side")
+    return units.repartition("unit").sortWithinPartitions("unit", "side", "id").mapInArrow(compare, EDGES + ", link boolean")
+
+
+def _audit(nodes: DataFrame, components: DataFrame | None, threshold: float) -> tuple[int, int, DataFrame]:
+    """The true links of the nodes (id, v, mult, audited) that are audited, by brute force in blocks, how many of them are inside a component, and (src, dst) that join the others."""
+    named = nodes.withColumn("component", F.col("id")) if components is None else nodes.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialize(named)
+    true, inside, missed = 0, 0, nodes.sparkSession.createDataFrame([], "src long, dst long")
+
+    def check(block: list) -> DataFrame:
+        ids, component, m = np.array([r[0] for r in block]), np.array([r[1] for r in block]), _matrix(pa.array([r[2] for r in block], pa.list_(pa.float64())))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, held, lost = 0, 0, set()
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                table = pa.Table.from_batches([batch])
-                table = table if tail is None else pa.concat_tables([tail, table])
-                table = table.combine_chunks()
-                ids, m = table.column(0).to_numpy(), _matrix(table.column(1).chunk(0))
-                for step in range(1, min(reach, len(ids) - 1) + 1):
-                    sim = (m[step:] * m[:-step]).sum(axis=1)
-                    yield _edges(np.concatenate([ids[step:], ids[:-step]]), np.concatenate([ids[:-step], ids[step:]]), np.tile(sim, 2))
-                tail = table.slice(max(0, len(ids) - reach))
-
-        ranged = nodes.withColumn("place", place).repartitionByRange("place", "id").sortWithinPartitions("place", "id")
-        found = ranged.select("id", "v").mapInArrow(near, EDGES)
-        graph = found if graph is None else graph.unionByName(found)
-    return graph
-
-
-def nn_descent(nodes: DataFrame, *, threshold: float, k: int = 10, projections: int = 4, reach: int = 8, rounds: int = 6, settle: float = 0.002) -> DataFrame | None:
-    """(node, component) of each of (id, v array<double>, all of one length) that a cosine >= ``threshold`` links; None without a link.
-
-    Each round joins every node's neighbours, and those it is a neighbour of (the nearest 2k), with their vectors, compares them
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    others, of, mult = (part.column(i).to_numpy() for i in (0, 1, 3))
+                    a, b = np.nonzero((m @ _matrix(part.column(2)).T >= threshold) & (ids[:, None] != others[None, :]))
+                    here = component[a] == of[b]
+                    n, held = n + int(mult[b].sum()), held + int(mult[b[here]].sum())
+                    lost |= set(zip(component[a[~here]].tolist(), of[b[~here]].tolist()))
+            rows = [(None, None, n, held), *((x, y, 0, 0) for x, y in lost)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["src", "dst", "n", "held"])
+
+        return materialize(named.select("id", "component", "v", "mult").mapInArrow(count, "src long, dst long, n long, held long"))
+
+    rows = named.where("audited").select("id", "component", "v").toLocalIterator()
+    while block := list(itertools.islice(rows, 4096)):
+        found = check(block)
+        n, held = found.agg(F.sum("n"), F.sum("held")).first()
+        true, inside, missed = true + (n or 0), inside + (held or 0), missed.unionByName(found.where("src IS NOT NULL").select("src", "dst"))
+    return true, inside, missed
+
+
+def nn_descent(nodes: DataFrame, *, threshold: float, k: int = 10, near: int = 4, block: int = 1024, settle: float = 0.002, recall: float = 0.9) -> DataFrame | None:
+    """(node, component) of each of (id, v array<double>, all of one length, mult, audited) that a cosine >= ``threshold`` links; None without a link.
+
+    It starts from buckets of random directions: as many tables of them, growing with the number of nodes, that a pair at the
+    threshold shares one with a probability of 99% (``MISS``). Each round then
+    joins every node's neighbours, and those it is a neighbour of (the nearest 2k), with their vectors, compares them
     with each other and keeps each one's best k. A list that is full of links is enlarged to the node's whole component: any pair
     over the threshold joins two components for good, and a node keeps its best k inside and, apart from them, its best k outside.
-    So no list ends above the threshold, and copies within a tight group do not crowd out its links to others. It ends
-    when a round joins nothing and changes less than a share ``settle`` of the lists, or after ``rounds``. A round is an equi-join
+    So no list ends above the threshold, and copies within a tight group do not crowd out its links to others. Rounds end
+    when one joins nothing and changes less than a share ``settle`` of the lists. A round is an equi-join
     and a group of at most 4k vectors a node; no list is longer.
+    Then the true links of the ``audited`` nodes are found by brute force. While under a share ``recall`` of them is inside
+    components, it goes on with further tables of buckets of half the directions, at last of none, which compare all pairs.
     """
-    first = nodes.select(F.size("v")).first()
-    if first is None:
+    first = nodes.agg(F.count("*"), F.first(F.size("v"))).first()
+    if not first[0]:
         return None
-    graph = materialize(_top(_first_graph(nodes, k, projections, reach, first[0]), k, None, threshold))
-    graph, components, _ = _join_lists(graph, k, None, threshold)
+    bits, used, graph, components = min(40, max(0, math.ceil(math.log2(first[0] / BUCKET)))), 0, None, None
+    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    while True:
+        tables = 1 if not bits or agree == 1 else math.ceil(math.log(MISS) / math.log1p(-(agree**bits)))
+        for low in range(used, used + tables, WAVE):
+            found = materialize(_start(nodes, first[1], bits, range(low, min(low + WAVE, used + tables)), threshold, near, block))
+            components = _joined(components, found.where("link").select(F.col("u").alias("src"), F.col("w").alias("dst")))
+            lists = found.where(~F.col("link")).select("u", "w", "sim")
+            graph = materialize(_top(lists if graph is None else graph.select("u", "w", "sim").unionByName(lists), k, components, threshold))
+        used += tables
+        graph, components = _descend(nodes, graph, components, k, threshold, settle)
+        true, inside, missed = _audit(nodes, components, threshold)
+        log.info("%d nodes, buckets of %d directions, %d tables: %d of %d audited links are inside components", first[0], bits, used, inside, true)
+        components = _joined(components, missed)
+        if not bits or inside >= recall * true:
+            return components
+        bits //= 2
+
+
+def _descend(nodes: DataFrame, graph: DataFrame, components: DataFrame | None, k: int, threshold: float, settle: float) -> tuple[DataFrame, DataFrame | None]:
+    """The lists and components after rounds of joining neighbours, until they are settled."""
+    graph, components, _ = _join_lists(graph, k, components, threshold)
     size = graph.count()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,21 +236,21 @@ def nn_descent(nodes: DataFrame, *, threshold: float, k: int = 10, projections:
             if len(a):
                 yield _edges(ids[a], ids[b], sim[a, b])
 
-    for _ in range(rounds):
+    while True:
         order = Window.partitionBy("c", "inside").orderBy(F.desc("sim"), "m")
         around = graph.select(F.col("u").alias("c"), F.col("w").alias("m"), "sim", "inside").unionByName(graph.select(F.col("w").alias("c"), F.col("u").alias("m"), "sim", "inside")).distinct()
         around = around.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 2 * k).select("c", "m")
         least = [F.when(F.count_if(here) >= k, F.min(F.when(here, F.col("sim")))).otherwise(-2.0).alias(name) for name, here in (("inner", F.col("inside")), ("outer", ~F.col("inside")))]
-        known = nodes.join(graph.groupBy(F.col("u").alias("id")).agg(*least), "id", "left")
+        known = nodes.select("id", "v").join(graph.groupBy(F.col("u").alias("id")).agg(*least), "id", "left")
         known = known.withColumn("component", F.col("id")) if components is None else known.join(components.withColumnRenamed("node", "id"), "id", "left")
         known = known.select(F.col("id").alias("m"), "v", F.coalesce("inner", F.lit(-2.0)).alias("inner"), F.coalesce("outer", F.lit(-2.0)).alias("outer"), F.coalesce("component", "id").alias("component"))
         joined = around.join(known, "m").select("c", "m", "v", "inner", "outer", "component").repartition("c").sortWithinPartitions("c", "m")
         after = materialize(_top(graph.select("u", "w", "sim").unionByName(joined.mapInArrow(compare, EDGES)), k, components, threshold))
         changed = after.join(graph, ["u", "w"], "left_anti").count()
         graph, components, more = _join_lists(after, k, components, threshold)
+        log.info("%d of %d neighbours changed", changed, size)
         if not more and changed <= settle * size:
-            break
-    return components
+            return graph, components
 
 
 def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -155,10 +260,7 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     blocks is a matrix product in a task of its own that gives out sums, not pairs.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).drop("m")
-    own = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("a"), F.greatest(F.col("mine"), o).alias("b")))
-    units = own.select("component", "id", "v", "mult", "mine", F.explode(pair).alias("p"))
-    units = units.select(F.xxhash64("component", "p.a", "p.b").alias("unit"), "id", "v", "mult", F.when(F.col("p.a") == F.col("p.b"), 0).when(F.col("mine") == F.col("p.a"), 1).otherwise(2).alias("side"))
+    units = _block_pairs(members.join(sizes.select("component"), "component"), "component", block, sizes).select("unit", "id", "v", "mult", "side")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -179,11 +281,12 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit", "side", "id").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", **descent) -> DataFrame:
+def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, block: int = 2048, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", **descent) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row, for links of cosine >= ``threshold`` in double precision.
 
     Equal vectors are one node with a count, and link with each other. NN-descent finds the
-    components that links form among the nodes, and links are counted over every pair in a component. Vectors that are null, empty, zero or hold null or non-finite components link with nothing and
+    components that links form among the nodes, and links are counted over every pair in a component; it audits itself on the
+    rows whose id is divisible by ``every``. Vectors that are null, empty, zero or hold null or non-finite components link with nothing and
     are their own component; so do vectors of a length that no other has. A row with a null id links with nothing and has a
     null component; rows that repeat an id are nodes of one name. An empty table gives no rows.
     """
@@ -192,12 +295,12 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, bl
     valid = rows.where(fine & F.col("vec_id").isNotNull())
     # by the largest component first, so that the squares of very small or large ones stay in range
     valid = valid.withColumn("top", F.array_max(F.transform("v", F.abs))).select("vec_id", F.transform("v", lambda x: x / F.col("top")).alias("v"))
-    nodes = materialize(valid.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")).select("id", "v", "mult", F.xxhash64("v").alias("h")))
+    nodes = materialize(valid.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.max(F.col("vec_id") % every == 0).alias("audited")).select("id", "v", "mult", "audited", F.xxhash64("v").alias("h")))
     lengths = sorted(r[0] for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect())
     spark = vectors.sparkSession
     edges = spark.createDataFrame([], "src long, dst long")
     for d in lengths:
-        found = nn_descent(nodes.where(F.size("v") == d).select("id", "v"), threshold=threshold, k=k, **descent)
+        found = nn_descent(nodes.where(F.size("v") == d).select("id", "v", "mult", "audited"), threshold=threshold, k=k, **descent)
         if found is not None:
             edges = edges.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst")))
     components = materialize(connected_components(edges))

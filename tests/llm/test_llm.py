@@ -150,6 +150,29 @@ def test_near_vectors_join_tight_groups_of_more_copies_than_a_list_holds(spark):
     assert got == list(zip(range(len(rows)), *links_by_brute_force(vectors)))
 
 
+@pytest.fixture(scope="module")
+def planted(spark):
+    """6,000 random vectors, a near copy each of 300 of them, and two groups of hundreds that have tight sub-groups; (rows, their table, its result)."""
+    rnd = np.random.RandomState(9)
+    rows = [beside(rnd, np.eye(64)[0], 0.0) for _ in range(6000)]
+    rows += [beside(rnd, x, 0.97) for x in rows[:300]]
+    for i in range(2):
+        for centre in (np.eye(64)[i], beside(rnd, np.eye(64)[i], 0.965)):
+            rows += [beside(rnd, centre, 0.9995) for _ in range(120)]
+    vectors = np.array(rows)[rnd.permutation(len(rows))]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>").cache()
+    return vectors, frame, neighbours.near_vectors(frame).cache()
+
+
+def test_near_vectors_find_planted_pairs_among_thousands(planted):
+    vectors, _, result = planted
+    links, components = links_by_brute_force(vectors)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in result.collect()}
+    linked = [i for i, n in enumerate(links) if n]
+    assert len(linked) >= 1000 and sum(got[i] == (links[i], components[i]) for i in linked) >= 0.98 * len(linked)
+    assert all(got[i][0] <= links[i] for i in got)
+
+
 def test_warc_round_trip_and_damage(spark):
     rows = [(5, "http://a", "x"), (2, "http://b\r\nq%0A", "x"), (9, None, None), (7, "u", ""), (8, "v", "é" * 70_000)]
     archives = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), archive_bytes=10)

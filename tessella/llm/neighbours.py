@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import logging
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -322,7 +323,10 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, bl
 
 
 def audit_recall(vectors: DataFrame, result: DataFrame, *, threshold: float = 0.95, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
-    """Share of the true links of the rows whose id is divisible by ``every`` that ``result`` counted, found by brute force in blocks."""
+    """Share of the true links of the rows whose id is divisible by ``every`` that ``result`` counted, found by brute force in blocks.
+
+    Rows without any link measure nothing: a warning says so, and the share is 1.
+    """
     unit = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     queries = unit.where(F.col("id") % every == 0).select("id", "v")
     total, found = 0, 0
@@ -351,4 +355,7 @@ def audit_recall(vectors: DataFrame, result: DataFrame, *, threshold: float = 0.
     if block:
         a, b = check(block)
         total, found = total + a, found + b
-    return found / total if total else 1.0
+    if not total:
+        warnings.warn("no links among the audited rows: nothing was measured", stacklevel=2)
+        return 1.0
+    return found / total

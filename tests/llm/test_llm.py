@@ -173,6 +173,14 @@ def test_near_vectors_find_planted_pairs_among_thousands(planted):
     assert all(got[i][0] <= links[i] for i in got)
 
 
+def test_audit_measures_planted_links_and_says_when_there_are_none(planted):
+    _, frame, result = planted
+    assert neighbours.audit_recall(frame, result) >= 0.98
+    assert neighbours.audit_recall(frame, result.withColumn("n_links", result.n_links * 0)) == 0
+    with pytest.warns(UserWarning, match="no links"):
+        neighbours.audit_recall(frame.limit(0), result)
+
+
 def test_warc_round_trip_and_damage(spark):
     rows = [(5, "http://a", "x"), (2, "http://b\r\nq%0A", "x"), (9, None, None), (7, "u", ""), (8, "v", "é" * 70_000)]
     archives = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), archive_bytes=10)

@@ -42,6 +42,16 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert mine == sorted([plain(r[names.index(c)]) for c in sorted(names)] for r in want.fetchall())
 
 
+def test_settings_are_resolved_over_all_events(spark):
+    best = {}
+    for r in spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id").collect():
+        key = r.user_id % 40
+        scope = key % 4 + r.event_id % (4 - key % 4)
+        best[key] = min(best.get(key, (9, 0)), (scope, r.event_id))
+    got = {r.key: (["user", "workspace", "organization", "global"].index(r.scope), r.value) for r in Q.QUERIES["rel7_settings_all"](spark, DATA).collect()}
+    assert got == best and len({scope for scope, _ in got.values()}) == 4
+
+
 def test_question_mark_goes_before_the_type_is_told(spark):
     row = spark.createDataFrame([("How does it work?",), ("islands of the north",), ("def f(): pass?",)], "q string").select(P.clean_query(F.col("q")), P.query_type(F.col("q"))).collect()
     assert [tuple(r) for r in row] == [("How does it work", "question"), ("islands of the north", "question"), ("def f(): pass?", "question")]

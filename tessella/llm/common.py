@@ -13,10 +13,13 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in local tests, a folder of our own is used.
+    Where the setting is absent a local master, as in tests, gets a folder of its own; a cluster, whose machines
+    would each write to a folder that the others can't see, gets an error.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         own = getattr(shared_dir, "own", None)
         if own is None:
             own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -24,12 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and it is computed once."""
+def materialize(df: DataFrame, *, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, and it is computed once.
+
+    ``instead_of`` is an earlier result of this function that nothing reads any more; its files go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        discard(instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a result of ``materialize``; of any other frame, nothing."""
+    path = df.__dict__.get("written_to")
+    if path:
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def extended(schema: StructType, *more: tuple[str, str]) -> StructType:
@@ -45,7 +64,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: each is a group-by with a join on
     the grouped minimum, so no node's neighbour list is ever collected. The edges are
-    written to the shared folder after each round, and the loop ends when a round
+    written to the shared folder after each round, in place of the round's before, and the loop ends when a round
     changes none (a checksum over all edges tells).
     """
     pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
@@ -60,7 +79,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: neighbours smaller than u, and u itself, are linked to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        pairs = materialize(small.where("u <> v").distinct())
+        pairs = materialize(small.where("u <> v").distinct(), instead_of=pairs)
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

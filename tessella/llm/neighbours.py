@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, materialize
 
 EDGES = "u long, w long, sim double"
 #: Share of the pairs at the threshold that the start may miss, the nodes of a bucket aimed at, and tables of buckets in one job.
 MISS, BUCKET, WAVE = 0.01, 128, 8
+#: Nodes of a large bucket that all its blocks have in common.
+HUBS = 16
 log = logging.getLogger(__name__)
 
 
@@ -61,7 +64,7 @@ def _join_lists(graph: DataFrame, k: int, components: DataFrame | None, threshol
     after = _joined(components, links)
     if after is components:
         return graph, components, False
-    return materialize(_top(graph.select("u", "w", "sim"), k, after, threshold)), after, True
+    return materialize(_top(graph.select("u", "w", "sim"), k, after, threshold), instead_of=graph), after, True
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -97,19 +100,26 @@ def _labels(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def _block_pairs(members: DataFrame, by: str, block: int, sizes: DataFrame) -> DataFrame:
-    """``members`` with (unit, side): the groups ``by`` that ``sizes`` names with their blocks are cut, each pair of blocks (sides 1 and 2) and each block (side 0) is a unit."""
-    own = members.join(sizes, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("id", by), F.col("blocks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("a"), F.greatest(F.col("mine"), o).alias("b")))
-    units = own.withColumn("p", F.explode(pair))
+def _block_pairs(members: DataFrame, by: str) -> DataFrame:
+    """(unit, side) of rows with their block ``mine``: each pair of the ``blocks`` of a group ``by`` of which one is among its first ``hard`` ones is a unit, with sides 1 and 2, or 0 within a block."""
+    pair = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (F.col("mine") < F.col("hard")) | (o < F.col("hard"))), lambda o: F.struct(F.least(F.col("mine"), o).alias("a"), F.greatest(F.col("mine"), o).alias("b")))
+    units = members.withColumn("p", F.explode(pair))
     return units.withColumn("unit", F.xxhash64(by, "p.a", "p.b")).withColumn("side", F.when(F.col("p.a") == F.col("p.b"), 0).when(F.col("mine") == F.col("p.a"), 1).otherwise(2))
 
 
+def _in_blocks(members: DataFrame, by: str, sizes: DataFrame) -> DataFrame:
+    """``members`` with ``blocks`` (1 for a group that ``sizes`` does not name), ``hard`` (all of them) and their own, ``mine``, dealt by hash."""
+    own = members.join(sizes, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("hard", F.col("blocks"))
+    return own.withColumn("mine", F.pmod(F.xxhash64("id", by), F.col("blocks")).cast("int"))
+
+
 def _start(nodes: DataFrame, dim: int, bits: int, tables: range, threshold: float, near: int, block: int) -> DataFrame:
     """(u, w, sim, link): what nodes in one bucket have to do with each other, a bucket being the signs along ``bits`` random directions.
 
-    All pairs in a bucket are compared, in blocks if it is large. ``link`` rows join what links join there, by fewer rows than
-    nodes; the others are each node's ``near`` nearest among those it is joined with and among the rest.
+    All pairs in a bucket are compared. A larger bucket than ``block`` is dealt into blocks, each with the ``HUBS`` smallest
+    nodes of the first one, so that its work grows with its size and not the square: what its blocks miss is left to the rounds that
+    follow. Without directions there is one bucket of all nodes, and all pairs of its blocks are compared. ``link`` rows join what links join there, by fewer
+    rows than nodes; the others are each node's ``near`` nearest among those it is joined with and among the rest.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +159,14 @@ def _start(nodes: DataFrame, dim: int, bits: int, tables: range, threshold: floa
 
     signed = nodes.select("id", "v").mapInArrow(sign, "id long, v array<double>, keys array<long>").select("id", "v", F.explode("keys").alias("key"))
     sizes = materialize(signed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > block).select("key", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    units = _block_pairs(signed, "key", block, sizes).select("unit", "id", "v", "side")
+    dealt = _in_blocks(signed, "key", sizes)
+    if bits:
+        units = dealt.select(F.xxhash64("key", "mine").alias("unit"), "id", "v", F.lit(0).alias("side"))
+        hubs = dealt.where("blocks > 1 and mine = 0").withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("_n") <= HUBS)
+        others = hubs.withColumn("other", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+        units = units.unionByName(others.select(F.xxhash64("key", "other").alias("unit"), "id", "v", F.lit(0).alias("side")))
+    else:
+        units = _block_pairs(dealt, "key").select("unit", "id", "v", "side")
     return units.repartition("unit").sortWithinPartitions("unit", "side", "id").mapInArrow(compare, EDGES + ", link boolean")
 
 
@@ -210,7 +227,8 @@ def nn_descent(nodes: DataFrame, *, threshold: float, k: int = 10, near: int = 4
             found = materialize(_start(nodes, first[1], bits, range(low, min(low + WAVE, used + tables)), threshold, near, block))
             components = _joined(components, found.where("link").select(F.col("u").alias("src"), F.col("w").alias("dst")))
             lists = found.where(~F.col("link")).select("u", "w", "sim")
-            graph = materialize(_top(lists if graph is None else graph.select("u", "w", "sim").unionByName(lists), k, components, threshold))
+            graph = materialize(_top(lists if graph is None else graph.select("u", "w", "sim").unionByName(lists), k, components, threshold), instead_of=graph)
+            discard(found)
         used += tables
         graph, components = _descend(nodes, graph, components, k, threshold, settle)
         true, inside, missed = _audit(nodes, components, threshold)
@@ -248,6 +266,7 @@ def _descend(nodes: DataFrame, graph: DataFrame, components: DataFrame | None, k
         joined = around.join(known, "m").select("c", "m", "v", "inner", "outer", "component").repartition("c").sortWithinPartitions("c", "m")
         after = materialize(_top(graph.select("u", "w", "sim").unionByName(joined.mapInArrow(compare, EDGES)), k, components, threshold))
         changed = after.join(graph, ["u", "w"], "left_anti").count()
+        discard(graph)
         graph, components, more = _join_lists(after, k, components, threshold)
         log.info("%d of %d neighbours changed", changed, size)
         if not more and changed <= settle * size:
@@ -257,11 +276,17 @@ def _descend(nodes: DataFrame, graph: DataFrame, components: DataFrame | None, k
 def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """(id, n): the multiplicity of all nodes linked with each, from every pair inside a component of (id, v, mult, component).
 
-    A large component is cut in blocks; each pair of
-    blocks is a matrix product in a task of its own that gives out sums, not pairs.
+    A large component is cut in blocks; each pair of blocks is a matrix product in a task of its own that gives out sums,
+    not pairs. A group of close copies costs no pairs: see ``_cores``.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).drop("m")
-    units = _block_pairs(members.join(sizes.select("component"), "component"), "component", block, sizes).select("unit", "id", "v", "mult", "side")
+    sizes = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = materialize(sizes.withColumn("large", F.col("m") > block))
+    small = members.join(sizes.where("not large").select("component"), "component")
+    units, sure = small.select(F.xxhash64("component").alias("unit"), "id", "v", "mult", F.lit(0).alias("side")), None
+    if not sizes.where("large").isEmpty():
+        cored = _cores(members.join(sizes.where("large").select("component"), "component"), threshold, block)
+        units = units.unionByName(_block_pairs(cored, "component").select("unit", "id", "v", "mult", "side"))
+        sure = cored.where("core").select("id", (F.col("core_mult") - F.col("mult")).alias("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
@@ -279,24 +304,65 @@ def _count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
                     n[right] += linked.T @ mult[rows]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
 
-    return units.repartition("unit").sortWithinPartitions("unit", "side", "id").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = units.repartition("unit").sortWithinPartitions("unit", "side", "id").mapInArrow(count, "id long, n long")
+    return (found if sure is None else found.unionByName(sure)).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, block: int = 2048, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding", **descent) -> DataFrame:
+def _cores(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``members`` of large components with ``core``, the multiplicity ``core_mult`` of their component's core, and their blocks.
+
+    The core are the nodes within half of a link's angle of the component's mean direction: any two of them are linked, so
+    they need no comparison. The others, in the first ``hard`` blocks, are compared with each other and with the core.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                component, m = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                own, at = np.unique(component, return_inverse=True)
+                total = np.zeros((len(own), m.shape[1]))
+                np.add.at(total, at.ravel(), m)
+                yield pa.RecordBatch.from_pydict({"component": np.repeat(own, m.shape[1]), "place": np.tile(np.arange(m.shape[1]), len(own)), "s": total.ravel()})
+
+    total = members.select("component", "v").mapInArrow(sums, "component long, place long, s double").groupBy("component", "place").agg(F.sum("s").alias("s"))
+    centre = materialize(total.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "s"))), lambda x: x["s"]).alias("centre")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    near = dot("v", "centre") >= (math.cos(math.acos(max(-1.0, min(1.0, threshold))) / 2) + 1e-9) * F.sqrt(dot("v", "v") * dot("centre", "centre"))
+    cored = materialize(members.join(centre, "component").withColumn("core", F.coalesce(near, F.lit(False))).drop("centre"))
+    of = lambda core: F.ceil(F.count_if(F.col("core") == core) / block).cast("int")
+    counts = cored.groupBy("component").agg(F.coalesce(F.sum(F.when(F.col("core"), F.col("mult"))), F.lit(0)).alias("core_mult"), of(False).alias("hard"), (of(False) + of(True)).alias("blocks"))
+    own = cored.join(counts, "component")
+    deal = F.xxhash64("id", "component")
+    return own.withColumn("mine", F.when(F.col("core"), F.col("hard") + F.pmod(deal, F.greatest(F.col("blocks") - F.col("hard"), F.lit(1)))).otherwise(F.pmod(deal, F.greatest("hard", F.lit(1)))).cast("int"))
+
+
+def _valid(rows: DataFrame) -> DataFrame:
+    """Those of (vec_id, v) whose vector can link, scaled."""
+    fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
+    valid = rows.where(fine & F.col("vec_id").isNotNull())
+    # by the largest component first, so that the squares of very small or large ones stay in range
+    return valid.withColumn("top", F.array_max(F.transform("v", F.abs))).select("vec_id", F.transform("v", lambda x: x / F.col("top")).alias("v"))
+
+
+def _drawn(id_col: str, every: int, most: int, rows: int):
+    """Whether an id divisible by ``every`` is among about ``most`` drawn by hash."""
+    draw = F.pmod(F.xxhash64(id_col, F.lit("audit")), F.lit(1 << 30)) / float(1 << 30)
+    return (F.col(id_col) % every == 0) & (draw <= min(1.0, most * every / max(1, rows)))
+
+
+def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, block: int = 2048, every: int = 50, audit_rows: int = 2_000, id_col: str = "vec_id", vector_col: str = "embedding", **descent) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row, for links of cosine >= ``threshold`` in double precision.
 
     Equal vectors are one node with a count, and link with each other. NN-descent finds the
-    components that links form among the nodes, and links are counted over every pair in a component; it audits itself on the
-    rows whose id is divisible by ``every``. Vectors that are null, empty, zero or hold null or non-finite components link with nothing and
+    components that links form among the nodes, and links are counted over every pair in a component; it audits itself on about
+    ``audit_rows`` of the rows whose id is divisible by ``every``, drawn by hash: the bound of the audit's sample, as the work of brute force is that of every row for each. Vectors that are null, empty, zero or hold null or non-finite components link with nothing and
     are their own component; so do vectors of a length that no other has. A row with a null id links with nothing and has a
     null component; rows that repeat an id are nodes of one name. An empty table gives no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
-    valid = rows.where(fine & F.col("vec_id").isNotNull())
-    # by the largest component first, so that the squares of very small or large ones stay in range
-    valid = valid.withColumn("top", F.array_max(F.transform("v", F.abs))).select("vec_id", F.transform("v", lambda x: x / F.col("top")).alias("v"))
-    nodes = materialize(valid.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.max(F.col("vec_id") % every == 0).alias("audited")).select("id", "v", "mult", "audited", F.xxhash64("v").alias("h")))
+    valid = _valid(rows)
+    nodes = valid.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult"), F.max(_drawn("vec_id", every, audit_rows, rows.count())).alias("audited"))
+    nodes = materialize(nodes.select("id", "v", "mult", "audited", F.xxhash64("v").alias("h")))
     lengths = sorted(r[0] for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect())
     spark = vectors.sparkSession
     edges = spark.createDataFrame([], "src long, dst long")
@@ -322,37 +388,39 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.95, k: int = 10, bl
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def audit_recall(vectors: DataFrame, result: DataFrame, *, threshold: float = 0.95, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
-    """Share of the true links of the rows whose id is divisible by ``every`` that ``result`` counted, found by brute force in blocks.
+def audit_recall(vectors: DataFrame, result: DataFrame, *, threshold: float = 0.95, every: int = 50, audit_rows: int = 4_000, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """Share of the true links of about ``audit_rows`` of the rows whose id is divisible by ``every`` that ``result`` counted, found by brute force in blocks.
 
-    Rows without any link measure nothing: a warning says so, and the share is 1.
+    Rows that link with nothing by definition (see ``near_vectors``) have no true links. Rows without any link measure
+    nothing: a warning says so, and the share is 1.
     """
-    unit = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    queries = unit.where(F.col("id") % every == 0).select("id", "v")
+    unit = _valid(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")))
+    queries = unit.where(_drawn("vec_id", every, audit_rows, vectors.count()))
+    counted = F.broadcast(queries.select("vec_id").distinct())
+    counted = {r[0]: r[1] for r in result.join(counted, "vec_id").select("vec_id", "n_links").toLocalIterator()}
+    rows = queries.toLocalIterator()
     total, found = 0, 0
-    counted = {r[0]: r[1] for r in result.where(F.col("vec_id") % every == 0).select("vec_id", "n_links").collect()}
-    rows = queries.orderBy("id").toLocalIterator()
-    block: list = []
 
     def check(block: list) -> tuple[int, int]:
-        ids, m = np.array([r[0] for r in block]), np.array([r[1] for r in block])
-        m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        of_size: dict[int, list] = {}
+        for place, (_, v) in enumerate(block):
+            of_size.setdefault(len(v), []).append(place)
+        sides = {d: (np.array(places), _matrix(pa.array([block[p][1] for p in places], pa.list_(pa.float64())))) for d, places in of_size.items()}
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(ids), np.int64)
+            n = np.zeros(len(block), np.int64)
             for batch in batches:
-                n += (m @ _matrix(batch.column(1)).T >= threshold).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+                size = pc.list_value_length(batch.column(1)).to_numpy()
+                for d, (places, m) in sides.items():
+                    other = batch.column(1).filter(pa.array(size == d))
+                    if len(other):
+                        n[places] += (m @ _matrix(other).T >= threshold).sum(axis=1)
+            yield pa.RecordBatch.from_pydict({"place": np.arange(len(block)), "n": n})
 
-        true = {r[0]: r[1] - 1 for r in unit.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect()}
-        return sum(true.values()), sum(min(true[i], counted[i]) for i in true)
+        true = {r[0]: r[1] - 1 for r in unit.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n")).collect()}
+        return sum(true.values()), sum(min(n, counted.get(block[p][0], 0)) for p, n in true.items())
 
-    for row in rows:
-        block.append(row)
-        if len(block) == 4096:
-            a, b = check(block)
-            total, found, block = total + a, found + b, []
-    if block:
+    while block := list(itertools.islice(rows, 4096)):
         a, b = check(block)
         total, found = total + a, found + b
     if not total:

@@ -173,6 +173,23 @@ def test_near_vectors_find_planted_pairs_among_thousands(planted):
     assert all(got[i][0] <= links[i] for i in got)
 
 
+def test_near_vectors_in_small_blocks_count_all_links(spark):
+    rnd = np.random.RandomState(12)
+    rows = [beside(rnd, np.eye(32)[0], c) for c in [0.0] * 60 + [0.999] * 90 + [0.96] * 60]
+    vectors = np.array(rows)[rnd.permutation(len(rows))]
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    links, components = links_by_brute_force(vectors)
+    for block in (16, 64):
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_vectors(frame, block=block).collect())
+        assert got == list(zip(range(len(rows)), links, components))
+
+
+def test_audit_takes_all_defined_rows(spark):
+    rows = [(0, [1.0, 0.0]), (50, [1.0]), (100, [0.0, 0.0]), (150, None), (200, [float("nan"), 1.0]), (3, [2.0, 0.0]), (None, [1.0, 0.0]), (4, [3.0, None])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert neighbours.audit_recall(frame, neighbours.near_vectors(frame)) == 1.0
+
+
 def test_audit_measures_planted_links_and_says_when_there_are_none(planted):
     _, frame, result = planted
     assert neighbours.audit_recall(frame, result) >= 0.98

@@ -16,9 +16,11 @@ from . import words as W
 from .common import extended
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: A longer word is scored in runs of so many bytes: a segmentation's probability stays in a double's range.
-RUN = 40
+#: The least probability of a piece. With it the sums over a word of SHORT bytes stay in a double's range; those over a longer one are scaled as they go.
 FLOOR = 1e-7
+SHORT = 40
+#: Longer words are scored together in matrices of at most so many bytes, a yet longer one in blocks of columns.
+LONG = 1 << 18
 
 
 class Pieces(NamedTuple):
@@ -46,7 +48,7 @@ def load_pieces(path: str = VOCABULARY) -> Pieces:
     for i in range(own.get_piece_size()):
         if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i)):
             piece = own.id_to_piece(i).replace("▁", " ").encode()
-            if len(piece) <= RUN and b" " not in piece[1:]:
+            if b" " not in piece[1:]:
                 found.add(piece)
     ordered = sorted(found)
     data = np.frombuffer(b"".join(ordered), np.uint8)
@@ -92,88 +94,129 @@ def forward(found: dict[int, np.ndarray], probs: np.ndarray, n: int, size: int)
     return alpha
 
 
-def by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word indices, byte matrix) for each word length; the matrix has the leading blank."""
+def by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word indices, byte matrix, sizes): words of one length together, and long ones with some up to an eighth longer, filled up with zeros. The matrix has the leading blank, as the sizes do."""
     sizes = end - start
     order = np.argsort(sizes, kind="stable")
-    cuts = np.flatnonzero(np.diff(sizes[order])) + 1
-    for own in np.split(order, cuts):
-        if not len(own):
-            continue
-        size = int(sizes[own[0]])
-        matrix = np.full((len(own), size + 1), 32, np.uint8)
-        matrix[:, 1:] = data[start[own][:, None] + np.arange(size)]
-        yield own, matrix
-
-
-def runs(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words longer than RUN cut into runs."""
-    most = RUN - 1
-    n = np.maximum(1, -(-(end - start) // most))
-    if (n == 1).all():
-        return start, end, doc
-    which = np.repeat(np.arange(len(n)), n)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    begin = start[which] + k * most
-    return begin, np.minimum(begin + most, end[which]), doc[which]
-
-
-def word_runs(part: W.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """start, end, hash and row of each word, long ones in runs."""
+    ordered = sizes[order]
+    lo = 0
+    while lo < len(order):
+        size = int(ordered[lo])
+        hi = int(np.searchsorted(ordered, size if size < SHORT else size + size // 8, "right"))
+        if size >= SHORT:
+            hi = max(lo + 1, min(hi, lo + LONG // (size + size // 8 + 1)))
+        own, most = order[lo:hi], int(ordered[hi - 1])
+        matrix = np.zeros((len(own), most + 1), np.uint8)
+        matrix[:, 0] = 32
+        at = np.arange(most)
+        inside = at < sizes[own][:, None]
+        matrix[:, 1:][inside] = data[(start[own][:, None] + at)[inside]]
+        yield own, matrix, sizes[own] + 1
+        lo = hi
+
+
+def log_forward(matrix: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
+    """word x language: the logarithm of the sum over all segmentations of words of any length, by scaled sums over blocks of columns."""
+    n, width = matrix.shape
+    most = model.pieces.lengths[-1]
+    out, scale = np.zeros((n, len(model.langs))), np.zeros((n, len(model.langs)))
+    before = np.zeros((n, most, len(model.langs)))  # the last sums of the block before
+    before[:, -1] = 1
+    ends = {int(x): np.flatnonzero(sizes == x) for x in np.unique(sizes)}
+    step = max(64, LONG // n)
+    for lo in range(0, width, step):
+        hi, back = min(width, lo + step), min(lo, most)
+        found = spans(matrix[:, lo - back : hi], model.pieces)
+        alpha = np.zeros((n, most + hi - lo, len(model.langs)))
+        alpha[:, :most] = before
+        for end in range(lo + 1, hi + 1):
+            at = most - 1 + end - lo
+            for length, rows in found.items():
+                if length <= end - lo + back:
+                    alpha[:, at] += alpha[:, at - length] * model.probs[rows[:, end - lo + back - length]]
+            if end % 32 == 0:
+                # a word that has ended may have no way on
+                by = np.where(alpha[:, at] > 0, alpha[:, at], 1)
+                alpha[:, max(0, at - most + 1) : at + 1] /= by[:, None]
+                scale += np.log(by)
+            if end in ends:
+                own = ends[end]
+                out[own] = np.log(alpha[own, at]) + scale[own]
+        before = alpha[:, -most:]
+    return out
+
+
+def sweep(found: dict[int, np.ndarray], probs: np.ndarray, n: int, width: int, most: int, begin: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, logarithms of their scales) at each place of each word under one language; backward from the places ``begin``, if given."""
+    sums, scale = np.zeros((n, width + 1)), np.zeros((n, width + 1))
+    if begin is None:
+        sums[:, 0] = 1
+    else:
+        sums[np.arange(n), begin] = 1
+    for place in range(1, width + 1) if begin is None else range(width - 1, -1, -1):
+        for length, rows in found.items():
+            if begin is None and length <= place:
+                sums[:, place] += sums[:, place - length] * probs[rows[:, place - length]]
+            elif begin is not None and place + length <= width:
+                sums[:, place] += sums[:, place + length] * probs[rows[:, place]]
+        if place % 32 == 0:
+            by = np.where(sums[:, place] > 0, sums[:, place], 1)
+            window = slice(max(0, place - most + 1), place + 1) if begin is None else slice(place, place + most)
+            sums[:, window] /= by[:, None]
+            beyond = slice(window.start, None) if begin is None else slice(0, window.stop)
+            scale[:, beyond] = scale[:, place][:, None] + np.log(by)[:, None]
+    return sums, scale
+
+
+def word_hashes(part: W.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """start, end, hash and row of each word."""
     w = W.words(part.data, part.bounds, W.space_separators(), W.LETTERS)
-    start, end, doc = runs(w.start, w.end, w.doc)
-    if len(start) == len(w.start):
-        return start, end, w.hash, doc
-    up, down = W.powers(len(part.data))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.LETTERS[part.data] * up, dtype=np.uint64)])
-    return start, end, W.mix((total[end] - total[start]) * down[start]), doc
+    return w.start, w.end, w.hash, w.doc
 
 
 def fit(texts: pa.Array, pieces: Pieces, rounds: int = 4, extra: float = 0.1) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over all segmentations."""
     seen, hashes, counts = np.zeros(0, np.uint64), [], []
-    distinct: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    groups: list[tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]] = []
     for part in W.slices(texts):
-        start, end, h, _ = word_runs(part)
+        start, end, h, _ = word_hashes(part)
         own, first, count = np.unique(h, return_index=True, return_counts=True)
         hashes.append(own)
         counts.append(count)
         fresh = ~np.isin(own, seen)
-        for at, matrix in by_length(part.data, start[first[fresh]], end[first[fresh]]):
-            distinct.setdefault(matrix.shape[1], []).append((own[fresh][at], matrix))
+        for at, matrix, sizes in by_length(part.data, start[first[fresh]], end[first[fresh]]):
+            groups.append((own[fresh][at], sizes, spans(matrix, pieces)))
         seen = np.union1d(seen, own)
-    groups: list[tuple[np.ndarray, dict[int, np.ndarray], int]] = []
-    if len(seen):
-        total = np.bincount(np.searchsorted(seen, np.concatenate(hashes)), np.concatenate(counts), len(seen))
-        for size, found in distinct.items():
-            h, matrix = (np.concatenate(x) for x in zip(*found))
-            groups.append((total[np.searchsorted(seen, h)], spans(matrix, pieces), size))
-    probs = np.full((pieces.n + 1, 1), 1 / pieces.n)
-    probs[-1] = 0
+    total = np.bincount(np.searchsorted(seen, np.concatenate(hashes)), np.concatenate(counts), len(seen)) if len(seen) else seen
+    probs = np.append(np.full(pieces.n, 1 / pieces.n), 0)
+    most = pieces.lengths[-1]
     for _ in range(rounds):
         expected = np.full(pieces.n + 1, extra)
-        for count, found, size in groups:
-            alpha = forward(found, probs, len(count), size)[:, :, 0]
-            beta = np.zeros_like(alpha)
-            beta[:, size] = 1
-            for begin in range(size - 1, -1, -1):
-                for length, rows in found.items():
-                    if begin + length <= size:
-                        beta[:, begin] += beta[:, begin + length] * probs[rows[:, begin], 0]
-            scale = count / np.maximum(alpha[:, size], 1e-300)
+        for h, sizes, found in groups:
+            n, width = len(sizes), int(sizes.max())
+            alpha, up = sweep(found, probs, n, width, most)
+            beta, down = sweep(found, probs, n, width, most, sizes)
+            ends = np.arange(n), sizes
+            whole = np.log(np.maximum(alpha[ends], 1e-300)) + up[ends]
+            count = total[np.searchsorted(seen, h)]
             for length, rows in found.items():
-                share = alpha[:, : size - length + 1] * probs[rows, 0] * beta[:, length:] * scale[:, None]
+                share = alpha[:, : width - length + 1] * probs[rows] * beta[:, length:]
+                if width <= SHORT:
+                    share *= np.exp(-whole)[:, None]
+                else:
+                    share *= np.exp(np.minimum(up[:, : width - length + 1] + down[:, length:] - whole[:, None], 700))
+                share *= count[:, None]
                 expected += np.bincount(rows.ravel(), share.ravel(), pieces.n + 1)
-        probs = np.maximum(expected / expected[:-1].sum(), FLOOR)[:, None]
-        probs[-1] = 0
-    return probs[:, 0]
+        probs = np.append(np.maximum(expected[:-1] / expected[:-1].sum(), FLOOR), 0)
+    return probs
 
 
 def fit_languages(docs: DataFrame, *, fit_docs: int = 400, vocabulary: str = VOCABULARY, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """One unigram model per language, from about ``fit_docs`` rows of each, drawn by a hash of the id.
 
     That bound is on the training sample alone. Rows without text or language teach nothing; each language is
-    fitted in a task of its own, over its bounded sample. A table without labelled rows gives a model of no languages.
+    fitted in a task of its own, over its bounded sample; the languages found are the model's classes, so their number is that of
+    labels. A table without labelled rows gives a model of no languages.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -181,8 +224,8 @@ def fit_languages(docs: DataFrame, *, fit_docs: int = 400, vocabulary: str = VOC
     if not counts:
         return Model([], pieces, np.zeros((pieces.n + 1, 0)))
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, fit_docs / n))]), F.col(lang_col))
-    sample = rows.where(draw <= share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, fit_docs / n)) for k, n in counts.items()], "_lang string, _share double")
+    sample = rows.join(F.broadcast(share), F.col(lang_col) == F.col("_lang")).where(draw <= F.col("_share")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         probs = fit(pa.array(frame["text"].tolist(), pa.large_string()), pieces)
@@ -196,14 +239,16 @@ def fit_languages(docs: DataFrame, *, fit_docs: int = 400, vocabulary: str = VOC
 
 def log_likelihoods(part: W.Slice, model: Model) -> np.ndarray:
     """row x language: the logarithm of the sum over all segmentations of each row's words."""
-    start, end, h, doc = word_runs(part)
+    start, end, h, doc = word_hashes(part)
     out = np.zeros((len(part.bounds) - 1, len(model.langs)))
     if len(h):
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         table = np.empty((len(first), len(model.langs)))
-        for own, matrix in by_length(part.data, start[first], end[first]):
-            found = spans(matrix, model.pieces)
-            table[own] = np.log(np.maximum(forward(found, model.probs, len(own), matrix.shape[1])[:, -1], 1e-300))
+        for own, matrix, sizes in by_length(part.data, start[first], end[first]):
+            if matrix.shape[1] <= SHORT:
+                table[own] = np.log(forward(spans(matrix, model.pieces), model.probs, len(own), matrix.shape[1])[:, -1])
+            else:
+                table[own] = log_forward(matrix, sizes, model)
         rows, at = np.unique(doc, return_index=True)
         out[rows] = np.add.reduceat(table[back.ravel()], at, axis=0)
     return out

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -279,6 +280,64 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(langid.forward(found, probs, 1, 5)[0, 5, 0], ways[5])
 
 
+def test_words_of_any_length_sum_all_segmentations():
+    rnd = random.Random(11)
+    pieces = langid.load_pieces()
+    probs = np.append(np.random.RandomState(1).rand(pieces.n) ** 4 * 1e-3 + 1e-7, 0)[:, None] * np.array([[1.0, 0.5]])
+    model = langid.Model(["a", "b"], pieces, probs)
+    texts = ["".join(rnd.choice("theing éß語言的是中文") for _ in range(n)).replace(" ", "") for n in [*range(1, 60), 200, 1500]] + ["x" * 70_000, "的" * 70, "ünd", "ünd" * 13 + "x"]
+    known = {}
+    own = langid.load_pieces.__globals__["W"]
+    for part in own.slices(pa.array([t + " " for t in texts])):
+        logs = langid.log_likelihoods(part, model)
+        for i, text in enumerate(texts):
+            raw = b" " + text.encode()
+            m = np.frombuffer(raw, np.uint8)[None, :]
+            ways = [[0.0, 0.0]] + [[-np.inf] * 2 for _ in raw]
+            for length, rows in langid.spans(m, pieces).items():
+                for b in np.flatnonzero(rows[0] != pieces.n):
+                    known[raw[b : b + length]] = rows[0, b]
+            longest = pieces.lengths[-1]
+            for e in range(1, len(raw) + 1):
+                for b in range(max(0, e - longest), e):
+                    at = known.get(raw[b:e])
+                    if at is not None:
+                        ways[e] = np.logaddexp(ways[e], np.add(ways[b], np.log(probs[at])))
+            assert np.allclose(ways[-1], logs[part.lo + i], rtol=1e-9)
+
+
+def test_fit_of_long_words_is_one_expectation():
+    pieces = langid.load_pieces()
+    word = "derundthe" * 12
+    probs = langid.fit(pa.array([word]), pieces, rounds=1, extra=0.0)
+    raw = b" " + word.encode()
+    rows = langid.spans(np.frombuffer(raw, np.uint8)[None, :], pieces)
+    n, p = len(raw), 1 / pieces.n
+    to, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+    pairs = [(b, b + k, int(r[0, b])) for k, r in rows.items() for b in range(r.shape[1]) if r[0, b] != pieces.n]
+    grow = pieces.n  # keeps the plain sums in range
+    for e in range(1, n + 1):
+        to[e] = sum(to[b] * p * grow ** ((x - b) / 2) for b, x, _ in pairs if x == e)
+    for b in range(n - 1, -1, -1):
+        back[b] = sum(back[x] * p * grow ** ((x - b) / 2) for y, x, _ in pairs if y == b)
+    want = np.zeros(pieces.n)
+    for b, x, r in pairs:
+        want[r] += to[b] * p * grow ** ((x - b) / 2) * back[x] / to[n]
+    want = np.maximum(want / want.sum(), langid.FLOOR)
+    assert np.allclose(probs[:-1], want, rtol=1e-6)
+
+
+def test_languages_of_null_labels_ties_and_repeats(spark):
+    rows = [(1, "uno dos tres", "es"), (1, "uno dos tres", "es"), (2, "one two three", "en"), (3, "one two", None), (4, None, "en"), (None, "one", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs)
+    assert model.langs == ["en", "es"]
+    got = langid.identify(docs.withColumn("lang_pred", docs.lang), model).collect()
+    assert [r.lang_pred for r in got] == ["es", "es", "en", "en", "und", "en"]
+    same = langid.Model(["a", "b"], model.pieces, model.probs[:, [0, 0]])
+    assert {(r.lang_pred, r.score) for r in langid.identify(docs.where("text is not null"), same).collect()} == {("a", 0.5)}
+
+
 def test_toxicity_finds_the_sentence(spark):
     rnd = random.Random(2)
     word = lambda: rnd.choice("alpha beta gamma delta eps zeta".split())

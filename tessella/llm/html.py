@@ -1,7 +1,7 @@
 """HTML extraction by a tree-structured graphical model over DOM nodes.
 
-Each element has a hidden state, content or not. A parent and its child share a potential, an element's observed
-features give another, and sum-product messages, first from the leaves upward, then from the root
+Each element has a hidden state: no content, content, or the structure around content. A parent and its child share a
+potential, an element's observed features give another, and sum-product messages, first from the leaves upward, then from the root
 downward, give each element's exact marginal. The potentials are counted on labelled pages.
 """
 
@@ -33,11 +33,16 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 NAMED = re.compile(r"(?:^|\s)(class|id|role|data-content|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Parts of class names and ids, by what pages use them for; they stand for pages that name their parts, in training.
-CONTAINERS = frozenset("#root html body div section article main center table tbody tr td".split())
+LOOSE = frozenset("#root html body".split())
+CONTAINERS = frozenset("div section article main center table tbody tr td header footer aside nav form ul ol dl".split())
 CONTENT_NAMES = "article content main post entry story body text prose".split()
 OTHER_NAMES = "ad ads advert advertisement banner sponsor promo nav navbar menu breadcrumb header masthead footer sidebar aside widget related comment comments reply disqus cookie consent notice alert popup modal newsletter subscribe signup share social login search pagination tags copyright legal skip".split()
 
 
+#: The hidden states.
+NONE, CONTENT, STRUCTURE = STATES = (0, 1, 2)
+
+
 class Page(NamedTuple):
     tags: list[str]
     parents: list[int]
@@ -47,8 +52,13 @@ class Page(NamedTuple):
 
 
 def parse(source: str) -> Page:
-    """The elements of a page in order, leniently: unknown closings are passed over and open elements end with the page."""
+    """The elements of a page in order, leniently: unknown closings are passed over and open elements end with the page.
+
+    Text that hangs on the root, html or body itself is an element of its own, ``#text``.
+    """
     tags, parents, attributes, texts, stack = ["#root"], [-1], [""], [], [0]
+    places: dict[str, list[int]] = {}  # of the open elements of each kind in the stack
+    loose = -1  # the open #text
     at, lower = 0, None
 
     def edge() -> None:
@@ -57,42 +67,53 @@ def parse(source: str) -> Page:
 
     def close(upto: int) -> None:
         while len(stack) > upto:
-            if tags[stack.pop()] not in INLINE:
+            tag = tags[stack.pop()]
+            places[tag].pop()
+            if tag not in INLINE:
                 edge()
 
+    def write(text: str) -> None:
+        nonlocal loose
+        node = stack[-1]
+        if tags[node] in LOOSE and not text.isspace():
+            if loose < 0:
+                loose = len(tags)
+                tags.append("#text")
+                parents.append(node)
+                attributes.append("")
+            node = loose
+        texts.append((node, text))
+
     while at < len(source):
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
         if text:
-            texts.append((stack[-1], entities.unescape(text) if "&" in text else text))
+            write(entities.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
         name = m[2] or m[5]
         if not name:
             if m[0].startswith("<![CDATA["):
-                texts.append((stack[-1], m[0][9:].removesuffix("]]>")))
+                write(m[0][9:].removesuffix("]]>"))
             continue
         name, rest = name.lower(), m[3] if m[2] else m[6]
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    close(k)
-                    break
-            else:
-                if name in ("p", "br"):
-                    edge()
+            if places.get(name):
+                close(places[name][-1])
+                loose = -1
+            elif name in ("p", "br"):
+                edge()
             continue
         if name not in INLINE:
             # a block ends an open paragraph; items and cells end their like
             ends = CLOSES.get(name, set()) | {"p"} if name not in VOID or name == "hr" else set()
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in ends:
-                    close(k)
-                    break
-                if tags[stack[k]] in SCOPES:
-                    break
+            if ends:
+                last = max((places[kind][-1] for kind in ends if places.get(kind)), default=0)
+                if last > max((places[kind][-1] for kind in SCOPES if places.get(kind)), default=0):
+                    close(last)
             edge()
+            loose = -1
         node = len(tags)
         tags.append(name)
         parents.append(stack[-1])
@@ -101,8 +122,8 @@ def parse(source: str) -> Page:
             lower = lower or source.lower()
             end = lower.find(f"</{name}", at)
             at = len(source) if end < 0 else end
-            stack.append(node)
-        elif name not in VOID and not (rest.endswith("/") and name in ("path", "circle", "rect")):
+        if name not in VOID and not (rest.endswith("/") and name in ("path", "circle", "rect")):
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
     return _observe(tags, parents, attributes, texts)
 
@@ -158,33 +179,66 @@ def landmarks(page: Page) -> list[int] | None:
 
 
 def labelled_pages() -> Iterator[str]:
-    """Small pages with every element labelled (data-content), one for each name that pages give their parts."""
-    prose = "This is a longer passage of running text, which tells a story; it has several sentences, with commas. It goes on for a while. "
+    """Small pages with every element labelled (data-content): for each name that pages give their parts, one with a named main part or none, and loose text."""
+    passages = (
+        "This is a longer passage of running text, which tells a story; it has several sentences, with commas. It goes on for a while. ",
+        "It was so, he said. No, it was not, said she. ",
+        "A passage without many stops that goes on and on about how the days went by until the season came to an end. ",
+        "He went home, and then he slept well. ",
+    )
     for k, good in enumerate(CONTENT_NAMES):
         for j, bad in enumerate(OTHER_NAMES):
-            kind = ("div", "section", "aside", "ul", "p", "header", "footer", "span")[(j + k) % 8]
-            short = prose if (j + k) % 3 == 0 else "Short words here"
+            kind = ("div", "section", "aside", "ul", "div", "header", "footer", "div", "p")[(j + k) % 9]
+            prose = passages[(j + 2 * k) % 4] * (1, 2, 5)[(j + k) % 3]
+            short = passages[(j // 2 + k) % 4] * (1, 3, 6)[j % 3] if (j + k) % 2 == 0 else "Short words here"
             link = f'<a data-content=0 href="/x">Link {j}</a> ' * (j % 4)
-            other = f'<{kind} data-content=0 class="{bad}"><p data-content=0>{link}{short}</p></{kind}>'
-            inner = f'<h1 data-content=1>Title</h1><p data-content=1>{prose * (1 + k % 3)}<b data-content=1>bold</b> <a data-content=1 href="/y">more</a></p><ul data-content=1><li data-content=1>One, two.</li></ul><p data-content=1>{prose}</p>'
-            where = [f'<body data-content=0>{other}<div data-content=1 class="{good}">{inner}</div></body>', f'<body data-content=0><div data-content=1 id="{good}">{inner}{other}</div></body>'][(j + k) % 2]
-            yield f"<html data-content=0><head data-content=0></head>{where}</html>"
+            linked = '<p data-content=1><a data-content=1 href="/z">A paragraph that is a link</a></p>' if (j + k) % 2 == 0 else ""
+            head, part = f"h{1 + (j + k) % 3}", ("ul", "ol", "blockquote", "pre", "table", "figure")[(j + k) % 6]
+            title = f"<{head} data-content=0>Name</{head}>" if j % 3 == 0 else ""
+            other = f'<{kind} data-content=0 class="{bad}">{title}<p data-content=0>{link}{short}</p></{kind}>'
+            cell = {"ul": "li", "ol": "li", "table": "td", "figure": "figcaption"}.get(part, "span")
+            inner = f'<{head} data-content=1>{("A title", "Title of a longer story", "T")[(j + k) % 3]}</{head}><p data-content=1>{prose}<b data-content=1>bold</b> <a data-content=1 href="/y">more</a></p><{part} data-content=1><{cell} data-content=1>One, two.</{cell}></{part}>{linked}<{part} data-content=1>Plain words</{part}><p data-content=1>{prose}</p>'
+            box = ("div", "section", "article", "main")[(j + k) % 4]
+            own = f"<{box} data-content=1>{inner}{other}</{box}>"
+            bodies = f'{other}<{box} data-content=1 class="{good}">{inner}</{box}>', f'<{box} data-content=1 id="{good}">{inner}{other}</{box}>', f"<div data-content=0>{own}{other}</div>", f"{other}{inner}", f"{inner}{other}"
+            more = "".join(f'<{kind} data-content=0 class="{name}"><p data-content=0>{short}</p></{kind}>' for name in (OTHER_NAMES[j - 1], OTHER_NAMES[j - 2]))
+            for body in (bodies[(j + k) % 5], bodies[1 + (j + k) % 2]):
+                yield f"<html data-content=0><head data-content=0></head><body data-content=0>{body}{more}</body></html>"
+        # text that hangs on the root or body is content; there is little else on such a page
+        prose = passages[k % 4] * (1 + k)
+        yield from (prose, "Short words here", f"<body data-content=0>{prose}<p data-content=1>{prose}</p>", f'<body data-content=0>{prose}<nav data-content=0><a data-content=0 href="/x">Link</a></nav>')
+
+
+def states(page: Page, labels: list[int | None]) -> list[int]:
+    """NONE, CONTENT or STRUCTURE of each element: an element without content that holds some is structure; loose text without a label is content."""
+    out = [CONTENT if y or (y is None and page.tags[i] == "#text") else NONE for i, y in enumerate(labels)]
+    for i in range(len(out) - 1, 0, -1):
+        if out[i] != NONE and out[page.parents[i]] == NONE:
+            out[page.parents[i]] = STRUCTURE
+    return out
 
 
 class Model(NamedTuple):
-    """Log-odds of each feature, and the potentials of child given parent (of an element without one: first)."""
+    """The likelihood of each feature by state, and the potentials of child given parent (of the root: first)."""
+
+    features: dict[str, tuple[float, ...]]
+    edge: tuple  # by the kind of the child, the parent's and the child's state
+    first: tuple[float, ...]
 
-    features: dict[str, tuple[float, float]]
-    edge: tuple  # by whether the child is a container, the parent's and the child's state
-    first: tuple[float, float]
 
+def kind_of(tag: str) -> int:
+    """Inline elements, those that frame the page, other containers, and the rest have potentials of their own."""
+    return 3 if tag in INLINE else 2 if tag in LOOSE else int(tag in CONTAINERS)
 
-def tally(page: Page, labels: list[int]) -> Counter:
-    """(kind, feature, label) counts of one labelled page."""
+
+def tally(page: Page, states: list[int]) -> Counter:
+    """(kind, feature, state) counts of one labelled page."""
     out: Counter = Counter()
-    for i, y in enumerate(labels):
-        if i:
-            out["e", f"{int(page.tags[i] in CONTAINERS)}{labels[page.parents[i]]}", y] += 1
+    for i, y in enumerate(states):
+        if i == 0:
+            out["r", "", y] += 1
+        else:
+            out["e", f"{kind_of(page.tags[i])}{states[page.parents[i]]}", y] += 1
         out["y", "", y] += 1
         for f in page.features[i]:
             out["f", f, y] += 1
@@ -192,17 +246,15 @@ def tally(page: Page, labels: list[int]) -> Counter:
 
 
 def fit_counts(counts: dict[tuple[str, str, int], float], least: float = 2, extra: float = 0.5) -> Model:
-    total = [counts.get(("y", "", y), 0) + 2 * extra for y in (0, 1)]
+    share = lambda values: tuple(v / sum(values) for v in values)
+    total = [counts.get(("y", "", y), 0) + 2 * extra for y in STATES]
     features = {}
     for f in {f for kind, f, _ in counts if kind == "f"}:
-        seen = [counts.get(("f", f, y), 0) for y in (0, 1)]
+        seen = [counts.get(("f", f, y), 0) for y in STATES]
         if sum(seen) >= least:
-            features[f] = tuple((seen[y] + extra) / total[y] for y in (0, 1))
-    edge = []
-    for kind in "01":
-        rows = [[counts.get(("e", kind + parent, y), 0) + extra for y in (0, 1)] for parent in "01"]
-        edge.append(tuple((a / (a + b), b / (a + b)) for a, b in rows))
-    return Model(features, tuple(edge), (1 - 1e-3, 1e-3))
+            features[f] = tuple((seen[y] + extra) / total[y] for y in STATES)
+    edge = tuple(tuple(share([counts.get(("e", f"{kind}{parent}", y), 0) + extra for y in STATES]) for parent in STATES) for kind in range(4))
+    return Model(features, edge, share([counts.get(("r", "", y), 0) + extra for y in STATES]))
 
 
 def marginals(page: Page, model: Model) -> list[float]:
@@ -211,40 +263,38 @@ def marginals(page: Page, model: Model) -> list[float]:
     up = []
     for i in range(n):
         if page.tags[i] in NEVER:
-            up.append([1.0, 0.0])
+            up.append((1.0, 0.0, 0.0))
             continue
-        a, b = 1.0, 1.0
+        a, b, c = 1.0, 1.0, 1.0
         for f in page.features[i]:
             if f in model.features:
-                x, y = model.features[f]
-                a, b = a * x, b * y
-        s = a + b
-        up.append([a / s, b / s])
-    edges = [model.edge[tag in CONTAINERS] for tag in page.tags]
-    messages: list[tuple[float, float]] = [(1.0, 1.0)] * n
+                x, y, z = model.features[f]
+                a, b, c = a * x, b * y, c * z
+        s = a + b + c
+        up.append((a / s, b / s, c / s))
+    edges = [model.edge[kind_of(tag)] for tag in page.tags]
+    messages: list[tuple[float, float, float]] = [(1.0, 1.0, 1.0)] * n
     for i in range(n - 1, 0, -1):
-        a, b = up[i]
-        (e00, e01), (e10, e11) = edges[i]
-        m0, m1 = e00 * a + e01 * b, e10 * a + e11 * b
-        messages[i] = (m0, m1)
-        own = up[page.parents[i]]
-        x, y = own[0] * m0, own[1] * m1
-        s = (x + y) or 1.0
-        own[0], own[1] = x / s, y / s
+        a, b, c = up[i]
+        (e00, e01, e02), (e10, e11, e12), (e20, e21, e22) = edges[i]
+        m0, m1, m2 = messages[i] = (e00 * a + e01 * b + e02 * c, e10 * a + e11 * b + e12 * c, e20 * a + e21 * b + e22 * c)
+        own = page.parents[i]
+        x, y, z = up[own][0] * m0, up[own][1] * m1, up[own][2] * m2
+        s = (x + y + z) or 1.0
+        up[own] = (x / s, y / s, z / s)
     out = [0.0] * n
-    down: list[tuple[float, float]] = [model.first] * n
+    down: list[tuple[float, ...]] = [model.first] * n
     for i in range(n):
         if i:
             p = page.parents[i]
-            m0, m1 = messages[i]
-            (e00, e01), (e10, e11) = edges[i]
             # the parent's belief without what this child told it
-            x, y = down[p][0] * (up[p][0] / m0 if m0 else 0.0), down[p][1] * (up[p][1] / m1 if m1 else 0.0)
-            d0, d1 = x * e00 + y * e10, x * e01 + y * e11
-            s = (d0 + d1) or 1.0
-            down[i] = (d0 / s, d1 / s)
-        a, b = down[i][0] * up[i][0], down[i][1] * up[i][1]
-        out[i] = b / (a + b) if a + b else 0.0
+            x, y, z = (d * (u / m if m else 0.0) for d, u, m in zip(down[p], up[p], messages[i]))
+            (e00, e01, e02), (e10, e11, e12), (e20, e21, e22) = edges[i]
+            d0, d1, d2 = x * e00 + y * e10 + z * e20, x * e01 + y * e11 + z * e21, x * e02 + y * e12 + z * e22
+            s = (d0 + d1 + d2) or 1.0
+            down[i] = (d0 / s, d1 / s, d2 / s)
+        a, b, c = (d * u for d, u in zip(down[i], up[i]))
+        out[i] = b / (a + b + c) if a + b + c else 0.0
     return out
 
 
@@ -261,7 +311,7 @@ def fit_extractor(pages: DataFrame, *, fit_pages: int = 2000, html_col: str = "h
     That bound is on the training sample alone; a table without such pages leaves the labelled ones.
     """
     rows = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    n = pages.count()
+    n = rows.count()
     draw = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +321,7 @@ def fit_extractor(pages: DataFrame, *, fit_pages: int = 2000, html_col: str = "h
                 page = parse(source)
                 labels = landmarks(page)
                 if labels:
-                    total += tally(page, labels)
+                    total += tally(page, states(page, labels))
         keys = list(total)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64()), pa.array([total[k] for k in keys], pa.int64())], names=["kind", "feature", "y", "n"])
 
@@ -283,7 +333,7 @@ def fit_extractor(pages: DataFrame, *, fit_pages: int = 2000, html_col: str = "h
     own: Counter = Counter()
     for source in labelled_pages():
         page = parse(source)
-        for key, n in tally(page, [x or 0 for x in page.labels]).items():
+        for key, n in tally(page, states(page, page.labels)).items():
             own[key] += 20 * n
     # names are rare, so labelled pages count twenty times, and either kind of page as much as the other
     scale = sum(v for (kind, _, _), v in own.items() if kind == "y") / max(1, sum(v for (kind, _, _), v in found.items() if kind == "y"))

@@ -2,7 +2,12 @@
 
 import base64
 import hashlib
+import itertools
 import random
+import re
+import time
+from collections import Counter
+from html import unescape
 from pathlib import Path
 
 import duckdb
@@ -378,14 +383,14 @@ def test_marginals_against_all_assignments(spark):
     model = html.fit_extractor(spark.read.parquet(f"{DATA}/pages.parquet"))
     page = html.parse('<div class="post"><p>Some, text. More.<a href=x>l</a></p><ul class=menu><li>x</ul></div>')
     n, total, on = len(page.tags), 0.0, np.zeros(len(page.tags))
-    for state in range(1 << n):
-        y, p = [state >> i & 1 for i in range(n)], 1.0
+    for y in itertools.product(html.STATES, repeat=n):
+        p = 1.0
         for i in range(n):
-            p *= model.edge[page.tags[i] in html.CONTAINERS][y[page.parents[i]]][y[i]] if i else model.first[y[i]]
+            p *= model.edge[html.kind_of(page.tags[i])][y[page.parents[i]]][y[i]] if i else model.first[y[i]]
             for f in page.features[i]:
                 p *= model.features[f][y[i]] if f in model.features else 1
         total += p
-        on += p * np.array(y)
+        on += p * (np.array(y) == html.CONTENT)
     assert np.allclose(html.marginals(page, model), on / total)
 
 
@@ -399,6 +404,48 @@ def test_main_text_of_page_kinds(spark):
     assert [(r.text, r.n_chars) for r in got] == [("", 0), ("", 0)]
 
 
+SIX = "It was a long day, and nobody had slept. " * 6
+#: Pages of kinds that the tables don't have, with their main text.
+LABELLED = [
+    (f"<html><body><p>{SIX}</p></body></html>", SIX),
+    (SIX, SIX),
+    ("Short bare text", "Short bare text"),
+    (f"<body>{SIX}<nav><a href=x>Home</a></nav>", SIX),
+    (f'<body><article><h1>T</h1><p>{SIX}</p><p><a href="/x">A whole paragraph that is a link, really</a></p><p>{SIX}</p></article></body>', f"T {SIX} A whole paragraph that is a link, really {SIX}"),
+    (f'<html><body><nav><a href=/>Home</a></nav><p>{SIX}</p><p>Short one.</p><div class="comments"><p>Nice one, {SIX}</p></div><footer>c 2020</footer></body></html>', f"{SIX} Short one."),
+    (f'<body><div class=x><div class=y><p>{SIX}</p><p>{SIX}</p></div><div class="sidebar"><ul><li><a href=a>One</a></li><li><a href=a>Two</a></li></ul></div></div></body>', f"{SIX} {SIX}"),
+    (f'<body><header><h1>Site</h1></header><main><h2>A</h2><p>{SIX}</p><aside>See also: {SIX}</aside><blockquote>So, it was.</blockquote></main><form><input><button>Go</button></form></body>', f"A {SIX} So, it was."),
+    ('<body><nav><a href="/a">A</a><a href="/b">B</a></nav><footer>c</footer></body>', ""),
+]
+
+
+def test_main_text_of_held_out_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    model = html.fit_extractor(pages.where("page_id % 5 <> 0"))
+    wanted = [(r.html, re.sub(r"<[^>]*>", "", re.sub(r"<(/?p|/?h1|br)>", " ", re.search(r"<article>(.*)</article>", r.html, re.S)[1]))) for r in pages.where("page_id % 5 = 0").collect() if "<article>" in r.html]
+    assert len(wanted) >= 40
+    hit = got = want = 0
+    for source, text in [(a, unescape(b)) for a, b in wanted] + LABELLED:
+        a, b = Counter(html.main_text(source, model).split()), Counter(text.split())
+        hit, got, want = hit + (a & b).total(), got + a.total(), want + b.total()
+    assert 2 * hit / (got + want) >= 0.99
+    for source, text in LABELLED:
+        assert html.main_text(source, model) == " ".join(text.split())
+
+
+def test_odd_pages_take_linear_time_and_defined_results(spark):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    model = html.fit_extractor(pages)
+    began = time.time()
+    for source in ("<b>" * 20_000 + "</zz>" * 20_000, "<div>" * 20_000 + "x", "<p>" * 20_000 + "</div>" * 20_000, "<li>" * 20_000, "<" * 50_000, f"<article><p>{SIX * 5000}</p></article>"):
+        html.main_text(source, model)
+    assert time.time() - began < 20
+    one = [(1, "u", f"<article><p>{SIX}</p></article>", "x")]
+    got = html.extract_text(spark.createDataFrame(one * 2, "page_id long, url string, html string, n_chars string"), model).collect()
+    assert len(got) == 2 and {(r.text, r.n_chars) for r in got} == {(SIX.strip(), len(SIX.strip()))}
+    assert html.extract_text(pages.limit(0), html.fit_extractor(pages.limit(0))).count() == 0
+
+
 def test_pipeline_keeps_columns_and_decides(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -87,7 +87,36 @@ def test_jaccard_components_against_brute_force(spark, odd_docs):
                 x, y = find(a.doc_id), find(rows[j].doc_id)
                 root[max(x, y)] = min(x, y)
     want = sorted((str(r.doc_id), len(s), str(None if r.doc_id is None else find(r.doc_id))) for r, s in zip(rows, sets))
-    assert want == sorted((str(r[0]), r[1], str(r[2])) for r in setjoin.jaccard_components(odd_docs).collect())
+    for sizes in ({}, {"slack": 1}, {"block_sets": 2, "broadcast_ids": 0}, {"block_shingles": 90}):
+        assert want == sorted((str(r[0]), r[1], str(r[2])) for r in setjoin.jaccard_components(odd_docs, **sizes).collect())
+    assert setjoin.jaccard_components(odd_docs.limit(0)).count() == 0
+
+
+def test_jaccard_components_of_large_groups_and_long_texts(spark):
+    """Near copies in chains, in a hot group and of long texts, with a line that most share, in blocks of a few sets."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    line, rows = [word() for _ in range(30)], []
+    for n in (60, 90, 700):
+        base = [word() for _ in range(n)]
+        for i in range(25):
+            base = list(base)
+            for _ in range(max(1, n // 90)):
+                base[rnd.randrange(n)] = word()
+            rows.append(base + (line if i > 12 else []))
+    rows += [[word() for _ in range(40)] + line for _ in range(30)]
+    rnd.shuffle(rows)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    of = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                x, y = sorted((of[i], of[j]))
+                of = [x if k == y else k for k in of]
+    assert len(set(of)) < len(of) - 40
+    for sizes in ({}, {"block_sets": 3}, {"block_shingles": 400, "slack": 8}):
+        assert sorted((r.doc_id, r.component_id) for r in setjoin.jaccard_components(docs, **sizes).collect()) == list(enumerate(of))
 
 
 def test_group_links_join_what_brute_force_joins():

@@ -38,13 +38,12 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out(modulus=5, rest=0))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~langid.held_out(modulus=5, rest=0))
-    n = labels.count()
+    labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~langid.held_out(modulus=5, rest=0))
     # the training rows are drawn before the texts are joined: see fit_docs
     draw = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labels.where(draw <= min(1.0, 20_000 / max(1, n)))
+    drawn = labels.where(draw <= min(1.0, 20_000 / max(1, labels.count())))
     model = toxicity.fit_toxicity(docs.where(~F.col("held_out")).join(drawn, "doc_id"))
-    return toxicity.score_toxicity(docs, model, sentences=False).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted", "toxic_sentences")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from . import words as W
-from .common import extended
+from .common import discard, extended, materialize
 
 #: Bytes that end a sentence: new line, full stop, exclamation and question mark.
 STOPS = (0x0A, 0x2E, 0x21, 0x3F)
@@ -38,11 +38,13 @@ def sentence_words(part: W.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def logits(h: np.ndarray, sentence: np.ndarray, n: int, model: Model) -> np.ndarray:
-    z = np.full(n, model.bias)
+    """Of each sentence; one without a word of the model shows nothing and can't be toxic, however many of them a text has."""
+    z = np.full(n, -np.inf)
     if len(model.hash) and len(h):
         at = np.minimum(np.searchsorted(model.hash, h), len(model.hash) - 1)
         hit = model.hash[at] == h
-        z += np.bincount(sentence[hit], model.weight[at[hit]], n)
+        shown = np.bincount(sentence[hit], minlength=n) > 0
+        z[shown] = model.bias + np.bincount(sentence[hit], model.weight[at[hit]], n)[shown]
     return z
 
 
@@ -52,71 +54,91 @@ def noisy_or(z: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, quiet, n))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 400, least_docs: int = 5, least_z: float = 4.0, ridge: float = 1e-3, rate: float = 1.0) -> Model:
-    """Word weights by adaptive gradient steps on the documents' log loss.
+def fit(row: np.ndarray, sentence: np.ndarray, word: np.ndarray, labels: np.ndarray, size: int, rounds: int = 400, ridge: float = 1e-3, rate: float = 1.0) -> tuple[np.ndarray, float]:
+    """(weights, bias) of ``size`` words by adaptive gradient steps on the documents' log loss.
 
-    Words count that ``least_docs`` documents hold and whose share among toxic ones is off by ``least_z`` standard
-    deviations: with so few labels the rest would only be learned by heart.
+    ``row`` is the document of each sentence that has such words, ``sentence`` and ``word`` are its words.
     """
-    hs, sents, rows, n_s, n_d = [], [], [], 0, 0
-    for part in W.slices(texts, 1 << 21):
-        h, sentence, row, _, _ = sentence_words(part)
-        hs.append(h)
-        sents.append(sentence + n_s)
-        rows.append(row + n_d)
-        n_s, n_d = n_s + len(row), n_d + part.hi - part.lo
-    if not n_s or len(set(labels.tolist())) < 2:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    h, sentence, row = np.concatenate(hs), np.concatenate(sents), np.concatenate(rows)
-    vocab, word = np.unique(h, return_inverse=True)
-    pairs = np.unique(row[sentence] * len(vocab) + word.ravel())
-    df = np.bincount(pairs % len(vocab), minlength=len(vocab))
-    toxic = np.bincount(pairs % len(vocab), labels[pairs // len(vocab)], len(vocab))
-    share = labels.mean()
-    common = (df >= least_docs) & (np.abs(toxic - df * share) >= least_z * np.sqrt(df * share * (1 - share)))
-    place = np.cumsum(common) - 1
-    keep = common[word.ravel()]
-    word, sentence = place[word.ravel()[keep]], sentence[keep]
-    vocab = vocab[common]
-    y = labels.astype(float)
-    weight, bias = np.zeros(len(vocab)), -4.0
-    slope, slope_bias = np.full(len(vocab), 1e-8), 1e-8
+    n, n_s, y = len(labels), len(row), labels.astype(float)
+    weight, bias = np.zeros(size), -4.0
+    slope, slope_bias = np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
         z = bias + np.bincount(sentence, weight[word], n_s)
         p = np.exp(-np.logaddexp(0, -z))
-        whole = np.clip(noisy_or(z, row, n_d), 1e-9, 1 - 1e-9)
-        back = p * (1 - y / whole)[row] / n_d
-        grad = np.bincount(word, back[sentence], len(vocab)) + ridge * weight / len(y)
+        whole = np.clip(noisy_or(z, row, n), 1e-9, 1 - 1e-9)
+        back = p * (1 - y / whole)[row] / n
+        grad = np.bincount(word, back[sentence], size) + ridge * weight / n
         slope += grad**2
         weight -= rate * grad / np.sqrt(slope)
         step = back.sum()
         slope_bias += step**2
         bias -= rate * step / np.sqrt(slope_bias)
-    order = np.argsort(vocab)
-    return Model(vocab[order], weight[order], float(bias))
+    return weight, float(bias)
 
 
-def fit_toxicity(labelled: DataFrame, *, fit_docs: int = 20_000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
-    """From about ``fit_docs`` labelled rows drawn by a hash of the id: the bound of the training sample, fitted in one task.
+def _vocabulary(sample: DataFrame, n: int, share: float, least_docs: int, least_z: float) -> np.ndarray:
+    """Sorted hashes of the words that ``least_docs`` rows hold and whose share among toxic ones is off by ``least_z`` standard deviations."""
 
-    Rows without text or label teach nothing; without rows of both labels every score is about 0.
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column(1).to_numpy()
+            for part in W.slices(batch.column(0)):
+                h, sentence, row, _, _ = sentence_words(part)
+                pairs = np.unique(np.stack([row[sentence].astype(np.uint64), h]), axis=1) if len(h) else np.zeros((2, 0), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(W.longs(pairs[1])), pa.array(labels[part.lo + pairs[0].astype(np.int64)], pa.int64())], names=["h", "label"])
+
+    counts = sample.select("text", "label").mapInArrow(distinct, "h long, label long").groupBy("h").agg(F.count("*").alias("df"), F.sum("label").alias("toxic")).where(F.col("df") >= least_docs)
+    off = F.abs(F.col("toxic") - F.col("df") * share) >= least_z * F.sqrt(F.col("df") * share * (1 - share))
+    return np.sort(np.array([r[0] for r in counts.where(off).select("h").collect()], np.int64).view(np.uint64))
+
+
+def fit_toxicity(labelled: DataFrame, *, fit_docs: int = 20_000, least_docs: int = 5, least_z: float = 4.0, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
+    """From about ``fit_docs`` labelled rows drawn by a hash of the id: the bound of the training sample, and of the vocabulary learned.
+
+    Words count that ``least_docs`` rows hold and whose share among toxic ones is off by ``least_z`` standard deviations: with
+    so few labels the rest would only be learned by heart. They are chosen by counts over the sample; then only the places of
+    such words, no texts, come to the task that fits their weights. Rows without text or label teach
+    nothing; without rows of both labels every score is about 0. A row that is repeated teaches as often.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    n = rows.count()
-    if not n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
     draw = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw <= min(1.0, fit_docs / n)).withColumn("one", F.lit(1))
+    sample = materialize(rows.where(draw <= min(1.0, fit_docs / max(1, rows.count()))))
+    n, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < toxic < n:
+        return nothing
+    vocab = _vocabulary(sample, n, toxic / n, least_docs, least_z)
+    held = labelled.sparkSession.sparkContext.broadcast(vocab)
+    places = "id long, label int, sentence array<int>, word array<int>"
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch.column(2)):
+                h, sentence, row, _, _ = sentence_words(part)
+                at = np.minimum(np.searchsorted(held.value, h), max(0, len(held.value) - 1))
+                hit = held.value[at] == h if len(held.value) else np.zeros(len(h), bool)
+                word, of = at[hit], sentence[hit]
+                order = np.argsort(of, kind="stable")
+                word, of = word[order], of[order]
+                size = part.hi - part.lo
+                each = np.bincount(row[of], minlength=size)
+                own = [batch.column(i).slice(part.lo, size) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, W.lists(of, each, pa.int32()), W.lists(word, each, pa.int32())], names=[c.split()[0] for c in places.split(", ")])
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
-        model = fit(pa.array(frame["text"].tolist(), pa.large_string()), frame["label"].to_numpy())
-        return pd.DataFrame({"hash": [W.longs(model.hash).tolist()], "weight": [model.weight.tolist()], "bias": [model.bias]})
-
-    got = sample.groupBy("one").applyInPandas(one, "hash array<long>, weight array<double>, bias double").collect()
-    if not got:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
-    return Model(np.array(got[0][0], np.int64).view(np.uint64), np.array(got[0][1], float), got[0][2])
+        frame = frame.sort_values(["id", "label"], kind="stable")
+        row = np.repeat(np.arange(len(frame)), frame["word"].map(len))
+        sentence, word = (np.concatenate([np.zeros(0, int), *frame[c]]).astype(int) for c in ("sentence", "word"))
+        # a sentence is one of its row's
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (sentence[1:] != sentence[:-1])
+        weight, bias = fit(row[new], np.cumsum(new) - 1, word, frame["label"].to_numpy(), len(vocab))
+        return pd.DataFrame({"weight": [weight.tolist()], "bias": [bias]})
+
+    found = sample.select(F.col("id").cast("long").alias("id"), "label", "text").mapInArrow(find, places).withColumn("one", F.lit(1))
+    weight, bias = found.groupBy("one").applyInPandas(one, "weight array<double>, bias double").first()
+    discard(sample)
+    return Model(vocab, np.array(weight, float), bias)
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text", sentences: bool = True) -> DataFrame:

@@ -383,6 +383,41 @@ def test_toxicity_finds_the_sentence(spark):
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs.limit(0))).where("predicted = 1").count() == 0
 
 
+def test_toxicity_of_odd_rows(spark):
+    rnd = random.Random(2)
+    word = lambda: rnd.choice("alpha beta gamma delta eps zeta".split())
+    rows = [(i, " ".join(word() for _ in range(9)) + (". You vile thing!" if i % 3 == 0 else "."), int(i % 3 == 0)) for i in range(120)]
+    model = toxicity.fit_toxicity(spark.createDataFrame([*rows, *rows[:9], (None, "vile", 1)], "doc_id long, text string, toxic int"))
+    odd = spark.createDataFrame([(1, None, "a"), (1, "", "b"), (2, " .!? ", "c"), (3, "vile " * 40_000, "d"), (3, "vile " * 40_000, "d"), (None, "you vile", "e"), (4, "x. " * 50_000, "f")], "doc_id long, text string, score string")
+    got = toxicity.score_toxicity(odd, model).collect()
+    assert [r.predicted for r in got] == [0, 0, 0, 1, 1, 1, 0] and [r.score for r in got[:3]] == [0, 0, 0] and all(0 <= r.score <= 1 for r in got)
+    assert [len(r.toxic_sentences) for r in got] == [0, 0, 0, 1, 1, 1, 0]
+    assert toxicity.score_toxicity(odd.limit(0), model).count() == 0
+
+
+def test_toxicity_gradients_are_those_of_the_log_loss():
+    rnd = np.random.RandomState(3)
+    row, labels = np.sort(rnd.randint(0, 6, 9)), rnd.randint(0, 2, 6)
+    sentence, word = np.sort(np.append(np.arange(9), rnd.randint(0, 9, 11))), rnd.randint(0, 5, 20)
+
+    def loss(weight, bias):
+        z = bias + np.bincount(sentence, weight[word], 9)
+        quiet = np.array([np.prod(1 - 1 / (1 + np.exp(-z[row == d]))) for d in range(6)])
+        p = np.clip(1 - quiet, 1e-9, 1 - 1e-9)
+        return -np.mean(np.where(labels, np.log(p), np.log(1 - p))) + 0.5 * (weight @ weight) / 6
+
+    weight, bias = toxicity.fit(row, sentence, word, labels, 5, rounds=3000, ridge=1.0, rate=0.1)
+    assert all(loss(weight, bias) <= loss(weight + d, bias) + 1e-6 for d in 0.05 * np.vstack([np.eye(5), -np.eye(5)])) and loss(weight, bias) <= loss(weight, bias + 0.05) + 1e-6
+
+
+def test_toxicity_on_held_out_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op6_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in toxic]
+    hit = sum(r.predicted and toxic[r.doc_id] for r in rows)
+    assert hit >= 0.9 * sum(toxic[r.doc_id] for r in rows) and hit >= 0.9 * sum(r.predicted for r in rows)
+
+
 def test_decontamination_finds_edited_copies_only(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 8)))

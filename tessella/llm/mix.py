@@ -16,15 +16,18 @@ def sainte_lague(parts: DataFrame, group: list[str], weight: str, seats: str, ou
     The quotients above a common level are counted in closed form: rounding w * seats / sum(w)
     gives them but for a few. Those are won or returned one by one, by the highest (or lowest)
     quotients next in line, ties to the part that comes first in the row order ``_rank``.
+    Rounding is off by half a seat a part at most, so the level moves so little that a part of weight w changes by
+    n / 2 * w / sum(w) seats and one at most: the quotients looked at are a few times the n parts of a group.
     """
     whole = Window.partitionBy(*group)
     near = parts.withColumn("_sum", F.sum(weight).over(whole)).withColumn(
         out, F.when(F.col("_sum") > 0, F.floor(F.col(weight) * F.col(seats) / F.col("_sum") + F.lit(0.5))).otherwise(F.lit(0)).cast("long")
     )
+    near = near.withColumn("_most", F.ceil(F.count("*").over(whole) * F.col(weight) / F.col("_sum") / 2).cast("int") + 2)
     near = near.withColumn("_off", F.when(F.col("_sum") > 0, F.col(seats) - F.sum(out).over(whole)).otherwise(F.lit(0)))
     step = (
         near.where("_off <> 0")
-        .select(*group, "_rank", "_off", F.col(weight).alias("_w"), F.col(out).alias("_q"), F.explode(F.sequence(F.lit(1), F.abs("_off").cast("int"))).alias("_i"))
+        .select(*group, "_rank", "_off", F.col(weight).alias("_w"), F.col(out).alias("_q"), F.explode(F.sequence(F.lit(1), F.least(F.abs("_off").cast("int"), "_most"))).alias("_i"))
         .withColumn("_j", F.when(F.col("_off") > 0, F.col("_q") + F.col("_i") - 1).otherwise(F.col("_q") - F.col("_i")))
         .where("_j >= 0")
         .withColumn("_quotient", F.col("_w") / (2 * F.col("_j") + 1))
@@ -36,7 +39,7 @@ def sainte_lague(parts: DataFrame, group: list[str], weight: str, seats: str, ou
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}__m"))
-    return near.join(moved, same, "left").withColumn(out, F.col(out) + F.coalesce("_move", F.lit(0))).drop("_sum", "_off", "_move", *[f"{k}__m" for k in keys])
+    return near.join(moved, same, "left").withColumn(out, F.col(out) + F.coalesce("_move", F.lit(0))).drop("_sum", "_off", "_most", "_move", *[f"{k}__m" for k in keys])
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -68,7 +71,7 @@ def _upto(t: Column, block: int) -> Column:
     return (chosen(k) - chosen(F.lit(0))) * block + (t - k * block) * (chosen(k + 1) - chosen(k))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block_words: int = 64, shard_docs: int = 1_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block_words: int = 64, shard_docs: int = 1_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document a mix takes whose sources meet target weights.
 
     Sources weigh ``weights`` in turn, by code point, null last (null is a source of its own),
@@ -78,11 +81,11 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_re
     stand in a seeded order; q of B blocks are q div B whole rounds and q mod B blocks at even
     distances from a seeded start. A document is taken as often as the blocks that it covers.
 
-    Returns one row per input row: the id and source columns, size, source_size, target, taken.
+    Returns one row per input row: the id and source columns, those named in ``carry``, size, source_size, target, taken.
     Null, empty or blank texts have size 0 and taken 0; repeated rows count each on their own;
     an empty table gives no rows; other columns are not read.
     """
-    sizes = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("_words"))
+    sizes = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("_words"), *[F.col(c).alias(f"_carried_{c}") for c in carry])
     sizes = materialize(sizes)
     sources = sizes.groupBy("_source").agg(F.sum("_words").alias("_size"), F.count("*").alias("_docs"))
     sources = source_targets(sources, weights, max_repeat).withColumn("_seats", F.round(F.col("_total") / block_words).cast("long"))
@@ -106,5 +109,5 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_re
     rows = rows.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_words"))
     taken = F.col("_rounds") * F.col("_words") + _upto(F.col("_to"), block_words) - _upto(F.col("_from"), block_words)
     return rows.select(
-        F.col("_id").alias(id_col), F.col("_source").alias(source_col), F.col("_words").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), taken.cast("long").alias("taken"),
+        F.col("_id").alias(id_col), F.col("_source").alias(source_col), *[F.col(f"_carried_{c}").alias(c) for c in carry], F.col("_words").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), taken.cast("long").alias("taken"),
     )

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import heapq
 import itertools
 import random
 import re
@@ -290,6 +291,20 @@ def test_sainte_lague_is_highest_quotients(spark):
     assert got == want
 
 
+def test_mix_of_many_small_sources_stays_small(spark):
+    """1,500 sources whose quotas all round one way; quotas are the highest quotients'."""
+    parts = [(1, i + 1, 1.0 if i else 800.0, 1200) for i in range(1500)]
+    frame = spark.createDataFrame(parts, "g int, _rank long, w double, n long")
+    got = {r._rank: r.q for r in mix.sainte_lague(frame, ["g"], "w", "n", "q").collect()}
+    heap, want = [(-w, r, w, 0) for _, r, w, _ in parts], {p[1]: 0 for p in parts}
+    heapq.heapify(heap)
+    for _ in range(1200):
+        _, r, w, k = heapq.heappop(heap)
+        want[r] += 1
+        heapq.heappush(heap, (-w / (2 * k + 3), r, w, k + 1))
+    assert got == want
+
+
 def test_languages_are_told_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     lang = {r.doc_id: r.lang for r in docs.collect()}
@@ -432,6 +447,40 @@ def test_decontamination_finds_edited_copies_only(spark):
     assert decontaminate.decontaminate(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Items cut, reordered, with words replaced, put in and left out: the hits are those of aligning every document with every item."""
+    rnd = random.Random(14)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    common = vocabulary[:40]
+    word = lambda: rnd.choice(common if rnd.random() < 0.4 else vocabulary)
+    items = [[word() for _ in range(rnd.randint(8, 40))] for _ in range(12)]
+    docs = []
+    for i in range(160):
+        own = list(items[i % 12])
+        for _ in range(rnd.randint(0, len(own) // 3)):
+            k = rnd.randrange(len(own))
+            own[k : k + rnd.randint(0, 1)] = [[], [word()], [word() for _ in range(rnd.choice([1, 12]))]][rnd.randrange(3)]
+        docs.append([word() for _ in range(rnd.randint(0, 60))] + own[rnd.choice([0, 0, len(own) // 2]) :] + [word() for _ in range(rnd.randint(0, 60))])
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame([(i, " ".join(t), "clash") for i, t in enumerate(docs)], "doc_id long, text string, item_id string")
+    number = {w: i for i, w in enumerate(vocabulary)}
+    want = {}
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            best = decontaminate.align(np.array([number[w] for w in item]), np.array([number[w] for w in text]))[0]
+            if best >= len(item):
+                want[d, i] = best
+    got = {(r.doc_id, r.item_id): r.matched for r in decontaminate.decontaminate(frame, bench).collect()}
+    assert len(want) > 60 and set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(got) >= 0.98 * len(want)
+    third = spark.createDataFrame([(i, " ".join(w if k % 3 else "zz" for k, w in enumerate(t, 1))) for i, t in enumerate(items) if len(t) % 3 < 2], "doc_id long, text string")
+    found = {r.doc_id for r in decontaminate.decontaminate(third, bench).where("doc_id = item_id").collect()}
+    assert len(found) == third.count()
+    again = {(r.doc_id, r.item_id): r.matched for r in decontaminate.decontaminate(frame.unionByName(frame), bench, block_bytes=300).collect()}
+    assert again == got
+    assert decontaminate.decontaminate(frame.limit(0), bench).count() == 0
+
+
 def test_alignment_against_plain_smith_waterman():
     rnd = np.random.RandomState(6)
     for _ in range(30):

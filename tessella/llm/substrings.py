@@ -100,7 +100,7 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 
 
 def _fingerprints(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """(v, doc_id): the distinct anchors of each document."""
+    """(v, doc_id, n): the distinct anchors of each document, and in how many stretches of it each is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,9 +115,10 @@ def _fingerprints(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
                 v, doc = v[order], doc[order]
                 new = np.ones(len(v), bool)
                 new[1:] = (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
-                yield _batch("v long, doc_id long", [W.longs(v[new]), ids[part.lo + doc[new]]])
+                n = np.diff(np.append(np.flatnonzero(new), len(v)))
+                yield _batch("v long, doc_id long, n int", [W.longs(v[new]), ids[part.lo + doc[new]], n.astype(np.int32)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "v long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "v long, doc_id long, n int")
 
 
 def _marked(part: W.Slice, marks: list[np.ndarray], min_words: int, gram: int) -> tuple[W.Words, np.ndarray, np.ndarray]:
@@ -220,18 +221,18 @@ def _match(contexts: DataFrame, min_words: int) -> DataFrame:
     return parted.mapInArrow(run, REMOVED)
 
 
-def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_docs: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: int = 1_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, uid, start, n): runs of windows that documents with smaller ids hold too.
 
     ``known`` has a row tag named UID, and neither ids nor texts that are null. Anchors that two documents share are found by
-    count, combined before the shuffle. An anchor of more than ``hot_docs`` documents would make a large shard: its
+    count, combined before the shuffle. An anchor of more than ``hot_stretches`` stretches would make a large shard: its
     windows are taken one by one and settled by their smallest document, an exact way of the same outcome that
     has no large group. Whole rows go into the join with their marks, as they do in ``remove_repeats``: Spark shuffles them once for all.
     """
     gram = max(1, min_words // 3)
     marks = _fingerprints(known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_words, gram)
-    shared = materialize(marks.groupBy("v").agg(F.count("*").alias("n")).where("n > 1"))
-    pairs = materialize(marks.join(shared, "v").select("doc_id", "v", (F.col("n") > hot_docs).alias("hot")))
+    shared = materialize(marks.groupBy("v").agg(F.count("*").alias("n"), (F.sum("n") > hot_stretches).alias("hot")).where("n > 1").drop("n"))
+    pairs = materialize(marks.select("doc_id", "v").join(shared, "v").select("doc_id", "v", "hot"))
 
     def rows(hot: bool) -> DataFrame:
         own = pairs.where(F.col("hot") == hot).groupBy(F.col("doc_id").alias(OF)).agg(F.collect_list("v").alias(MARKS))
@@ -243,7 +244,7 @@ def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_docs: int = 5
     return _match(_contexts(rows(False), id_col, text_col, min_words, gram), min_words).unionByName(settled)
 
 
-def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 5_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int = 1_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` without words covered by ``min_words`` consecutive ones that a document with a smaller id holds too.
 
     Words are runs of anything but ASCII white space, unchanged; windows are judged on the input. Adds n_words,
@@ -256,7 +257,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_docs: int = 5_00
     fields = docs.schema
     rows = docs.withColumn(UID, F.hash(id_col, text_col))
     fine = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    gone = repeated_windows(rows.where(fine), min_words=min_words, hot_docs=hot_docs, id_col=id_col, text_col=text_col)
+    gone = repeated_windows(rows.where(fine), min_words=min_words, hot_stretches=hot_stretches, id_col=id_col, text_col=text_col)
     lists = [F.collect_list(c).alias(f"__{c}s") for c in ("uid", "start", "n")]
     gone = gone.groupBy(F.col("doc_id").alias(OF)).agg(*lists)
     joined = rows.where(fine).join(gone, F.col(id_col) == F.col(OF), "left").drop(OF)

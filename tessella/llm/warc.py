@@ -117,11 +117,12 @@ def write_warc(pages: DataFrame, *, min_revisit_bytes: int = 0, archive_bytes: i
     return materialize(rows.select("page_id", "url", "html", "refers_to").mapInArrow(pack, ARCHIVES))
 
 
-def read_warc(archives: DataFrame, *, payload: bool = False) -> DataFrame:
+def read_warc(archives: DataFrame, *, payload: bool = False, strict: bool = True) -> DataFrame:
     """Records of (archive, content) rows in sequence, with their framing and digests verified.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload, also of a revisit.
-    ``digest_ok`` is whether the digests of what the record holds agree with its headers. With ``payload`` a
+    ``digest_ok`` is whether the digests of what the record holds agree with its headers; with ``strict`` a record whose
+    digests don't is an error. With ``payload`` a
     binary column of that name follows (null for a revisit). A null or empty content has no records; content that
     is cut off or is no WARC is an error.
     """
@@ -143,6 +144,8 @@ def read_warc(archives: DataFrame, *, payload: bool = False) -> DataFrame:
                         size = len(body)
                     else:
                         size = int(headers["warc-payload-length"])
+                    if strict and not ok:
+                        raise ValueError(f"digest of the record at {offset} in {archive.as_py()} does not agree")
                     url = headers.get("warc-target-uri")
                     if url is not None:
                         url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%250D", "%0D").replace("%250A", "%0A")

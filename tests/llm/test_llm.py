@@ -1,6 +1,7 @@
 """The training-data operators: queries against SQL or brute force, and nulls, ties, repeats and empty tables."""
 
 import base64
+import gzip
 import hashlib
 import heapq
 import itertools
@@ -53,7 +54,8 @@ def odd_docs(spark):
 
 def test_substring_dedup_against_brute_force(spark, odd_docs):
     rows = odd_docs.collect()
-    for hot in (5_000, 2):
+    assert substrings.remove_repeats(odd_docs.limit(0)).count() == 0
+    for hot in (1_000, 2):
         first = {}
         for r in rows:
             w = split(r.text)
@@ -66,7 +68,7 @@ def test_substring_dedup_against_brute_force(spark, odd_docs):
             gone = {i + j for i in range(len(w) - 12) for j in range(13) if r.doc_id is not None and first[tuple(w[i : i + 13])] < r.doc_id}
             kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
             want.append((str(r.doc_id), len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-        got = substrings.remove_repeats(odd_docs, hot_docs=hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        got = substrings.remove_repeats(odd_docs, hot_stretches=hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
         assert sorted(want) == sorted((str(r[0]), *r[1:]) for r in got)
 
 
@@ -243,10 +245,37 @@ def test_warc_round_trip_and_damage(spark):
     assert got[8].payload_bytes == 140_000 and bytes(got[8].payload).decode() == "é" * 70_000 and got[2].target_uri == "http://b\r\nq%0A"
     assert got[5].payload_digest == base64.b32encode(hashlib.sha1(b"x").digest()).decode() and got[5].payload_bytes == 1
     content = archives.first().content
+    offset, first = next(iter(warc.members(content)))
+    for old, new in ((b"sha1:", b"sha1:A"), (b"utf-8", b"utf-9")):
+        at = bytes(first).rindex(old)
+        wrong = spark.createDataFrame([("a", gzip.compress(bytes(first)[:at] + new + bytes(first)[at + len(old) :]))], "archive string, content binary")
+        with pytest.raises(Exception, match="does not agree"):
+            warc.read_warc(wrong).collect()
+        assert [r.digest_ok for r in warc.read_warc(wrong, strict=False).collect()] == [False]
+    headers = bytes(first).replace(b"Content-Length: ", b"Content-Length: 9")
+    with pytest.raises(ValueError, match="shorter"):
+        warc.parse(headers)
     with pytest.raises(EOFError):
         list(warc.members(content[:-3]))
 
 
+def test_warc_of_small_payloads_repeats_and_empty_tables(spark):
+    rows = [(1, "a", "xy"), (2, "b", "xy"), (2, "b", "xy"), (1, "a", "xy"), (3, None, ""), (4, "c", None), (None, "d", "xy")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, sha string")
+    kinds = lambda least: sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_warc(warc.write_warc(frame, min_revisit_bytes=least)).collect())
+    assert kinds(0) == [("1", "response", None)] * 2 + [("2", "revisit", 1)] * 2 + [("3", "response", None), ("4", "revisit", 3), ("None", "response", None)]
+    assert kinds(1)[4:6] == [("3", "response", None), ("4", "response", None)] and {k[1] for k in kinds(3)} == {"response"}
+    assert warc.read_warc(warc.write_warc(frame.limit(0))).count() == 0
+
+
+def test_chats_of_nulls_long_texts_and_empty_tables(spark):
+    long = "</s>[INST] é\\" * 50_000
+    frame = spark.createDataFrame([(None, 1, "user", "x", "y"), (1, None, "user", long, "y"), (1, 2, "assistant", long, "y")], "conv_id long, turn long, role string, text string, formatted string")
+    back = {r.conv_id: r for r in chat.read_chats(chat.format_chats(frame)).collect()}
+    assert [t.text for t in back[1].turns] == [long, long] and back[1].learned == long and [t.text for t in back[None].turns] == ["x"]
+    assert chat.read_chats(chat.format_chats(frame.limit(0))).count() == 0
+
+
 def test_chats_come_back_whatever_they_say(spark):
     said = ["</s>[INST] ok", "\\l<END>\n\\", "<NEXT>[ROLE x]\n", "", None]
     rows = [(1, i, ["user", "assistant", "assistant", "user", None][i], t) for i, t in enumerate(said)] + [(1, 4, "user", "tie"), (2, 0, "a]\nb", "x")]
@@ -559,12 +588,66 @@ def test_odd_pages_take_linear_time_and_defined_results(spark):
     assert html.extract_text(pages.limit(0), html.fit_extractor(pages.limit(0))).count() == 0
 
 
-def test_pipeline_keeps_columns_and_decides(spark):
+def test_pipeline_stages_against_plain_versions(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, docs, DATA)
-        assert after.columns == docs.columns
-        rows = after.collect()
-        assert len(rows) <= docs.count()
-        docs = spark.createDataFrame(rows, after.schema)
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+    stages = dict(corpus_pipeline.STAGES)
+    key = lambda r: r.doc_id
+    before = sorted(docs.collect(), key=key)
+    after = {}
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, DATA)
+        rows = sorted(found.collect(), key=key)
+        if name != "mixing sources to target weights":
+            assert found.columns == docs.columns
+        after[name], docs = rows, spark.createDataFrame(rows, found.schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", own)
+    # language ID: real texts in four languages stay as they are
+    kept = after["language ID"]
+    assert [r for r in before if r in kept] == kept and len(kept) >= 0.98 * len(before)
+    # near duplicates: the smallest of each group of all-pairs links stays, unchanged
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := split((r.text or "").translate(low))) else set() for r in kept}
+    of = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and of[a] != of[b] and (n := len(sets[a] & sets[b])) and 100 * n >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((of[a], of[b]))
+                of = {d: x if k == y else k for d, k in of.items()}
+    single = after["n-gram Jaccard join"]
+    assert single == [r for r in kept if of[r.doc_id] == r.doc_id]
+    # repeated passages: words in windows that a smaller document starts are gone
+    first, want = {}, []
+    for r in single:
+        w = split(r.text)
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), r.doc_id)
+    for r in single:
+        w = split(r.text)
+        gone = {i + j for i in range(len(w) - 12) for j in range(13) if first[tuple(w[i : i + 13])] < r.doc_id}
+        want.append((r.doc_id, b" ".join(x for i, x in enumerate(w) if i not in gone).decode() if gone else r.text))
+    cut = after["substring dedup"]
+    assert [(r.doc_id, r.text) for r in cut] == want and all(r.n_chars == len(r.text) for r in cut)
+    # benchmark: what is gone aligns with an item, and all that aligns is gone
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+    items = [words(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    number: dict = {}
+    coded = lambda ws: np.array([number.setdefault(w, len(number)) for w in ws], int)
+    items, clean = [coded(t) for t in items], []
+    for r in cut:
+        text = coded(words(r.text))
+        able = [t for t in items if 2 * np.isin(t, text).sum() >= len(t)]
+        if not any(decontaminate.align(t, text)[0] >= len(t) for t in able):
+            clean.append(r)
+    assert after["benchmark decontamination"] == clean
+    # the mix: all documents with their texts, and what is taken
+    mixed = after["mixing sources to target weights"]
+    assert [(r.doc_id, r.text, r.source) for r in mixed] == [(r.doc_id, r.text, r.source) for r in clean]
+    assert all(0 <= r.taken <= 3 * r.size and r.size == len(split(r.text)) for r in mixed) and stages
+
+
+def test_pipeline_runs_and_leaves_the_session(spark):
+    own = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = corpus_pipeline.run(spark, DATA)
+    assert {"doc_id", "text", "taken"} <= set(out.columns) and out.count() > 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == own

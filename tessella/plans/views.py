@@ -33,6 +33,37 @@ def pattern_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk_by_patterns(code_view(spark, d)).withColumn("dependencies", own)
 
 
+def md_view(spark: SparkSession, d: str) -> DataFrame:
+    """corpus with md: its lines as headers, bullets, numbered items and paragraphs, with a link and page marks."""
+    mark = lambda i: F.when(i % 5 == 0, "## ").when(i % 5 == 2, "- ").when(i % 5 == 3, "1. ").otherwise("")
+    line = lambda x, i: F.concat(F.when(i % 20 == 0, F.concat(F.lit("--- Page "), F.floor(i / 20 + 1).cast("string"), F.lit("\n"))).otherwise(""), mark(i), x, F.when(i == 1, " [l](u)").otherwise(""), F.when(i % 5 == 4, "\n").otherwise(""))
+    return corpus(spark, d).withColumn("md", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n"))
+
+
+def brace_view(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as code with braces: every third line opens a function, which is closed before the next one."""
+    opener = lambda i: F.concat(F.when(i > 0, "}\n").otherwise(""), F.lit("func f"), i.cast("string"), F.lit("() {"))
+    line = lambda x, i: F.when(i % 3 == 0, opener(i)).otherwise(F.concat(F.lit("    "), x))
+    return corpus(spark, d).withColumn("text", F.array_join(F.transform(F.split("text", "\n", -1), line), "\n"))
+
+
+def structured(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as JSON (an object, a nested one, an array), XML, YAML, CSV, or what only looks like one."""
+    e = table(spark, d, "events")
+    k, text = F.col("event_id") % 8, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    kind, own, user, props = F.col("event_type"), F.col("event_id"), F.col("user_id"), F.col("props")
+    body = (
+        F.when(k == 0, props)
+        .when(k == 1, text('{"a": ', props, ', "b": [1, {"c": []}], "n": ', user, ', "s": "x]{"}'))
+        .when(k == 2, text("[", props, ', [], "x]"]'))
+        .when(k == 3, text('<r a="', own, '"><k b="1">', kind, "</k><j/></r>"))
+        .when(k == 4, text("name: ", kind))
+        .when(k == 6, text("{", kind, "}"))
+        .otherwise(text("id,type\n", own, ",", kind, "\n", user, ",x"))
+    )
+    return e.select("event_id", F.when(k == 7, "t.CSV").otherwise("t").alias("path"), body.alias("text"))
+
+
 def query_table(spark: SparkSession, d: str) -> DataFrame:
     said = table(spark, d, "conversations").where("role = 'user'")
     return said.select(F.col("conv_id").alias("user_id"), "turn", F.substring_index("text", ".", 1).alias("query"), F.concat(F.lit("src"), (F.col("conv_id") % 5).cast("string")).alias("collection"))
@@ -75,6 +106,11 @@ SQL = {
             CAST(i AS INT) AS start_line, CAST(e AS INT) AS end_line, array_to_string(ls[i : e], chr(10)) AS content
             FROM (SELECT *, row_number() OVER w AS k, coalesce(lead(i) OVER w - 1, len(ls)) AS e FROM (SELECT doc_id, ls, unnest(ls) AS ln, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM code_view))
                 JOIN (VALUES {_HITS}) h(o, pat, re) ON regexp_matches(ln, re) WINDOW w AS (PARTITION BY doc_id ORDER BY i, o)))""",
+    "md_view": """SELECT *, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 20 = 0 THEN '--- Page ' || ((i - 1) // 20 + 1) || chr(10) ELSE '' END
+        || CASE (i - 1) % 5 WHEN 0 THEN '## ' WHEN 2 THEN '- ' WHEN 3 THEN '1. ' ELSE '' END || x || CASE WHEN i = 2 THEN ' [l](u)' ELSE '' END || CASE WHEN (i - 1) % 5 = 4 THEN chr(10) ELSE '' END), chr(10)) AS md FROM corpus""",
+    "brace_view": """SELECT * REPLACE (array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 3 > 0 THEN '    ' || x ELSE CASE WHEN i > 1 THEN '}' || chr(10) ELSE '' END || 'func f' || (i - 1) || '() {' END), chr(10)) AS text) FROM corpus""",
+    "structured": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN '{"a": ' || props || ', "b": [1, {"c": []}], "n": ' || user_id || ', "s": "x]{"}' WHEN 2 THEN '[' || props || ', [], "x]"]'
+        WHEN 3 THEN '<r a="' || event_id || '"><k b="1">' || event_type || '</k><j/></r>' WHEN 4 THEN 'name: ' || event_type WHEN 6 THEN '{' || event_type || '}' ELSE 'id,type' || chr(10) || event_id || ',' || event_type || chr(10) || user_id || ',x' END AS text FROM events""",
     "query_table": "SELECT conv_id AS user_id, turn, split_part(text, '.', 1) AS query, 'src' || (conv_id % 5) AS collection FROM conversations WHERE role = 'user'",
     "query_log": "SELECT event_id, ts, user_id, event_type AS query_type, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, value AS processing_time, event_id % 11 AS result_count, user_id % 5 AS collection FROM events",
     "api_usage": "SELECT event_id, ts, user_id AS api_key_id, event_type AS endpoint, CASE WHEN event_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, value AS response_time_ms FROM events",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +17,11 @@ from .operators import retrieval as R
 from .operators import usage as U
 from .operators import vectors as V
 from .plans import views as W
+from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .sources import tables as S
 from .sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
-    QUERIES[name] = run
-    ORACLES[name] = W.with_views(sql.strip())
+from . import document_queries  # noqa: F401, E402, I001 (it registers its own)
 
 
 def as_of(df: DataFrame):

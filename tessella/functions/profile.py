@@ -33,6 +33,14 @@ QUERY_LANGUAGES = {
 }
 
 
+#: What is named in a query, by patterns, and by whole words that hold a pattern; whatever their case.
+ENTITIES = {
+    "file_extension": r"(?i)(\.\w{2,4})\b", "function_name": r"(?i)\b(\w+\(\))", "class_name": r"(?i)\bclass\s+(\w+)", "number": r"\b(\d+\.?\d*)\b", "url": r"(?i)(https?://[^\s]+)",
+    "email": r"(?i)\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,})\b",
+}
+TOKEN_ENTITIES = {"variable_name": r"^[A-Za-z_]", "constant": r"^[A-Za-z_][A-Za-z0-9_]*$"}
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
 
@@ -124,6 +132,13 @@ def keywords(query: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda w: ~w.isin(*STOP_WORDS)))
 
 
+def entities(query: Column) -> Column:
+    """QRY5: an array of (type, value): every hit of every kind, the kinds one after the other; a word may be of several."""
+    of = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+    holding = lambda pattern: F.filter(F.regexp_extract_all(query, F.lit(f"({WORD})"), 1), lambda w: w.rlike(pattern))
+    return F.concat(*[of(k, F.regexp_extract_all(query, F.lit(p), 1)) for k, p in ENTITIES.items()], *[of(k, holding(p)) for k, p in TOKEN_ENTITIES.items()])
+
+
 def vector_query(query: Column, context: Column) -> Column:
     """QRY7: the query after its context, if it has one."""
     return F.when(context != "", F.concat_ws(" ", context, query)).otherwise(query)

@@ -85,7 +85,18 @@ def control_flow_complexity(text: Column, cap: int = 20) -> Column:
     return F.least(F.regexp_count(text, F.lit(r"\b(" + "|".join(CONTROL) + r")\b")) + 1, F.lit(cap))
 
 
-def run_stats(runs: DataFrame) -> DataFrame:
-    """CHK22: (run_id, strategy, duration, quality) with the running averages of its strategy in the order of runs."""
-    so_far = Window.partitionBy("strategy").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.select("run_id", "strategy", F.round(F.avg("duration").over(so_far), 6).alias("avg_duration"), F.round(F.avg("quality").over(so_far), 6).alias("avg_quality"), F.count("*").over(so_far).alias("runs"))
+def run_stats(runs: DataFrame, range_size: int = 100_000) -> DataFrame:
+    """CHK22: (run_id, strategy, duration, quality) with the running averages of its strategy in the order of runs.
+
+    Runs are summed per range of ``range_size`` ids first, and a run adds its own range to those before: no window over runs holds
+    more than a strategy's range.
+    """
+    rows = runs.withColumn("_range", F.floor(F.col("run_id") / range_size))
+    sums = [f(c).alias(f"_{n}_{c}") for c in ("duration", "quality") for n, f in (("s", F.sum), ("n", F.count))]
+    ranges = rows.groupBy("strategy", "_range").agg(F.count("*").alias("_n"), *sums)
+    names = [c for c in ranges.columns if c not in ("strategy", "_range")]
+    before = Window.partitionBy("strategy").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("strategy", "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in names])
+    so_far = Window.partitionBy("strategy", "_range").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
+    mean = lambda c: F.round((F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(so_far), F.lit(0))) / F.nullif(F.col(f"_n_{c}") + F.count(c).over(so_far), F.lit(0)), 6)
+    return rows.join(ranges, ["strategy", "_range"]).select("run_id", "strategy", mean("duration").alias("avg_duration"), mean("quality").alias("avg_quality"), (F.col("_n") + F.count("*").over(so_far)).alias("runs"))

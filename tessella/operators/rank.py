@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.profile import WORD
+from .quality import _any
 
 #: What each feature weighs; one that isn't listed weighs OTHER_WEIGHT.
 FEATURE_WEIGHTS = {"semantic_similarity": 0.4, "keyword_match": 0.2, "content_quality": 0.15, "freshness": 0.1, "source_authority": 0.1}
@@ -25,13 +26,6 @@ SYNONYMS = {
 QUESTION_START = r"^(?:what|how|why|when|where|who|which|can|could|would|should|is|are|does|do|did)\s+"
 
 
-def _any(content: Column, marks: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for m in marks:
-        hit = hit | F.contains(content, F.lit(m))
-    return hit
-
-
 def _points(*tests: tuple[Column, float]) -> Column:
     return sum((F.when(test, x).otherwise(0.0) for test, x in tests), F.lit(0.0))
 

@@ -19,15 +19,22 @@ def postings(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(f"({WORD})"), 1))).alias("token"))
 
 
-def keyword_scan(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def keyword_scan(queries: DataFrame, docs: DataFrame, k: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """RET3: (query_id, keywords) against an inverted index: the best ``k`` documents by matched keywords over all, ties by id.
 
-    An equi-join on tokens with counts combined before the shuffle; query tokens are the small side.
+    Queries of the same keywords are scored once. Where their tokens are no more than ``broadcast_rows`` they are broadcast, so that
+    documents' other tokens go where they are read and none is shuffled: a document's matches are counted in its own task.
+    Beyond that it is an equi-join on tokens.
     """
-    wanted = queries.select("query_id", F.size("keywords").alias("total"), F.explode("keywords").alias("token"))
-    hits = wanted.join(postings(docs), "token").groupBy("query_id", "doc").agg((F.count("*") / F.max("total")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    asked = queries.select("query_id", F.array_sort("keywords").alias("_set")).where(F.size("_set") > 0)
+    sets = asked.groupBy("_set").agg(F.min("query_id").alias("_rep"))
+    wanted = sets.select("_rep", F.size("_set").alias("total"), F.explode("_set").alias("token"))
+    if wanted.count() <= broadcast_rows:
+        wanted = F.broadcast(wanted)
+    hits = postings(docs).join(wanted, "token").groupBy("_rep", "doc").agg((F.count("*") / F.max("total")).alias("score"))
+    order = Window.partitionBy("_rep").orderBy(F.desc("score"), "doc")
+    top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return asked.join(sets, "_set").join(top, "_rep").select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 def rrf_fuse(lists: DataFrame, constant: int = 60) -> DataFrame:

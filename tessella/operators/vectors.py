@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,58 +48,158 @@ def metadata_filter(spec: dict) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, where: Column | None = None, block: int = 4096) -> DataFrame:
+class Match(NamedTuple):
+    """Which vectors a query may see: ``test`` gets the query columns as (queries, 1) and the vector columns as (1, vectors) arrays."""
+
+    query: tuple[str, ...]
+    vector: tuple[str, ...]
+    test: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
+
+
+class _Best:
+    """The best ``k`` of each query so far, as flat arrays; ties by id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, score: np.ndarray, ids: np.ndarray) -> None:
+        n = score.shape[1]
+        least = self.floor if n <= self.k else np.maximum(self.floor, np.partition(score, n - self.k, axis=1)[:, n - self.k])
+        q, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        q, own, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids[at]]), np.concatenate([self.score, score[q, at]])
+        order = np.lexsort((own, -score, q))
+        q, own, score = q[order], own[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        keep = place < self.k
+        self.q, self.id, self.score = q[keep], own[keep], score[keep]
+        full = place == self.k - 1
+        self.floor[q[full]] = score[full]
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, where: Column | None = None, match: Match | None = None, block_bytes: int = 64 << 20) -> DataFrame:
     """VEC3: (query_id, vec_id, score, rank), the ``k`` best by cosine for each (query_id, embedding) query; ties by id.
 
-    Queries are taken in blocks of at most ``block`` vectors, the only thing broadcast; each batch of vectors gives at most k
-    candidates a query, so what is shuffled is bounded by batches times k, and never the vectors.
+    Queries are taken in blocks of ``block_bytes``, the only thing broadcast; each task holds its best k of every query of the
+    block and gives them out at its end, so what is shuffled is bounded by tasks times k, and never the vectors. The cosine of unequal
+    lengths or a zero vector is 0; a null vector is no hit.
     """
     spark = queries.sparkSession
     base = vectors if where is None else vectors.where(where)
-    found, rows, out = [], [], "query_id long, vec_id long, score double"
+    asked, told = (match.query, match.vector) if match else ((), ())
+    out = "query_id long, vec_id long, score double"
 
     def search(rows: list) -> DataFrame:
         ids = np.array([r[0] for r in rows])
-        m = np.array([r[1] for r in rows], np.float64)
-        held = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
+        sizes = np.array([len(r[1] or ()) for r in rows])
+        unit = {}
+        for d in set(sizes.tolist()) - {0}:
+            m = np.array([rows[i][1] for i in np.flatnonzero(sizes == d)], np.float64)
+            unit[d] = np.flatnonzero(sizes == d), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        held = spark.sparkContext.broadcast((ids, unit, [np.array([r[2 + i] for r in rows], object)[:, None] for i in range(len(asked))]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, unit = held.value
+            ids, unit, own = held.value
+            best = _Best(len(ids), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                score = unit @ np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).T
-                keys = batch.column(0).to_numpy()
-                order = np.lexsort((np.broadcast_to(keys, score.shape), -score), axis=1)[:, :k]
-                q = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[order.ravel()]), pa.array(score[q, order.ravel()])], names=["query_id", "vec_id", "score"])
-
-        return base.where(F.col("embedding").isNotNull()).select("vec_id", "embedding").mapInArrow(run, out)
-
-    for row in queries.select("query_id", "embedding").toLocalIterator():
+                for lo in range(0, batch.num_rows, 2048):
+                    part = batch.slice(lo, 2048)
+                    column, score = part.column(1), np.zeros((len(ids), part.num_rows))
+                    size = pc.list_value_length(column).to_numpy()
+                    for d, (places, m) in unit.items():
+                        at = np.flatnonzero(size == d)
+                        if len(at):
+                            v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
+                            norm = np.linalg.norm(v, axis=1, keepdims=True)
+                            score[np.ix_(places, at)] = m @ np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).T
+                    score = np.nan_to_num(score, nan=0.0)
+                    if match:
+                        others = [part.column(2 + i).to_numpy(zero_copy_only=False).astype(object)[None, :] for i in range(len(told))]
+                        score = np.where(match.test(own, others).astype(bool), score, -np.inf)
+                    best.add(score, part.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best.q], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score, pa.float64())], names=["query_id", "vec_id", "score"])
+
+        return base.where(F.col("embedding").isNotNull()).select("vec_id", "embedding", *told).mapInArrow(run, out)
+
+    found, rows, size = [], [], 0
+    for row in queries.select("query_id", "embedding", *asked).toLocalIterator():
         rows.append(row)
-        if len(rows) == block:
+        size += 8 * len(row[1] or ()) + 64
+        if size >= block_bytes:
             found.append(search(rows))
-            rows = []
+            rows, size = [], 0
     if rows:
         found.append(search(rows))
-    if not found:
-        return spark.createDataFrame([], out + ", rank int")
-    hits = reduce(DataFrame.unionByName, found)
+    hits = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], out)
     if threshold is not None:
         hits = hits.where(F.col("score") >= threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probe: int = 40, sample_rows: int = 100_000, cell_rows: int = 50_000, seed: int = 7) -> DataFrame:
+    """VEC6: (query_id, vec_id, score, rank): about the ``k`` best by cosine, from the ``probe`` of ``cells`` cells that lie nearest to each query.
+
+    The cells' centres are k-means of about ``sample_rows`` vectors drawn by hash, the bound of the index's training sample; every vector is
+    indexed under its nearest centre and scored exactly. Cells of more than ``cell_rows`` vectors are dealt into parts, each
+    of which meets the cell's queries. All vectors have one length; null and zero ones are in no cell.
+    """
+    norm = lambda: F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = lambda df, key: df.where(F.col("embedding").isNotNull()).withColumn("_norm", norm()).where("_norm > 0").select(key, F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("v"))
+    points, asked = unit(vectors, "vec_id"), unit(queries, "query_id")
+    n = points.count()
+    if not n:
+        return points.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    draw = F.pmod(F.xxhash64("vec_id", F.lit("cells")), F.lit(1 << 30)) / float(1 << 30)
+    sample = points.where(draw <= min(1.0, sample_rows / n)).select(array_to_vector("v").alias("features"))
+    model = KMeans(k=min(cells, n), seed=seed, maxIter=10).fit(sample)
+    held = vectors.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))
+
+    def nearest(take: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres = held.value
+            for batch in batches:
+                if batch.num_rows:
+                    m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                    far = (centres**2).sum(axis=1)[None, :] - 2 * m @ centres.T
+                    near = np.argsort(far, axis=1, kind="stable")[:, :take].astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel()))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "cells"])
+
+        return run
+
+    indexed = points.mapInArrow(nearest(1), "vec_id long, v array<double>, cells array<int>").withColumn("cell", F.col("cells")[0])
+    sizes = indexed.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))
+    indexed = indexed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    sought = asked.mapInArrow(nearest(probe), "query_id long, v array<double>, cells array<int>").select("query_id", F.col("v").alias("w"), F.explode("cells").alias("cell"))
+    sought = sought.join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    score = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    hits = sought.join(indexed.select("cell", "part", "vec_id", "v"), ["cell", "part"]).select("query_id", "vec_id", score.alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def collection_info(vectors: DataFrame, by: str) -> DataFrame:
     """VEC7: count and dimension of each collection."""
     return vectors.groupBy(by).agg(F.count("*").alias("points"), F.max(F.size("embedding")).alias("dimension"))
 
 
-def validate_vectors(vectors: DataFrame, most: int = 65536) -> DataFrame:
-    """VEC8: rows whose vector is null, empty or too long."""
+def validate_vectors(vectors: DataFrame, by: str | None = None, most: int = 65536) -> DataFrame:
+    """VEC8: (vec_id, dimension, error) of rows whose vector is null, empty or too long, or not of its collection's usual dimension.
+
+    The usual dimension is the most frequent one of the column ``by``, the smallest of equals; without ``by`` it isn't asked.
+    """
     n = F.coalesce(F.size("embedding"), F.lit(-1))
-    return vectors.where((n < 1) | (n > most)).select("vec_id", n.alias("dimension"))
+    rows = vectors.select("vec_id", n.alias("dimension"), *([F.col(by).alias("_by")] if by else []))
+    bad = F.when(F.col("dimension") < 1, "empty vector").when(F.col("dimension") > most, "too many dimensions")
+    if not by:
+        return rows.withColumn("error", bad).where("error is not null")
+    counts = rows.where("dimension > 0").groupBy("_by", "dimension").agg(F.count("*").alias("n"))
+    usual = counts.groupBy("_by").agg(F.max_by("dimension", F.struct("n", -F.col("dimension"))).alias("_usual"))
+    joined = rows.join(usual, rows["_by"].eqNullSafe(usual["_by"]), "left").select("vec_id", "dimension", "_usual")
+    return joined.select("vec_id", "dimension", F.coalesce(bad, F.when(F.col("dimension") != F.col("_usual"), "other dimension")).alias("error")).where("error is not null")
+
+
+def valid_name(name: Column) -> Column:
+    """VEC8: whether a collection's name has letters, digits, underscores and hyphens only, and not none."""
+    return F.coalesce(name.rlike(r"^[A-Za-z0-9_-]+$"), F.lit(False))

@@ -21,7 +21,7 @@ from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .sources import tables as S
 from .sources.tables import table
 
-from . import document_queries  # noqa: F401, E402, I001 (it registers its own)
+from . import document_queries, search_queries  # noqa: F401, E402, I001 (they register their own)
 
 
 def as_of(df: DataFrame):
@@ -120,7 +120,7 @@ register("vec1_2_metrics", f"SELECT a.vec_id, {_COS} AS cosine, round(list_dot_p
 register("vec3_topk", _TOPK.format(""), topk)
 register("vec4_5_filtered_topk", _TOPK.format("AND (b.label IN (1, 2) OR b.label >= 8)"), lambda s, d: V.vector_topk(table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), table(s, d, "embeddings"), 5, where=V.metadata_filter({"$or": [{"label": [1, 2]}, {"label": {"gte": 8}}]})).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank"))
 register("vec7_collection_info", "SELECT label, count(*) AS points, max(len(embedding)) AS dimension FROM embeddings GROUP BY label", lambda s, d: V.collection_info(table(s, d, "embeddings"), "label"))
-register("vec8_validate", "SELECT vec_id, coalesce(len(embedding), -1) AS dimension FROM embeddings WHERE coalesce(len(embedding), -1) < 1 OR len(embedding) > 65536", lambda s, d: V.validate_vectors(table(s, d, "embeddings")))
+register("vec8_validate", "SELECT vec_id, coalesce(len(embedding), -1) AS dimension FROM embeddings WHERE coalesce(len(embedding), -1) < 1 OR len(embedding) > 65536", lambda s, d: V.validate_vectors(table(s, d, "embeddings")).drop("error"))
 register("vec10_hits_with_payload", f"SELECT h.query_id, h.vec_id, h.rank, d.lang, d.source FROM ({_TOPK.format('')}) h JOIN documents d ON d.doc_id = h.vec_id", lambda s, d: topk(s, d).join(table(s, d, "documents"), F.col("vec_id") == F.col("doc_id")).select("query_id", "vec_id", "rank", "lang", "source"))
 
 # query understanding
@@ -331,6 +331,7 @@ register("ret9_rerank_features", f"WITH {_SCAN50} SELECT query_id, doc_id, {', '
 _SUM = " + ".join(f"coalesce({n}::DOUBLE * {RK.FEATURE_WEIGHTS.get(n, RK.OTHER_WEIGHT)}, 0)" for n in _NAMES)
 _BY = " + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE {RK.FEATURE_WEIGHTS.get(n, RK.OTHER_WEIGHT)} END" for n in _NAMES)
 register("ret10_11_retrieve", f"WITH {_SCAN50} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(({_SUM}) / ({_BY})::DOUBLE, 6) AS score FROM ({_FEATURES}))) WHERE rank <= 10", lambda s, d: RK.rerank(*_candidates(s, d)))
+search_queries.register_retrieval(_FEATURES, _SUM, _BY)
 
 
 def _spread(s: SparkSession, d: str) -> DataFrame:

@@ -85,13 +85,23 @@ def spans(batch: np.ndarray, pieces: Pieces) -> dict[int, np.ndarray]:
 
 def forward(found: dict[int, np.ndarray], probs: np.ndarray, n: int, size: int) -> np.ndarray:
     """alpha[word, place, language]: the sum over all segmentations of the first bytes."""
-    alpha = np.zeros((n, size + 1, probs.shape[1]))
-    alpha[:, 0] = 1
+    alpha = np.zeros((size + 1, n, probs.shape[1]))
+    alpha[0] = 1
+    steps = []
+    for length, rows in found.items():
+        # most places end no piece of most lengths
+        place, word = np.nonzero(rows.T != len(probs) - 1)
+        steps.append((length, np.searchsorted(place, np.arange(size - length + 2)), word, probs[rows[word, place]]))
     for end in range(1, size + 1):
-        for length, rows in found.items():
+        for length, cuts, word, p in steps:
             if length <= end:
-                alpha[:, end] += alpha[:, end - length] * probs[rows[:, end - length]]
-    return alpha
+                a, b = cuts[end - length], cuts[end - length + 1]
+                if b - a == n:
+                    alpha[end] += alpha[end - length] * p[a:b]
+                elif b > a:
+                    own = word[a:b]
+                    alpha[end, own] += alpha[end - length, own] * p[a:b]
+    return alpha.transpose(1, 0, 2)
 
 
 def by_length(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

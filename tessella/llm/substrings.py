@@ -221,7 +221,7 @@ def _match(contexts: DataFrame, min_words: int) -> DataFrame:
     return parted.mapInArrow(run, REMOVED)
 
 
-def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: int = 1_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, uid, start, n): runs of windows that documents with smaller ids hold too.
 
     ``known`` has a row tag named UID, and neither ids nor texts that are null. Anchors that two documents share are found by
@@ -244,7 +244,7 @@ def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: in
     return _match(_contexts(rows(False), id_col, text_col, min_words, gram), min_words).unionByName(settled)
 
 
-def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int = 1_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` without words covered by ``min_words`` consecutive ones that a document with a smaller id holds too.
 
     Words are runs of anything but ASCII white space, unchanged; windows are judged on the input. Adds n_words,

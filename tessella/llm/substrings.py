@@ -221,13 +221,13 @@ def _match(contexts: DataFrame, min_words: int) -> DataFrame:
     return parted.mapInArrow(run, REMOVED)
 
 
-def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, broadcast_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, uid, start, n): runs of windows that documents with smaller ids hold too.
 
     ``known`` has a row tag named UID, and neither ids nor texts that are null. Anchors that two documents share are found by
     count, combined before the shuffle. An anchor of more than ``hot_stretches`` stretches would make a large shard: its
     windows are taken one by one and settled by their smallest document, an exact way of the same outcome that
-    has no large group. Whole rows go into the join with their marks, as they do in ``remove_repeats``: Spark shuffles them once for all.
+    has no large group (repeated ones are broadcast up to ``broadcast_windows``, and joined beyond). Whole rows go into the join with their marks, as they do in ``remove_repeats``: Spark shuffles them once for all.
     """
     gram = max(1, min_words // 3)
     marks = _fingerprints(known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_words, gram)
@@ -239,12 +239,16 @@ def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: in
         return known.join(own, F.col(id_col) == F.col(OF))
 
     windows = _exact(rows(True), id_col, text_col, min_words, gram)
-    first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    # a window that very many documents share would be one hot key of a join; repeated windows of hot anchors are few, so they go to the others
+    first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").drop("last")
+    first = materialize(first)
+    if first.count() <= broadcast_windows:
+        first = F.broadcast(first)
     settled = windows.join(first, ["k1", "k2"]).where("doc_id > first").select("doc_id", "uid", "start", F.lit(1).alias("n"))
     return _match(_contexts(rows(False), id_col, text_col, min_words, gram), min_words).unionByName(settled)
 
 
-def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, broadcast_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` without words covered by ``min_words`` consecutive ones that a document with a smaller id holds too.
 
     Words are runs of anything but ASCII white space, unchanged; windows are judged on the input. Adds n_words,
@@ -257,7 +261,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int =
     fields = docs.schema
     rows = docs.withColumn(UID, F.hash(id_col, text_col))
     fine = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    gone = repeated_windows(rows.where(fine), min_words=min_words, hot_stretches=hot_stretches, id_col=id_col, text_col=text_col)
+    gone = repeated_windows(rows.where(fine), min_words=min_words, hot_stretches=hot_stretches, broadcast_windows=broadcast_windows, id_col=id_col, text_col=text_col)
     lists = [F.collect_list(c).alias(f"__{c}s") for c in ("uid", "start", "n")]
     gone = gone.groupBy(F.col("doc_id").alias(OF)).agg(*lists)
     joined = rows.where(fine).join(gone, F.col(id_col) == F.col(OF), "left").drop(OF)

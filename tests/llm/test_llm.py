@@ -55,7 +55,7 @@ def odd_docs(spark):
 def test_substring_dedup_against_brute_force(spark, odd_docs):
     rows = odd_docs.collect()
     assert substrings.remove_repeats(odd_docs.limit(0)).count() == 0
-    for hot in (1_000, 2):
+    for hot, few in ((1_000, 9), (2, 1_000_000), (2, 0)):
         first = {}
         for r in rows:
             w = split(r.text)
@@ -68,7 +68,7 @@ def test_substring_dedup_against_brute_force(spark, odd_docs):
             gone = {i + j for i in range(len(w) - 12) for j in range(13) if r.doc_id is not None and first[tuple(w[i : i + 13])] < r.doc_id}
             kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
             want.append((str(r.doc_id), len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-        got = substrings.remove_repeats(odd_docs, hot_stretches=hot).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        got = substrings.remove_repeats(odd_docs, hot_stretches=hot, broadcast_windows=few).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
         assert sorted(want) == sorted((str(r[0]), *r[1:]) for r in got)
 
 

@@ -1,9 +1,10 @@
 """Substring dedup: suffix automata of reference shards give matching statistics; long enough matches are removed.
 
-The reference of a document is every document with a smaller id, so the reference grows with the
-corpus and no broadcast of it is bounded. It is therefore cut into shards by content, and each
-shard's automaton is built where the shard is: every run of ``min_words`` words has an anchor, the least hash of its
-inner n-grams, which is the same wherever the run stands, so a run meets the one shard that can hold it.
+Every run of ``min_words`` words has an anchor, the least hash of its inner n-grams, which is the same wherever the run
+stands, so a run meets the one shard of the reference that can hold it. Passages that very many documents share
+are few: they make shards of bounded size, whose automata are broadcast, and the documents stream past
+them. The rest of the reference, every document with a smaller id, grows with the corpus, and no broadcast of it is bounded: its
+shards are dealt by anchor, and each one's automaton is built where the shard is.
 """
 
 from __future__ import annotations
@@ -26,21 +27,21 @@ EXACT = "k1 long, k2 long, doc_id long, uid int, start int"
 
 
 class SuffixAutomaton:
-    """Of several word sequences; ``match`` gives the longest suffix at each place that one of them holds."""
+    """Of several word sequences; ``match`` gives the longest suffix at each place that one of them holds, ``holders`` the least of those that hold one of a given length."""
 
     def __init__(self) -> None:
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
+        self.least: dict[int, int] = {}  # by state, the least name of a sequence that ends there
 
-    def add(self, sequence: list[bytes]) -> None:
+    def add(self, sequence: list[bytes], name: int = 0) -> None:
         nxt, link, length = self.next, self.link, self.length
         last = 0
         for word in sequence:
             known = nxt[last].get(word)
             if known is not None and length[known] == length[last] + 1:
                 last = known
-                continue
-            if known is None:
+            elif known is None:
                 new = len(nxt)
                 nxt.append({})
                 link.append(0)
@@ -55,6 +56,15 @@ class SuffixAutomaton:
                 last = new
             else:
                 last = self._clone(last, known, word)
+            self.least[last] = min(name, self.least.get(last, name))
+
+    def settle(self) -> SuffixAutomaton:
+        """Names go from longer matches to the shorter ones that end where they do; call it when all sequences are in."""
+        for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
+            up, name = self.link[state], self.least.get(state)
+            if up > 0 and name is not None:
+                self.least[up] = min(name, self.least.get(up, name))
+        return self
 
     def _clone(self, p: int, q: int, word: bytes) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -81,6 +91,23 @@ class SuffixAutomaton:
             out.append(size)
         return out
 
+    def holders(self, sequence: list[bytes], size: int) -> list[int | None]:
+        """At each place the least name of a sequence that holds the ``size`` words up to it."""
+        nxt, link, length = self.next, self.link, self.length
+        state, n, out = 0, 0, []
+        for word in sequence:
+            while state and word not in nxt[state]:
+                state = link[state]
+                n = length[state]
+            if word in nxt[state]:
+                state = nxt[state][word]
+                n += 1
+            at = state if n >= size else None
+            while at is not None and length[link[at]] >= size:
+                at = link[at]
+            out.append(None if at is None else self.least[at])
+        return out
+
 
 def anchors(part: W.Slice, min_words: int, gram: int) -> tuple[W.Words, np.ndarray, np.ndarray]:
     """The words, the anchor of each window of ``min_words`` words, and whether the window lies in one row."""
@@ -134,31 +161,83 @@ def _marked(part: W.Slice, marks: list[np.ndarray], min_words: int, gram: int) -
     return w, v, hit & ok
 
 
+def _stretches(batch: pa.RecordBatch, id_col: str, text_col: str, min_words: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(anchor, doc_id, uid, start word, words) of each stretch of windows with one marked anchor."""
+    ids, uids, marks = batch.column(id_col).to_numpy(), batch.column(UID).to_numpy(), batch.column(MARKS)
+    for part in W.slices(batch.column(text_col)):
+        own = [marks[i].values.to_numpy() for i in range(part.lo, part.hi)]
+        w, v, hit = _marked(part, own, min_words, gram)
+        new, doc = hit.copy(), w.doc[: len(v)]
+        new[1:] &= ~hit[:-1] | (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
+        begin = np.flatnonzero(new)
+        if not len(begin):
+            continue
+        stop = hit.copy()
+        stop[:-1] &= ~hit[1:] | new[1:]
+        end = np.flatnonzero(stop)
+        lo, hi, row = w.start[begin], w.end[end + min_words - 1], doc[begin]
+        raw = part.data.tobytes()
+        text = [b" ".join(raw[a:b].split()) for a, b in zip(lo.tolist(), hi.tolist())]
+        yield v[begin], ids[part.lo + row], uids[part.lo + row], (begin - w.first[row]).astype(np.int32), text
+
+
 def _contexts(rows: DataFrame, id_col: str, text_col: str, min_words: int, gram: int) -> DataFrame:
-    """Each stretch of windows with one shared anchor: key (the anchor), doc_id, uid, start word and its words."""
+    """Each stretch as a row: key (the anchor), doc_id, uid, start word and its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, uids, marks = batch.column(id_col).to_numpy(), batch.column(UID).to_numpy(), batch.column(MARKS)
-            for part in W.slices(batch.column(text_col)):
-                own = [marks[i].values.to_numpy() for i in range(part.lo, part.hi)]
-                w, v, hit = _marked(part, own, min_words, gram)
-                new, doc = hit.copy(), w.doc[: len(v)]
-                new[1:] &= ~hit[:-1] | (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
-                begin = np.flatnonzero(new)
-                if not len(begin):
-                    continue
-                stop = hit.copy()
-                stop[:-1] &= ~hit[1:] | new[1:]
-                end = np.flatnonzero(stop)
-                lo, hi, row = w.start[begin], w.end[end + min_words - 1], doc[begin]
-                raw = part.data.tobytes()
-                text = [b" ".join(raw[a:b].split()) for a, b in zip(lo.tolist(), hi.tolist())]
-                yield _batch(CONTEXTS, [W.longs(v[begin]), ids[part.lo + row], uids[part.lo + row], (begin - w.first[row]).astype(np.int32), text])
+            for v, doc, uid, start, text in _stretches(batch, id_col, text_col, min_words, gram):
+                yield _batch(CONTEXTS, [W.longs(v), doc, uid, start, text])
 
     return rows.mapInArrow(run, CONTEXTS)
 
 
+def _runs(places: list[int]) -> list[tuple[int, int]]:
+    """(first, number) of the runs of consecutive places."""
+    out: list[tuple[int, int]] = []
+    for place in places:
+        if out and out[-1][0] + out[-1][1] == place:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((place, 1))
+    return out
+
+
+def _stream(rows: DataFrame, automaton: SuffixAutomaton, id_col: str, text_col: str, min_words: int, gram: int) -> DataFrame:
+    """Windows that the broadcast automaton of a reference shard holds from a smaller document; the rows stream past it as they lie."""
+    held = rows.sparkSession.sparkContext.broadcast(automaton)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for _, docs, uids, starts, texts in _stretches(batch, id_col, text_col, min_words, gram):
+                for doc, uid, start, text in zip(docs.tolist(), uids.tolist(), starts.tolist(), texts):
+                    found = held.value.holders(text.split(b" "), min_words)
+                    for place, n in _runs([end + 1 - min_words for end, name in enumerate(found) if name is not None and name < doc]):
+                        for column, value in zip(out, (doc, uid, start + place, n)):
+                            column.append(value)
+            yield _batch(REMOVED, list(out))
+
+    return rows.mapInArrow(run, REMOVED)
+
+
+def _reference(known: DataFrame, windows: DataFrame, first: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(doc_id, text): the runs of the repeated windows in ``first`` where the document that has each first has them."""
+    at = windows.join(first, ["k1", "k2"]).where("doc_id = first").groupBy(F.col("doc_id").alias(OF)).agg(F.collect_list("uid").alias("__uids"), F.collect_list("start").alias(MARKS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for doc, uid, text, uids, starts in zip(*(batch.column(c).to_pylist() for c in (id_col, UID, text_col, "__uids", MARKS))):
+                words = text.encode().split()
+                for place, n in _runs(sorted({s for u, s in zip(uids, starts) if u == uid})):
+                    ids.append(doc)
+                    texts.append(b" ".join(words[place : place + n + min_words - 1]))
+            yield _batch("doc_id long, text binary", [ids, texts])
+
+    return known.join(F.broadcast(at), F.col(id_col) == F.col(OF)).mapInArrow(run, "doc_id long, text binary")
+
+
 def _exact(rows: DataFrame, id_col: str, text_col: str, min_words: int, gram: int) -> DataFrame:
     """Windows themselves, by a 128-bit hash, for anchors that very many documents share."""
 
@@ -221,13 +300,14 @@ def _match(contexts: DataFrame, min_words: int) -> DataFrame:
     return parted.mapInArrow(run, REMOVED)
 
 
-def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, broadcast_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, broadcast_windows: int = 500_000, shard_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, uid, start, n): runs of windows that documents with smaller ids hold too.
 
     ``known`` has a row tag named UID, and neither ids nor texts that are null. Anchors that two documents share are found by
     count, combined before the shuffle. An anchor of more than ``hot_stretches`` stretches would make a large shard: its
-    windows are taken one by one and settled by their smallest document, an exact way of the same outcome that
-    has no large group (repeated ones are broadcast up to ``broadcast_windows``, and joined beyond). Whole rows go into the join with their marks, as they do in ``remove_repeats``: Spark shuffles them once for all.
+    windows are taken one by one and counted with their smallest document, an exact way of the same outcome that
+    has no large group. Their repeated windows, up to ``broadcast_windows`` of them, are the reference whose shards of
+    ``shard_words`` words are broadcast as automata, one after the other; beyond that they are joined by hash. Whole rows go into the join with their marks, as they do in ``remove_repeats``: Spark shuffles them once for all.
     """
     gram = max(1, min_words // 3)
     marks = _fingerprints(known.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_words, gram)
@@ -238,17 +318,34 @@ def repeated_windows(known: DataFrame, *, min_words: int = 13, hot_stretches: in
         own = pairs.where(F.col("hot") == hot).groupBy(F.col("doc_id").alias(OF)).agg(F.collect_list("v").alias(MARKS))
         return known.join(own, F.col(id_col) == F.col(OF))
 
+    found = _match(_contexts(rows(False), id_col, text_col, min_words, gram), min_words)
+    if pairs.where("hot").isEmpty():
+        return found
     windows = _exact(rows(True), id_col, text_col, min_words, gram)
-    # a window that very many documents share would be one hot key of a join; repeated windows of hot anchors are few, so they go to the others
     first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").drop("last")
     first = materialize(first)
-    if first.count() <= broadcast_windows:
-        first = F.broadcast(first)
-    settled = windows.join(first, ["k1", "k2"]).where("doc_id > first").select("doc_id", "uid", "start", F.lit(1).alias("n"))
-    return _match(_contexts(rows(False), id_col, text_col, min_words, gram), min_words).unionByName(settled)
-
-
-def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, broadcast_windows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    if first.count() > broadcast_windows:
+        settled = windows.join(first, ["k1", "k2"]).where("doc_id > first").select("doc_id", "uid", "start", F.lit(1).alias("n"))
+        return found.unionByName(settled)
+    texts = materialize(_reference(known, windows, F.broadcast(first), id_col, text_col, min_words)).toLocalIterator()
+    while shard := _shard(texts, shard_words):
+        found = found.unionByName(_stream(rows(True), shard, id_col, text_col, min_words, gram))
+    return found
+
+
+def _shard(texts: Iterator, most: int) -> SuffixAutomaton | None:
+    """The automaton of the next texts, of about ``most`` words together; none when there are no more."""
+    automaton, words = SuffixAutomaton(), 0
+    for doc, text in texts:
+        sequence = bytes(text).split(b" ")
+        automaton.add(sequence, doc)
+        words += len(sequence)
+        if words >= most:
+            break
+    return automaton.settle() if words else None
+
+
+def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int = 5_000, broadcast_windows: int = 500_000, shard_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` without words covered by ``min_words`` consecutive ones that a document with a smaller id holds too.
 
     Words are runs of anything but ASCII white space, unchanged; windows are judged on the input. Adds n_words,
@@ -261,7 +358,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, hot_stretches: int =
     fields = docs.schema
     rows = docs.withColumn(UID, F.hash(id_col, text_col))
     fine = F.col(id_col).isNotNull() & F.col(text_col).isNotNull()
-    gone = repeated_windows(rows.where(fine), min_words=min_words, hot_stretches=hot_stretches, broadcast_windows=broadcast_windows, id_col=id_col, text_col=text_col)
+    gone = repeated_windows(rows.where(fine), min_words=min_words, hot_stretches=hot_stretches, broadcast_windows=broadcast_windows, shard_words=shard_words, id_col=id_col, text_col=text_col)
     lists = [F.collect_list(c).alias(f"__{c}s") for c in ("uid", "start", "n")]
     gone = gone.groupBy(F.col("doc_id").alias(OF)).agg(*lists)
     joined = rows.where(fine).join(gone, F.col(id_col) == F.col(OF), "left").drop(OF)

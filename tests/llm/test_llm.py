@@ -55,7 +55,7 @@ def odd_docs(spark):
 def test_substring_dedup_against_brute_force(spark, odd_docs):
     rows = odd_docs.collect()
     assert substrings.remove_repeats(odd_docs.limit(0)).count() == 0
-    for hot, few in ((1_000, 9), (2, 1_000_000), (2, 0)):
+    for hot, few, words in ((1_000, 9, 9), (2, 1_000_000, 100_000), (2, 1_000_000, 20), (2, 0, 9)):
         first = {}
         for r in rows:
             w = split(r.text)
@@ -68,10 +68,24 @@ def test_substring_dedup_against_brute_force(spark, odd_docs):
             gone = {i + j for i in range(len(w) - 12) for j in range(13) if r.doc_id is not None and first[tuple(w[i : i + 13])] < r.doc_id}
             kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
             want.append((str(r.doc_id), len(w), len(gone), hashlib.sha256(kept).hexdigest()))
-        got = substrings.remove_repeats(odd_docs, hot_stretches=hot, broadcast_windows=few).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        got = substrings.remove_repeats(odd_docs, hot_stretches=hot, broadcast_windows=few, shard_words=words).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
         assert sorted(want) == sorted((str(r[0]), *r[1:]) for r in got)
 
 
+def test_automaton_tells_the_least_holder():
+    rnd = random.Random(7)
+    texts = [[rnd.choice([b"a", b"b", b"c"]) for _ in range(rnd.randrange(1, 25))] for _ in range(40)]
+    automaton = substrings.SuffixAutomaton()
+    for name, text in sorted(enumerate(texts[:30]), key=lambda x: -x[0]):
+        automaton.add(text, name)
+    automaton.settle()
+    for size in (1, 3, 5):
+        for text in texts:
+            own = [text[max(0, e + 1 - size) : e + 1] for e in range(len(text))]
+            want = [min((n for n, t in enumerate(texts[:30]) for i in range(len(t) - size + 1) if t[i : i + size] == w), default=None) if len(w) == size else None for w in own]
+            assert automaton.holders(text, size) == want
+
+
 def test_jaccard_components_against_brute_force(spark, odd_docs):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = odd_docs.collect()

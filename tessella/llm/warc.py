@@ -75,7 +75,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:length]
 
 
-def write_warc(pages: DataFrame, *, min_revisit_bytes: int = 0, archive_bytes: int = 4 << 20, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_warc(pages: DataFrame, *, min_revisit_bytes: int = 0, archive_bytes: int = 4 << 20, level: int = 6, broadcast_digests: int = 1_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(archive, content) rows, each content a .warc.gz of about ``archive_bytes``, written to the shared folder.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` bytes the one with the smallest id is
@@ -83,12 +83,16 @@ def write_warc(pages: DataFrame, *, min_revisit_bytes: int = 0, archive_bytes: i
     a null url leaves the header out; a row with a null id is always a response and is never referred to;
     rows that repeat the smallest id are responses too. An empty table gives no archive.
 
-    Equal payloads are found by digest over (digest, id) rows, combined before they are shuffled; only
-    digests that occur twice are joined back, and Spark may split the hot ones.
+    Equal payloads are found by digest over (digest, id) rows, combined before they are shuffled. Digests that occur twice are
+    broadcast, up to ``broadcast_digests`` of them, so that no page moves and a payload that very many pages share is no hot key;
+    beyond that they are joined, and Spark may split the hot ones.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.when((F.octet_length("html") >= min_revisit_bytes) & F.col("page_id").isNotNull(), F.sha1("html")))
     first = rows.where("sha is not null").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(first)
+    if first.count() <= broadcast_digests:
+        first = F.broadcast(first)
     rows = rows.join(first, "sha", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,5 +165,5 @@ def read_warc(archives: DataFrame, *, payload: bool = False, strict: bool = True
 
 
 def warc_files(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, content) of .warc.gz files in any store that Spark reads."""
+    """(archive, content) of .warc.gz files in any store that Spark reads; a file is one value, of 2 GB at most."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")

@@ -277,6 +277,8 @@ def test_warc_of_small_payloads_repeats_and_empty_tables(spark):
     rows = [(1, "a", "xy"), (2, "b", "xy"), (2, "b", "xy"), (1, "a", "xy"), (3, None, ""), (4, "c", None), (None, "d", "xy")]
     frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, sha string")
     kinds = lambda least: sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_warc(warc.write_warc(frame, min_revisit_bytes=least)).collect())
+    joined = warc.read_warc(warc.write_warc(frame, broadcast_digests=0))
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in joined.collect()) == kinds(0)
     assert kinds(0) == [("1", "response", None)] * 2 + [("2", "revisit", 1)] * 2 + [("3", "response", None), ("4", "revisit", 3), ("None", "response", None)]
     assert kinds(1)[4:6] == [("3", "response", None), ("4", "response", None)] and {k[1] for k in kinds(3)} == {"response"}
     assert warc.read_warc(warc.write_warc(frame.limit(0))).count() == 0

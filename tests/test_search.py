@@ -158,6 +158,24 @@ def test_rate_limits_look_over_midnight(spark):
     assert [(r.last_minute, r.last_hour, r.last_day, r.blocked) for r in rows] == [(0, 0, 0, False), (0, 0, 1, False), (0, 0, 1, False), (1, 1, 2, False), (2, 2, 3, True)]
 
 
+def test_cache_hits_against_a_plain_loop(spark):
+    rnd = random.Random(8)
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(rnd.choice(["a", "b", "c"]), at + datetime.timedelta(seconds=rnd.randrange(5000))) for _ in range(600)]
+    hits, last = 0, {}
+    for key, t in sorted(rows):
+        if key in last and t - last[key] <= datetime.timedelta(seconds=60):
+            hits += 1
+        else:
+            last[key] = t
+    frame = spark.createDataFrame(rows, "k string, ts timestamp")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = usage.cache_hit_report(frame, "k", 60).first()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (got.requests, got.hits) == (600, hits)
+    assert usage.cache_hit_report(frame.limit(0), "k", 60).first().requests == 0
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
     class Context:
         master = "spark://host"

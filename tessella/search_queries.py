@@ -58,9 +58,9 @@ register(
 register("ret7_hybrid_search", f"WITH {_searches(10)} SELECT query_id, doc_id, score, rank FROM both_", lambda s, d: SE.hybrid_search(_vector_queries(s, d), table(s, d, "embeddings"), _docs(s, d), 10))
 register(
     "ret7_hybrid_weighted",
-    f"""WITH {_searches(10)}, w AS (SELECT coalesce(n.query_id, w.query_id) AS query_id, coalesce(n.doc_id, w.doc_id) AS doc_id, round(0.7 * coalesce(n.s, 0) + 0.3 * coalesce(w.score, 0), 6) AS score FROM near n FULL JOIN words w ON n.query_id = w.query_id AND n.doc_id = w.doc_id)
+    f"""WITH {_searches(10)}, w AS (SELECT coalesce(n.query_id, w.query_id) AS query_id, coalesce(n.doc_id, w.doc_id) AS doc_id, round(0.7 * coalesce(n.s, 0) + 0.3 * coalesce(w.score, 0), 8) AS score FROM near n FULL JOIN words w ON n.query_id = w.query_id AND n.doc_id = w.doc_id)
     SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM w) WHERE k <= 10""",
-    lambda s, d: SE.hybrid_search(_vector_queries(s, d), table(s, d, "embeddings"), _docs(s, d), 10, method="weighted").select("query_id", "doc_id", F.round("score", 6).alias("score")),
+    lambda s, d: SE.hybrid_search(_vector_queries(s, d), table(s, d, "embeddings"), _docs(s, d), 10, method="weighted").select("query_id", "doc_id", "score"),
 )
 _ADAPTIVE = """SELECT query_id, doc_id, score, rank, 'hybrid' AS strategy FROM both_ SEMI JOIN (SELECT query_id FROM asked WHERE type = 'code' OR complexity <> 'simple') USING (query_id)
     UNION ALL SELECT query_id, doc_id, s, rank, 'vector' FROM near SEMI JOIN (SELECT query_id FROM asked WHERE type <> 'code' AND complexity = 'simple') USING (query_id)"""

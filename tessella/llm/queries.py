@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, langid, mix, neighbours, setjoin, substrings, toxicity, warc
+from . import chat, decontaminate, digests, html, langid, mix, neighbours, setjoin, substrings, toxicity, warc
+from .common import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +74,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.exact_groups(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_mixing, op5_embedding_dedup, op6_toxicity, op7_chat_formatting, op8_substring_dedup, op9_ngram_jaccard, op10_language_id)
+    for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_mixing, op5_embedding_dedup, op6_toxicity, op7_chat_formatting, op8_substring_dedup, op9_ngram_jaccard, op10_language_id, op13_exact_dedup)
 }
 
 _BITS = " + ".join(f"{16 >> b} * CAST(substr(bits, CAST(5 * i + {b + 1} AS INT), 1) = '1' AS INT)" for b in range(5))
@@ -132,4 +138,8 @@ ORACLES: dict[str, str] = {
         c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
         SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(c.c, w.doc_id)) AS component_id
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id""",
+    "op13_exact_dedup": """
+        WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS s FROM documents),
+        g AS (SELECT s, max(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY s)
+        SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM t JOIN g USING (s)""",
 }

@@ -42,12 +42,13 @@ class DigestIndex(NamedTuple):
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def open_index(spark: SparkSession, path: str, buckets: int = 64) -> DigestIndex:
+def open_index(spark: SparkSession, path: str, buckets: int | None = None) -> DigestIndex:
     """The index kept below ``path``, which all machines share; a new one of ``buckets`` buckets where there is none.
 
-    The number of buckets is kept beside the tables, so an index opened in a later session has the one that it was made with. At 100 TB
-    it should be some thousands: a bucket is what one task reads.
+    The number of buckets is that of the session's shuffle partitions unless given: a bucket is what one task reads, and what a task of the
+    session's shuffles writes. It is kept beside the tables, so an index opened in a later session has the one that it was made with.
     """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = path.rstrip("/")
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(f"{path}/made")
@@ -97,7 +98,7 @@ def resolve(index: DigestIndex, rows: DataFrame) -> DataFrame:
     return both.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def exact_groups(docs: DataFrame, path: str, *, batches: int = 2, buckets: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, path: str, *, batches: int = 2, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exact dedup of a whole table by the index below ``path``, fed by ranges of ids, the largest first: of equal texts the row with the largest id stays.
 
     What an earlier batch (or an earlier run on the same path) has put into the index stays there: later rows of the same text

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, digests, html, langid, mix, neighbours, setjoin, substrings, toxicity, warc
+from . import alignment, chat, decontaminate, digests, html, langid, mix, neighbours, ranking, setjoin, substrings, toxicity, warc
 from .common import shared_dir
 
 
@@ -74,13 +74,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(ranking.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align_tokens(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return alignment.score_links(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.exact_groups(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_mixing, op5_embedding_dedup, op6_toxicity, op7_chat_formatting, op8_substring_dedup, op9_ngram_jaccard, op10_language_id, op13_exact_dedup)
+    for f in (op1_warc, op2_decontamination, op3_html_extraction, op4_mixing, op5_embedding_dedup, op6_toxicity, op7_chat_formatting, op8_substring_dedup, op9_ngram_jaccard, op10_language_id, op11_ranked_search, op12_tokenizer_alignment, op13_exact_dedup)
 }
 
 _BITS = " + ".join(f"{16 >> b} * CAST(substr(bits, CAST(5 * i + {b + 1} AS INT), 1) = '1' AS INT)" for b in range(5))
@@ -138,6 +148,14 @@ ORACLES: dict[str, str] = {
         c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
         SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(c.c, w.doc_id)) AS component_id
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id""",
+    "op11_ranked_search": r"""
+        WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents WHERE text IS NOT NULL),
+        q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY 1, 2),
+        n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM w SEMI JOIN q USING (term) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        i AS (SELECT tf.doc_id, tf.term, CAST(floor(1000 * ln((2 * a.docs + 2) / (2 * df.df + 1))) AS BIGINT) * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * n.n * a.docs) // a.terms))) AS v FROM tf JOIN df USING (term) JOIN n USING (doc_id), a),
+        s AS (SELECT item_id, doc_id, CAST(sum(times * v) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY 1, 2)
+        SELECT * FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0) WHERE rank <= 10""",
     "op13_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS s FROM documents),
         g AS (SELECT s, max(doc_id) AS keep_id, count(*) AS n FROM t GROUP BY s)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import settled
 from .chunks import chunk_by_lines
+from .embedding import embed, fit_embedder
 from .retrieval import keyword_score, rrf_fuse, simple_fuse, weighted_fuse
 from .vectors import Match, metadata_filter, vector_topk
 
@@ -102,15 +103,43 @@ def public_collections(collections: DataFrame, search: str | None = None, fields
     return public
 
 
-def build_index(docs: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None, block: int = 50) -> DataFrame:
+def build_index(docs: DataFrame, vectors: Callable[[DataFrame], DataFrame] | None = None, block: int = 50) -> DataFrame:
     """SRC7: from documents (doc_id, collection, path, text) to points: id {doc}_chunk_{i}, the chunk's place and content, and the document's metadata.
 
-    ``embed`` adds a vector column to a frame of points, by whatever model; without it points have none. No shuffle: write them
+    ``vectors`` adds a vector column to a frame of points, by whatever model (``embed_with`` of a registered one); without it points have none. No shuffle: write them
     with ``partitionBy("collection")``.
     """
     chunks = chunk_by_lines(docs.select("doc_id", "collection", "path", "text"), block)
     points = chunks.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_no").cast("string")).alias("id"), "collection", "doc_id", F.col("path").alias("source_file"), F.col("chunk_no").alias("chunk_index"), "start_line", "end_line", "content")
-    return points if embed is None else embed(points)
+    return points if vectors is None else vectors(points)
+
+
+#: Places of a point's key that hold the chunk's number, which is below 2 to this power.
+CHUNK_BITS = 20
+
+
+def index_texts(docs: DataFrame, block: int = 50, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+    """SRC7 with VEC9: (points with embedding, model): the vectors of all chunks by a model of the chunks themselves.
+
+    The model is written once. Points meet their vectors by id, so contents are shuffled once.
+    """
+    points = build_index(docs, block=block)
+    model = settled(fit_embedder(points, dim, text_col="content"))
+    return points.join(embed(points, model, "id", "content"), "id"), model
+
+
+def search_points(queries: DataFrame, points: DataFrame, model: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): for each (query_id, text) the ``k`` points nearest to the text's own vector (VEC9, VEC3); ties by document and chunk.
+
+    Texts without a vector have no hits. The search works on whole numbers, made of document and chunk: a document of 2^20
+    chunks is an error.
+    """
+    wide = F.col("chunk_index") >= (1 << CHUNK_BITS)
+    key = F.when(wide, F.raise_error(F.lit("a document has too many chunks")).cast("long")).otherwise(F.shiftleft("doc_id", CHUNK_BITS) + F.col("chunk_index"))
+    asked = embed(queries, model, "query_id").where("embedding is not null")
+    hits = vector_topk(asked, points.where("embedding is not null").select(key.alias("vec_id"), "embedding"), k)
+    name = F.concat(F.shiftright("vec_id", CHUNK_BITS).cast("string"), F.lit("_chunk_"), F.col("vec_id").bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)).cast("string"))
+    return hits.select("query_id", name.alias("id"), "score", "rank")
 
 
 def recent(log: DataFrame, since: Column, by: str = "user_id", n: int = 10) -> DataFrame:

@@ -112,7 +112,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
                             v = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
                             norm = np.linalg.norm(v, axis=1, keepdims=True)
                             score[np.ix_(places, at)] = m @ np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).T
-                    score = np.nan_to_num(score, nan=0.0)
+                    # matrix products may differ in the last bits for equal vectors, which are ties
+                    score = np.round(np.nan_to_num(score, nan=0.0), 12)
                     if match:
                         others = [part.column(2 + i).to_numpy(zero_copy_only=False).astype(object)[None, :] for i in range(len(told))]
                         score = np.where(match.test(own, others).astype(bool), score, -np.inf)

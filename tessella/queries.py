@@ -21,7 +21,7 @@ from .registry import ORACLES, QUERIES, register  # noqa: F401
 from .sources import tables as S
 from .sources.tables import table
 
-from . import document_queries, search_queries  # noqa: F401, E402, I001 (they register their own)
+from . import document_queries, index_queries, search_queries  # noqa: F401, E402, I001 (they register their own)
 
 
 def as_of(df: DataFrame):

@@ -84,6 +84,22 @@ def metric_retention(points: DataFrame, as_of: Column, newest: int = 1000, secon
     return young.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= newest).drop("_n")
 
 
+def newest_points(points: DataFrame, keep: int = 1_000, retention_days: float = 7) -> DataFrame:
+    """ANA5: (metric, n, min, max, avg, latest, first_at, latest_at) of each metric's newest ``keep`` points, of those not older than ``retention_days`` before its newest.
+
+    Only what is young enough goes into the window, which stops at ``keep`` rows of a metric; equal times are taken by value.
+    """
+    fine = points.where("metric is not null and value is not null and ts is not null")
+    rows = fine.select("metric", F.col("value").cast("double").alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    young = rows.join(F.broadcast(rows.groupBy("metric").agg(F.max("at").alias("_newest"))), "metric").where(F.col("at") > F.col("_newest") - int(retention_days * 86_400_000_000))
+    order = Window.partitionBy("metric").orderBy(F.desc("at"), F.desc("value"))
+    held = young.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep)
+    last = F.struct("at", "value")
+    return held.groupBy("metric").agg(
+        F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("avg"), F.max(last)["value"].alias("latest"), F.min("at").alias("first_at"), F.max("at").alias("latest_at"),
+    )
+
+
 def health_summary(log: DataFrame) -> DataFrame:
     """ANA11: success rate and status; a rate below 95 is degraded before unhealthy is ever asked, as in the service it mirrors."""
     rate = 100.0 * F.count_if(F.col("status") == "completed") / F.greatest(F.count("*"), F.lit(1))

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.chunks import chunk_by_lines
-from ..operators.lockout import State, attempt
 from ..sources.tables import decode_content
 
 
@@ -40,24 +35,3 @@ def ingest_files(spark: SparkSession, path: str, sink: str, checkpoint: str, glo
     docs = files.select("path", F.sha2("content", 256).alias("hash"), decode_content(F.col("content")).alias("text"))
     chunks = chunk_by_lines(docs, block)
     return chunks.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
-def lockouts(logins: DataFrame, most: int = 5, minutes: int = 30) -> DataFrame:
-    """STR5: (event_id, user_id, failures, ignored) of (event_id, user_id, ts, ok) logins as they come; the state of each user is two numbers.
-
-    Logins of one batch are taken in the order of their time; late ones of later batches as they come.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = State(*state.get) if state.exists else State()
-        if now.until == -1:
-            now = State(now.failures)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event, at, ok in zip(rows["event_id"], rows["ts"], rows["ok"]):
-            now, ignored = attempt(now, at.value // 1000, bool(ok), most, minutes)
-            out.append((event, key[0], now.failures, ignored))
-        state.update((now.failures, -1 if now.until is None else now.until))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "failures", "ignored"])
-
-    return logins.groupBy("user_id").applyInPandasWithState(run, "event_id long, user_id long, failures int, ignored boolean", "failures int, until long", "append", GroupStateTimeout.NoTimeout)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import lockout, retrieval, search, usage, vectors
 from tessella.sources import tables
-from tessella.streaming import live
+from tessella.streaming import live, state
 
 DATA = "/root/testdata/sf0.001"
 
@@ -100,19 +100,19 @@ def logins(spark, n=400):
 
 def test_lockouts_as_they_come_are_those_of_the_replay(spark, tmp_path):
     rows = logins(spark)
-    state, want = {}, {}
+    known, want = {}, {}
     for r in sorted(rows.collect(), key=lambda r: (r.user_id, r.ts, r.event_id)):
-        failures, until = state.get(r.user_id, (0, None))
+        failures, until = known.get(r.user_id, (0, None))
         ignored = until is not None and until > r.ts
         if not ignored:
             failures = 0 if r.ok else failures + 1
             until = None if r.ok else r.ts + datetime.timedelta(minutes=30) if failures >= 5 else until
-        state[r.user_id] = failures, until
+        known[r.user_id] = failures, until
         want[r.event_id] = failures, ignored
     assert {r.event_id: (r.failures, r.ignored) for r in lockout.lockout_replay(rows).collect()} == want
     assert sum(i for _, i in want.values()) > 5
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = live.lockouts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    stream = state.lockouts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), late="0 seconds").where("kind = 'login'")
     stream.writeStream.format("memory").queryName("lockouts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert {r.event_id: (r.failures, r.ignored) for r in spark.table("lockouts").collect()} == want
 

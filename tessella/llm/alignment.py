@@ -26,8 +26,9 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups
 
 #: Places where a text may be cut: before a blank that follows something other than white space. No token of either kind crosses them.
 CUT = re.compile(r"(?<=\S)(?= )")
-#: Texts in which a blank follows white space, or comes first, are cut by CUT; the others at each blank.
+#: Texts in which a blank follows white space, or comes first, are cut by CUT; the others at each blank. For ASCII the pairs are looked for.
 UNEVEN = re.compile(r"\A |\s ")
+UNEVEN_PAIRS = [f"{chr(c)} " for c in (*range(0x09, 0x0E), *range(0x1C, 0x21))]
 #: A longer stretch goes to the library made for the file; the faster one is quadratic in a stretch.
 LONG = 256
 #: Entries in a worker's memory of stretches and of windows; a full one is emptied.
@@ -38,6 +39,17 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 HEAVY_SHARE = 200_000
 
 
+def recalled(known: dict, keys: list, learn) -> np.ndarray:
+    """What a memory knows of each key; new ones are learnt first, each once."""
+    codes = list(map(known.get, keys))
+    missing = [i for i, c in enumerate(codes) if c is None]
+    if missing:
+        learn(list(dict.fromkeys([keys[i] for i in missing])))
+        for i in missing:
+            codes[i] = known[keys[i]]
+    return np.array(codes, np.int64)
+
+
 class Ragged:
     """Rows of numbers of different lengths, end to end, to which rows are added."""
 
@@ -112,7 +124,7 @@ class Tokenizers:
         """What blank + text is made of, each stretch without the blank that begins it."""
         if not self.cuttable:
             return [text]
-        if UNEVEN.search(text):
+        if text[0] == " " or any(p in text for p in UNEVEN_PAIRS) if text.isascii() else UNEVEN.search(text):
             return [s[1:] for s in CUT.split(" " + text)]
         return text.split(" ")
 
@@ -158,11 +170,7 @@ class Tokenizers:
         cut = [self.stretches(t) if t else [] for t in texts]
         if len(self.known) > REMEMBERED:
             self.forget()
-        known = self.known
-        new = list({s: None for own in cut for s in own if s not in known})
-        if new:
-            self.learn(new)
-        codes = np.array([known[s] for own in cut for s in own], np.int64)
+        codes = recalled(self.known, list(chain.from_iterable(cut)), self.learn)
         doc = np.repeat(np.arange(len(cut)), [len(own) for own in cut])
         bad = np.zeros(len(cut), bool)
         bad[doc[~self.fine.flat[self.fine.at[codes]]]] = True
@@ -172,7 +180,10 @@ class Tokenizers:
 
 
 class Windows:
-    """A memory of window alignments by the ids of both kinds: groups as text, how many, and the linked pairs."""
+    """A memory of window alignments by their ids: groups as text, how many, and the linked pairs.
+
+    A window's key is its ids of a, then those of b (above all of a), as 32-bit numbers.
+    """
 
     def __init__(self, tokenizers: Tokenizers) -> None:
         self.tokenizers = tokenizers
@@ -181,16 +192,18 @@ class Windows:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[bytes, int] = {}
         self.text: list[str] = []
         self.groups, self.pairs = Ragged(np.int64), Ragged(np.int64)
 
-    def learn(self, new: list[tuple[bytes, bytes]]) -> None:
+    def learn(self, new: list[bytes]) -> None:
         """Align windows, all at once: each one's bytes are the same for both, so they are laid end to end."""
-        t = self.tokenizers
-        a, b = (np.frombuffer(b"".join([k[x] for k in new]), np.int64) for x in (0, 1))
-        n_a = np.fromiter((len(k[0]) >> 3 for k in new), np.int64, len(new))
-        tokens = n_a + np.fromiter((len(k[1]) >> 3 for k in new), np.int64, len(new))
+        t, n_ids = self.tokenizers, len(self.tokenizers.a_size)
+        ids = np.frombuffer(b"".join(new), np.int32).astype(np.int64)
+        tokens = np.fromiter(map(len, new), np.int64, len(new)) >> 2
+        of_a = ids < n_ids
+        a, b = ids[of_a], ids[~of_a] - n_ids
+        n_a = np.add.reduceat(of_a.astype(np.int64), np.cumsum(tokens) - tokens)
         a_end, b_end, last = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b]), np.cumsum(n_a)
         at = np.searchsorted(b_end, a_end)
         a_shared = b_end[at] == a_end
@@ -230,13 +243,13 @@ class Windows:
         i, k = i[opens] + 1, k[opens] + 1
         if len(self.known) > REMEMBERED:
             self.forget()
-        raw_a, raw_b, known = a.tobytes(), b.tobytes(), self.known
-        i8, k8 = (i * 8).tolist(), (k * 8).tolist()
-        keys = [(raw_a[p:q], raw_b[r:s]) for p, q, r, s in zip([0, *i8[:-1]], i8, [0, *k8[:-1]], k8)]
-        new = list({key: None for key in keys if key not in known})
-        if new:
-            self.learn(new)
-        codes = np.array([known[key] for key in keys], np.int64)
+        # windows' ids end to end: those of a lie behind those of b of the windows before, and those of b behind those of a
+        ids = np.zeros(len(a) + len(b), np.int32)
+        own_a, own_b = np.diff(i, prepend=0), np.diff(k, prepend=0)
+        ids[np.arange(len(a)) + np.repeat(k - own_b, own_a)] = a
+        ids[np.arange(len(b)) + np.repeat(i, own_b)] = b + len(t.a_size)
+        raw, stop = ids.tobytes(), (4 * (i + k)).tolist()
+        codes = recalled(self.known, [raw[p:q] for p, q in zip([0, *stop[:-1]], stop)], self.learn)
         doc = np.searchsorted(np.cumsum(n_a), i - 1, "right")
         per_doc = np.bincount(doc, minlength=len(n_a))
         texts, own, lo = self.text, codes.tolist(), 0

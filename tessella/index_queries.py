@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators import ann as N
 from .operators import embedding as E
 from .operators import extensions as X
 from .operators import search as SE
 from .operators.vectors import vector_topk
 from .plans import views as W
-from .registry import register
-from .sources.tables import settled, table
+from .registry import QUERIES, register
+from .sources.tables import new_folder, settled, table
 
 
 def as_numbers(vector: str = "embedding"):
@@ -109,3 +110,13 @@ register(
     FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 10, 1), 40)) AS pos FROM (SELECT doc_id, {_PLAIN.format('text')} AS ws FROM documents) WHERE len(ws) > 0)""",
     chunked,
 )
+
+
+# an approximate search has no SQL of its own: a test measures its recall
+def approximate(s, d):
+    vectors = table(s, d, "embeddings")
+    index = N.build_ann_index(vectors, new_folder(s, "ann"))
+    return N.search_ann(index, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5).withColumn("score", F.round("score", 6))
+
+
+QUERIES["vec6_ann_topk"] = approximate

@@ -125,11 +125,13 @@ def rerank_features(query: Column, asked: Column, kind: Column, content: Column,
 def rerank(hits: DataFrame, features: dict[str, Column], candidates: int = 50, k: int = 10) -> DataFrame:
     """RET10: of each query's best ``candidates`` hits the ``k`` best by the weighted mean of the features that are there; ties by id.
 
-    (query_id, doc_id, score, rank) with the columns that the features read.
+    ``hits`` has (query_id, doc_id, score) and the columns that the features read. Features are worked out where hits and documents meet, so
+    what is shuffled and sorted by query is a row of numbers and no text.
     """
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     weight = {n: FEATURE_WEIGHTS.get(n, OTHER_WEIGHT) for n in features}
-    taken = hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= candidates).select("query_id", "doc_id", *[c.alias(f"_{n}") for n, c in features.items()])
+    scored = hits.select("query_id", "doc_id", "score", *[c.alias(f"_{n}") for n, c in features.items()])
+    taken = scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= candidates)
     total = sum((F.coalesce(F.col(f"_{n}") * w, F.lit(0.0)) for n, w in weight.items()), F.lit(0.0))
     there = sum((F.when(F.col(f"_{n}").isNotNull(), w).otherwise(0.0) for n, w in weight.items()), F.lit(0.0))
     out = taken.select("query_id", "doc_id", F.round(total / there, 6).alias("score"))

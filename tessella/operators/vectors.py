@@ -9,8 +9,6 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,48 +136,6 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 64, probe: int = 40, sample_rows: int = 100_000, cell_rows: int = 50_000, seed: int = 7) -> DataFrame:
-    """VEC6: (query_id, vec_id, score, rank): about the ``k`` best by cosine, from the ``probe`` of ``cells`` cells that lie nearest to each query.
-
-    The cells' centres are k-means of about ``sample_rows`` vectors drawn by hash, the bound of the index's training sample; every vector is
-    indexed under its nearest centre and scored exactly. Cells of more than ``cell_rows`` vectors are dealt into parts, each
-    of which meets the cell's queries. All vectors have one length; null and zero ones are in no cell.
-    """
-    norm = lambda: F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = lambda df, key: df.where(F.col("embedding").isNotNull()).withColumn("_norm", norm()).where("_norm > 0").select(key, F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("v"))
-    points, asked = unit(vectors, "vec_id"), unit(queries, "query_id")
-    n = points.count()
-    if not n:
-        return points.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    draw = F.pmod(F.xxhash64("vec_id", F.lit("cells")), F.lit(1 << 30)) / float(1 << 30)
-    sample = points.where(draw <= min(1.0, sample_rows / n)).select(array_to_vector("v").alias("features"))
-    model = KMeans(k=min(cells, n), seed=seed, maxIter=10).fit(sample)
-    held = vectors.sparkSession.sparkContext.broadcast(np.array(model.clusterCenters()))
-
-    def nearest(take: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centres = held.value
-            for batch in batches:
-                if batch.num_rows:
-                    m = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    far = (centres**2).sum(axis=1)[None, :] - 2 * m @ centres.T
-                    near = np.argsort(far, axis=1, kind="stable")[:, :take].astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel()))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "cells"])
-
-        return run
-
-    indexed = points.mapInArrow(nearest(1), "vec_id long, v array<double>, cells array<int>").withColumn("cell", F.col("cells")[0])
-    sizes = indexed.groupBy("cell").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))
-    indexed = indexed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    sought = asked.mapInArrow(nearest(probe), "query_id long, v array<double>, cells array<int>").select("query_id", F.col("v").alias("w"), F.explode("cells").alias("cell"))
-    sought = sought.join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    score = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    hits = sought.join(indexed.select("cell", "part", "vec_id", "v"), ["cell", "part"]).select("query_id", "vec_id", score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def collection_info(vectors: DataFrame, by: str) -> DataFrame:
     """VEC7: count and dimension of each collection."""
     return vectors.groupBy(by).agg(F.count("*").alias("points"), F.max(F.size("embedding")).alias("dimension"))

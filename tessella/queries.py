@@ -10,6 +10,7 @@ from .operators import access as A
 from .operators import chunks as C
 from .operators import code as CO
 from .operators import dedup as D
+from .operators import postings as PO
 from .operators import quality as QL
 from .operators import rank as RK
 from .operators import reports as RP
@@ -147,6 +148,7 @@ _SCAN = r"""q AS (SELECT user_id * 1000 + turn AS query_id, list_distinct(""" +
     h AS (SELECT query_id, doc_id, count(*) / max(n) AS s FROM (SELECT query_id, len(ks) AS n, unnest(ks) AS token FROM q) JOIN t USING (token) GROUP BY 1, 2),
     k AS (SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM h) WHERE rank <= 10)"""
 register("ret1_keyword_score", r"SELECT c.doc_id, c.chunk_no, round(len(list_filter(['the', 'of', 'que', 'zzz'], lambda w: contains(lower(c.content), w))) / 4, 6) AS score FROM chunks c", lambda s, d: W.chunks(s, d).select("doc_id", "chunk_no", F.round(R.keyword_score(F.array(*[F.lit(w) for w in ("the", "of", "que", "zzz")]), F.col("content")), 6).alias("score")))
+register("ret3_posting_search", f"WITH {_SCAN} SELECT * FROM k", lambda s, d: PO.search_postings(_queries(s, d), PO.build_posting_index(table(s, d, "documents"), S.new_folder(s, "postings")), 10))
 register("ret3_keyword_scan", f"WITH {_SCAN} SELECT * FROM k", lambda s, d: R.keyword_scan(_queries(s, d), table(s, d, "documents"), 10))
 
 
@@ -315,8 +317,11 @@ _FEATURES = f"""SELECT query_id, doc_id, score AS semantic_similarity,
 
 def _candidates(s: SparkSession, d: str) -> tuple[DataFrame, dict]:
     asked = W.query_table(s, d).select((F.col("user_id") * 1000 + F.col("turn")).alias("query_id"), "query", P.query_type(F.col("query")).alias("kind"), RK.word_set(F.col("query")).alias("asked"))
-    docs = RK.prepare_contents(W.corpus(s, d).select("doc_id", "text", "path"))
-    found = R.keyword_scan(_queries(s, d), table(s, d, "documents"), 50).drop("rank").join(asked, "query_id").join(docs, "doc_id")
+    hits = R.keyword_scan(_queries(s, d), table(s, d, "documents"), 50).drop("rank")
+    # only documents that some query has found are prepared; the hits are a few numbers a row, written once
+    hits = S.settled(hits)
+    docs = RK.prepare_contents(W.corpus(s, d).select("doc_id", "text", "path").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
+    found = hits.join(asked, "query_id").join(docs, "doc_id")
     return found, RK.rerank_features(F.col("query"), F.col("asked"), F.col("kind"), F.col("text"), F.col("score"), F.col("path"), P.document_type(F.col("path")), F.col("doc_id") % 2 == 0)
 
 

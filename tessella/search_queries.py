@@ -196,9 +196,6 @@ register(
     lambda s, d: SE.circular_dependencies(table(s, d, "lineitem").select(F.col("l_orderkey").alias("group"), (F.col("l_partkey") % 9).alias("src"), (F.col("l_suppkey") % 9).alias("dst"))),
 )
 
-# an approximate search has no SQL of its own: a test measures its recall
-QUERIES["vec6_ann_topk"] = lambda s, d: V.ann_topk(table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), table(s, d, "embeddings"), 5).withColumn("score", F.round("score", 6))
-
 # views with repeats and with bad rows, for operators whose own views have none
 register(
     "ded5_query_dedup_repeats",

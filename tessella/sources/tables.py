@@ -3,26 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in reliable storage: computed once, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all machines share, set as the session's checkpoint folder.
 
-    The folder is the one that the session names in spark.checkpoint.dir; where the setting is absent a local master gets a folder
-    of its own, and a cluster an error.
+    It is the one that the session names in spark.checkpoint.dir; where the setting is absent a local master gets a folder of its own,
+    and a cluster an error.
     """
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if folder or not context.getCheckpointDir():
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in reliable storage: computed once, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """SRC10: a named Parquet table of a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,12 +4,13 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException, PythonException
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from tessella.operators import embedding, extensions, search
+from tessella.operators import ann, embedding, extensions, postings, retrieval, search
 
 DATA = "/root/testdata/sf0.001"
 
@@ -131,3 +132,66 @@ def test_an_embedder_of_the_users_own(spark):
     extensions.register_embedder(spark, "wrong", lambda texts: [[1.0] for _ in texts], 2)
     with pytest.raises(PythonException):
         spark.sql("SELECT wrong(text) FROM to_embed").collect()
+
+
+def rows_read(df):
+    """Rows that the scans of a frame that was checkpointed gave out, by their metrics."""
+    n, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        elif name.startswith("Scan parquet"):
+            n += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_cells_that_cannot_hold_a_neighbour_are_not_read(spark, tmp_path, monkeypatch):
+    rnd = np.random.RandomState(3)
+    means = rnd.randn(400, 24)
+    m = np.repeat(means, 50, axis=0) + 0.12 * rnd.randn(20_000, 24)
+    frame = spark.createDataFrame([(int(i), m[i].tolist()) for i in rnd.permutation(len(m))], "vec_id long, embedding array<double>").repartition(6)
+    asked = frame.where("vec_id % 997 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = ann.build_ann_index(frame, f"file://{tmp_path}/index")
+    assert index.cells.count() == round(20_000**0.5) and index.rows.count() == 20_000
+    # opened again, as another session would
+    index = ann.open_ann_index(spark, f"file://{tmp_path}/index")
+    scanned = []
+    settle = ann.settled
+    monkeypatch.setattr(ann, "settled", lambda df: (scanned.append(df), settle(df))[1])
+    found = {(r.query_id, r.vec_id) for r in ann.search_ann(index, asked, 10).collect()}
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    true = {(q, int(v)) for q in range(0, 20_000, 997) for v in np.argsort(-(unit @ unit[q]), kind="stable")[:10]}
+    assert len(found & true) >= 0.9 * len(true)
+    # a first ranking reads codes, and the scans of one query few of them, as their own metrics tell
+    assert len(scanned) == 2
+    plan = scanned[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan and "struct<vec_id:bigint,code:binary>" in plan
+    scanned.clear()
+    assert len(ann.search_ann(index, asked.where("query_id = 997"), 10).collect()) == 10
+    assert 0 < sum(map(rows_read, scanned)) < 0.1 * 20_000
+
+
+def test_posting_search_gives_the_rows_of_the_scan(spark, tmp_path):
+    rnd = np.random.RandomState(2)
+    words = np.array([f"w{i}" for i in range(120)])
+    share = 1 / np.arange(1, 121)
+    texts = [(int(i) - 700, " ".join(rnd.choice(words, size=rnd.randint(0, 40), p=share / share.sum()))) for i in rnd.permutation(3_000)]
+    docs = spark.createDataFrame([*texts, (5_000, None), (None, "w0 w1"), (6_000, "")], "doc_id long, text string")
+    rows = [(i, rnd.choice(words, size=rnd.randint(0, 7), replace=False, p=share / share.sum()).tolist()) for i in range(60)] + [(60, ["w1", "nowhere"]), (61, ["nowhere"]), (62, ["w1", "nowhere"])]
+    queries = spark.createDataFrame(rows, "query_id long, keywords array<string>")
+    index = postings.build_posting_index(docs, f"file://{tmp_path}/index", width=50)
+    index = postings.open_posting_index(spark, f"file://{tmp_path}/index")
+    want = sorted(tuple(r) for r in retrieval.keyword_scan(queries, docs.where("doc_id is not null"), 5).collect())
+    for how in ({"starters": 1}, {}, {"broadcast_tokens": 0}):
+        counts = {}
+        assert sorted(tuple(r) for r in postings.search_postings(queries, index, 5, counts=counts, **how).collect()) == want
+        assert counts["read"] < counts["pairs"] and counts["brought"] < counts["postings"] / 2
+    assert index.width == 50 and index.blocks.where("n > 50 OR n <> size(docs)").count() == 0
+    assert postings.search_postings(queries.limit(0), index, 5).count() == 0
+    empty = postings.build_posting_index(docs.limit(0), f"file://{tmp_path}/empty")
+    assert postings.search_postings(queries, empty, 5).count() == 0

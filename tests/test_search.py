@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import lockout, retrieval, search, usage, vectors
+from tessella.operators import ann, lockout, retrieval, search, usage, vectors
 from tessella.sources import tables
 from tessella.streaming import live, state
 
@@ -46,11 +46,13 @@ def test_approximate_search_has_the_recall_it_promises(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     asked = frame.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     true = {(r.query_id, r.vec_id) for r in vectors.vector_topk(asked, frame, 5).collect()}
-    found = {(r.query_id, r.vec_id) for r in vectors.ann_topk(asked, frame, 5).collect()}
-    assert len(found & true) >= 0.9 * len(true)
-    parts = {(r.query_id, r.vec_id) for r in vectors.ann_topk(asked, frame, 5, cell_rows=10).collect()}
+    index = ann.build_ann_index(frame, tables.new_folder(spark, "ann"))
+    found = {(r.query_id, r.vec_id) for r in ann.search_ann(index, asked, 5).collect()}
+    assert len(found & true) >= 0.9 * len(true) and len(found) == len(true)
+    parts = {(r.query_id, r.vec_id) for r in ann.search_ann(index, asked, 5, block_bytes=20_000).collect()}
     assert parts == found
-    assert vectors.ann_topk(asked, frame.limit(0), 5).count() == 0
+    empty = ann.build_ann_index(frame.limit(0), tables.new_folder(spark, "ann"))
+    assert ann.search_ann(empty, asked, 5).count() == 0 and ann.search_ann(index, asked.limit(0), 5).count() == 0
 
 
 def test_keyword_scan_is_the_same_with_and_without_broadcast(spark):

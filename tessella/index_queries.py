@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import ann as N
 from .operators import embedding as E
 from .operators import extensions as X
+from .operators import quality as QL
 from .operators import search as SE
 from .operators.vectors import vector_topk
 from .plans import views as W
@@ -120,3 +122,30 @@ def approximate(s, d):
 
 
 QUERIES["vec6_ann_topk"] = approximate
+
+
+# circles among chunks that depend on the next one (by name, and a function and a method may share theirs), and in every third document the last on the first
+def chained_chunks(s, d):
+    by_place = Window.partitionBy("doc_id").orderBy("chunk_no")
+    after, begin = F.lead("name").over(by_place), F.first("name").over(by_place)
+    own = F.when(after.isNotNull(), F.array(after)).when(F.col("doc_id") % 3 == 0, F.array(begin)).otherwise(F.array().cast("array<string>"))
+    return W.pattern_chunks(s, d).withColumn("dependencies", own)
+
+
+def dependency_scores(s, d):
+    chunks = chained_chunks(s, d)
+    circles = SE.circular_dependencies(QL.dependency_edges(chunks)).withColumnRenamed("group", "doc_id")
+    scores = QL.assess(chunks, W.code_view(s, d), cyclic=circles).select("doc_id", "dependency")
+    return scores.join(circles.withColumn("circle", F.lit(True)), "doc_id", "left").fillna(False, ["circle"])
+
+
+register(
+    "qlt5_with_circles",
+    """WITH c AS (SELECT *, lead(name) OVER w AS after, first_value(name) OVER w AS begin FROM pattern_chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_no)),
+    k AS (SELECT doc_id, chunk_no, name, content, CASE WHEN after IS NOT NULL THEN [after] WHEN doc_id % 3 = 0 THEN [begin] ELSE [] END AS deps, coalesce(after = name, doc_id % 3 = 0) AS closes FROM c),
+    m AS (SELECT a.doc_id, least(5, count(*)) AS n FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.chunk_no <> b.chunk_no AND contains(a.content, b.name) AND NOT list_contains(a.deps, b.name) GROUP BY 1),
+    g AS (SELECT doc_id, max(len(deps) > 0) AS deps, max(closes) AS circle FROM k GROUP BY doc_id)
+    SELECT doc_id, coalesce(circle, false) AS circle, round(greatest(0.0, least(1.0, 0.8 + CASE WHEN deps THEN 0.1 ELSE 0 END - CASE WHEN circle THEN 0.3 ELSE 0 END - 0.1 * coalesce(n, 0))), 6)::DOUBLE AS dependency
+    FROM code_view LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    dependency_scores,
+)

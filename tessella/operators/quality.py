@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 #: Lines that suit a purpose, and what the dimensions weigh; an unknown purpose counts as general.
 SIZES = {"code_review": (50, 200), "documentation": (100, 300), "bug_detection": (30, 150), "general": (50, 150)}
@@ -47,13 +52,69 @@ def chunk_scores(chunks: DataFrame) -> DataFrame:
 
 
 def missing_dependencies(chunks: DataFrame, most: int = 5) -> DataFrame:
-    """QLT12: per document the first ``most`` "A -> B" where B's name is in A's content and not among A's dependencies.
+    """QLT12: per document the first ``most`` "A -> B" where B's name is in A's content and not among A's dependencies, by A's place, then B's.
 
-    A document's chunks are bounded by its own text; they are compared inside its row and no pairs are emitted.
+    A document's names come first and make one automaton, past which its chunks then stream in their order: the work is that of
+    the text and of what is found, a task holds one document's names and one chunk, and no pairs are emitted. An empty name is in every
+    content; a null name, content, place or list of dependencies, or a list that holds a null, makes no pair unless it is not needed.
     """
-    held = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "name", "content", "dependencies"))).alias("c"))
-    pairs = F.flatten(F.transform("c", lambda a: F.transform(F.filter("c", lambda b: (a["chunk_no"] != b["chunk_no"]) & F.contains(a["content"], b["name"]) & ~F.array_contains(a["dependencies"], b["name"])), lambda b: F.concat(a["name"], F.lit(" -> "), b["name"]))))
-    return held.select("doc_id", F.slice(pairs, 1, most).alias("missing"))
+    part = "doc_id", "chunk_no", "name"
+    names = chunks.select(*part, F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("array<string>").alias("dependencies"))
+    texts = chunks.select(*part, F.lit(1).alias("_kind"), "content", "dependencies")
+    rows = names.unionByName(texts).repartition("doc_id").sortWithinPartitions("doc_id", "_kind", "chunk_no", "name", "content", "dependencies")
+    kind = chunks.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, held, automaton, found, begun = None, [], None, [], False
+        for batch in batches:
+            ids, out = [], []
+            for who, place, name, sort, content, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if not begun or who != doc:
+                    if begun:
+                        ids.append(doc)
+                        out.append(found)
+                    doc, held, automaton, found, begun = who, [], None, [], True
+                if sort == 0:
+                    if name is not None and place is not None:
+                        held.append((place, name))
+                    continue
+                if len(found) >= most or content is None or own is None or place is None or name is None:
+                    continue
+                automaton = automaton or _automaton([n for _, n in held])
+                inside = set(automaton.find(content))
+                for at, other in held if inside else ():
+                    if len(found) < most and at != place and other in inside and other not in own and None not in own:
+                        found.append(f"{name} -> {other}")
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "missing"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([doc], batch.schema.field(0).type), pa.array([found], pa.list_(pa.string()))], names=["doc_id", "missing"])
+
+    return rows.select("doc_id", "chunk_no", "name", "_kind", "content", "dependencies").mapInArrow(run, StructType().add("doc_id", kind).add("missing", ArrayType(StringType())))
+
+
+class _automaton:
+    """Which of some names a text holds, whatever lies over each other."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.empty = "" in names
+        self.held = ahocorasick.Automaton()
+        for name in names:
+            if name:
+                self.held.add_word(name, name)
+        self.held.make_automaton()
+
+    def find(self, text: str) -> Iterator[str]:
+        if self.empty:
+            yield ""
+        if len(self.held):
+            for _, name in self.held.iter(text):
+                yield name
+
+
+def dependency_edges(chunks: DataFrame) -> DataFrame:
+    """(group, src, dst): of each document (group) which chunk depends on which, by name; names that no chunk of the document has are left out."""
+    each = chunks.select(F.col("doc_id").alias("group"), F.col("name").alias("src"), F.explode("dependencies").alias("dst"))
+    return each.join(chunks.select(F.col("doc_id").alias("group"), F.col("name").alias("dst")).distinct(), ["group", "dst"], "left_semi").select("group", "src", "dst")
 
 
 def assess(chunks: DataFrame, docs: DataFrame, purpose: str = "general", seconds: Column | None = None, cyclic: DataFrame | None = None, text_col: str = "text") -> DataFrame:

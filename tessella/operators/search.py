@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,19 +197,51 @@ def settings_history(changes: DataFrame, settings: DataFrame, users: DataFrame,
     return known.orderBy(F.desc("changed_at"), F.desc("change_id")).limit(n).select("change_id", "key", "user_name", "changed_at")
 
 
-def circular_dependencies(edges: DataFrame) -> DataFrame:
+def circular_dependencies(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """QLT13: (group): the groups whose (group, src, dst) edges hold a directed circle, a chunk that depends on itself included.
 
-    Edges whose source nothing leads to are taken away until none is: what is left leads out of circles. Each round's edges are
-    checkpointed, which cuts the lineage; rounds are at most the longest path's steps.
+    A round takes edges away that leave a node without predecessors or enter one without successors, and then draws every
+    node with one predecessor into the first of its chain that has none or several: chains are followed by pointer doubling, so
+    a path is gone in one round, in as many joins as its length has bits. A chain without such a first node is a circle, as
+    is an edge from a node to itself. When a round changes nothing every node left has a predecessor: the rest are circles too.
+    Each round's edges are checkpointed. ``rounds``, if given, gets how many edges each round has left.
     """
     rest = settled(edges.where("src is not null and dst is not null").select("group", "src", "dst").distinct())
-    n = rest.count()
+    n, circles = rest.count(), []
     while n:
-        reached = rest.select("group", F.col("dst").alias("src")).distinct()
-        rest = settled(rest.join(reached, ["group", "src"], "left_semi").select("group", "src", "dst"))
+        loops = rest.where("src = dst").select("group").distinct()
+        fed = rest.select("group", F.col("dst").alias("src")).distinct()
+        feeding = rest.select("group", F.col("src").alias("dst")).distinct()
+        inner = rest.join(loops, "group", "left_anti").join(fed, ["group", "src"], "left_semi").join(feeding, ["group", "dst"], "left_semi")
+        inner = settled(inner.select("group", "src", "dst"))
+        heads, endless = _heads(inner)
+        circles += [settled(loops), endless]
+        drawn = inner.join(endless, "group", "left_anti").join(heads.select("group", F.col("node").alias("dst")), ["group", "dst"], "left_anti")
+        drawn = drawn.join(heads.select("group", F.col("node").alias("src"), "head"), ["group", "src"], "left")
+        rest = settled(drawn.select("group", F.coalesce("head", "src").alias("src"), "dst").distinct())
         left = rest.count()
+        if rounds is not None:
+            rounds.append(left)
         if left == n:
+            circles.append(rest.select("group"))
             break
         n = left
-    return rest.select("group").distinct()
+    return reduce(DataFrame.unionByName, circles).distinct() if circles else rest.select("group").limit(0)
+
+
+def _heads(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group, node, head) of the nodes with one predecessor, where their chain begins; and the groups with chains that begin nowhere."""
+    one = edges.groupBy("group", F.col("dst").alias("node")).agg(F.count("*").alias("n"), F.min("src").alias("up")).where("n = 1")
+    now = settled(one.select("group", "node", "up"))
+    chained = now.select("group", F.col("node").alias("up"), F.col("up").alias("next"))
+    before = None
+    while True:
+        both = now.join(chained, ["group", "up"], "left")
+        open_ = both.where("next is not null").count()
+        if open_ == before or not open_:
+            break
+        before = open_
+        now = settled(both.select("group", "node", F.coalesce("next", "up").alias("up")))
+        chained = now.select("group", F.col("node").alias("up"), F.col("up").alias("next"))
+    endless = settled(both.where("next is not null").select("group").distinct())
+    return now.select("group", "node", F.col("up").alias("head")), endless

@@ -175,9 +175,6 @@ register("acl11_audit_log", "SELECT a.o_orderkey AS audit_id, a.o_custkey AS use
 register("acl12_audit_rollup", "SELECT o_custkey AS user_id, date_trunc('day', o_orderdate)::TIMESTAMP AS day, count(*) AS n, count(DISTINCT o_orderpriority) AS actions FROM orders GROUP BY 1, 2", lambda s, d: A.audit_rollup(audit(s, d)))
 register("rel1_filters", "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'fr') AND n_chars >= 500 AND source LIKE '%1%'", lambda s, d: A.apply_filters(table(s, d, "documents"), {"lang": ["en", "fr"], "n_chars": {"gte": 500}, "source": {"like": "1"}, "nothing": 1}).select("doc_id", "lang", "source"))
 register("rel2_page", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 50", lambda s, d: A.page(table(s, d, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], 50, 25))
-register("rel7_settings", "SELECT key, scope, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE scope WHEN 'user' THEN 1 WHEN 'workspace' THEN 2 WHEN 'organization' THEN 3 ELSE 4 END, value) AS k FROM (SELECT user_id % 40 AS key, (['user', 'workspace', 'organization', 'global'])[CAST(event_id % 4 + 1 AS INT)] AS scope, event_id AS value FROM events WHERE event_id % 9 < 2)) WHERE k = 1",
-    lambda s, d: A.settings_resolve(table(s, d, "events").where("event_id % 9 < 2").select((F.col("user_id") % 40).alias("key"), F.element_at(F.array(*[F.lit(x) for x in ("user", "workspace", "organization", "global")]), (F.col("event_id") % 4 + 1).cast("int")).alias("scope"), F.col("event_id").alias("value"))))
-# over all events: the scopes that a key may have start at one that its number gives
 register("rel7_settings_all", "SELECT key, scope, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE scope WHEN 'user' THEN 1 WHEN 'workspace' THEN 2 WHEN 'organization' THEN 3 ELSE 4 END, value) AS k FROM (SELECT user_id % 40 AS key, (['user', 'workspace', 'organization', 'global'])[CAST(user_id % 40 % 4 + event_id % (4 - user_id % 40 % 4) + 1 AS INT)] AS scope, event_id AS value FROM events)) WHERE k = 1",
     lambda s, d: A.settings_resolve(table(s, d, "events").select((F.col("user_id") % 40).alias("key"), F.element_at(F.array(*[F.lit(x) for x in ("user", "workspace", "organization", "global")]), (F.col("user_id") % 40 % 4 + F.col("event_id") % (4 - F.col("user_id") % 40 % 4) + 1).cast("int")).alias("scope"), F.col("event_id").alias("value"))))
 

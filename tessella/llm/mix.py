@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A source's target is at least so many blocks, of one word if need be.
+FINE = 64
 
 
 def sainte_lague(parts: DataFrame, group: list[str], weight: str, seats: str, out: str) -> DataFrame:
@@ -64,8 +66,9 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], max_repeat: int
     return level.withColumn("_target", F.when(F.col("_fill").isNull(), limit).otherwise(F.least(limit, F.col("_weight") * F.col("_fill")))).drop("_level", "_fill")
 
 
-def _upto(t: Column, block: int) -> Column:
+def _upto(t: Column) -> Column:
     """Words that the extra round takes from the first ``t`` words of a shard's stream."""
+    block = F.col("_block")
     k = F.floor(t / block)
     chosen = lambda k: F.floor((k + F.col("_u")) * F.col("_rest") / F.col("_blocks"))
     return (chosen(k) - chosen(F.lit(0))) * block + (t - k * block) * (chosen(k + 1) - chosen(k))
@@ -76,10 +79,11 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_re
 
     Sources weigh ``weights`` in turn, by code point, null last (null is a source of its own),
     and share all words; a target stops at ``max_repeat`` times its source's words. Sainte-Laguë
-    shares blocks of ``block_words`` among sources, and each source's among its shards, of about
-    ``shard_docs`` documents drawn by hash: no window holds more than a shard. In a shard the documents
-    stand in a seeded order; q of B blocks are q div B whole rounds and q mod B blocks at even
-    distances from a seeded start. A document is taken as often as the blocks that it covers.
+    shares blocks of equal length among sources, and each source's among its shards, of about
+    ``shard_docs`` documents drawn by hash: no window holds more than a shard. Blocks have ``block_words`` words, or
+    less where that is over 1 / FINE of a target: those shared among sources by the least target, a source's own by its.
+    In a shard the documents stand in a seeded order; its quota is so many whole rounds, and blocks at even
+    distances from a seeded start for the rest. A document is taken as often as the blocks that it covers.
 
     Returns one row per input row: the id and source columns, those named in ``carry``, size, source_size, target, taken.
     Null, empty or blank texts have size 0 and taken 0; repeated rows count each on their own;
@@ -88,26 +92,32 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_re
     sizes = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("_words"), *[F.col(c).alias(f"_carried_{c}") for c in carry])
     sizes = materialize(sizes)
     sources = sizes.groupBy("_source").agg(F.sum("_words").alias("_size"), F.count("*").alias("_docs"))
-    sources = source_targets(sources, weights, max_repeat).withColumn("_seats", F.round(F.col("_total") / block_words).cast("long"))
-    sources = sainte_lague(sources, ["_all"], "_target", "_seats", "_quota")
-    sources = materialize(sources.select("_source", "_size", "_target", "_quota", F.ceil(F.col("_docs") / shard_docs).alias("_shards"), F.col("_rank").alias("_source_rank")))
+    sources = source_targets(sources, weights, max_repeat)
+    block = lambda target: F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(target / FINE))).cast("long")
+    least = F.min(F.when(F.col("_target") > 0, F.col("_target"))).over(Window.partitionBy("_all"))
+    sources = sources.withColumn("_unit", block(F.coalesce(least, F.lit(0.0)))).withColumn("_seats", F.round(F.col("_total") / F.col("_unit")).cast("long"))
+    sources = sainte_lague(sources, ["_all"], "_target", "_seats", "_shared").withColumn("_block", block(F.col("_target")))
+    sources = sources.withColumn("_quota", F.round(F.col("_shared") * F.col("_unit") / F.col("_block")).cast("long"))
+    sources = materialize(sources.select("_source", "_size", "_target", "_quota", "_block", F.ceil(F.col("_docs") / shard_docs).alias("_shards"), F.col("_rank").alias("_source_rank")))
     mark = F.col("_source").eqNullSafe(F.col("_of"))
     named = sources.withColumnRenamed("_source", "_of")
     rows = sizes.join(named, mark).withColumn("_shard", F.pmod(F.xxhash64("_id", F.lit(seed)), F.col("_shards")))
-    shards = rows.groupBy("_source_rank", "_shard").agg(F.sum("_words").alias("_in_shard"), F.max("_quota").alias("_quota")).withColumn("_rank", F.col("_shard"))
+    shards = rows.groupBy("_source_rank", "_shard").agg(F.sum("_words").alias("_in_shard"), F.max("_quota").alias("_quota"), F.max("_block").alias("_block")).withColumn("_rank", F.col("_shard"))
     shards = sainte_lague(shards, ["_source_rank"], "_in_shard", "_quota", "_given")
-    shards = shards.withColumn("_blocks", F.greatest(F.ceil(F.col("_in_shard") / block_words), F.lit(1)))
-    shards = shards.withColumn("_given", F.least(F.col("_given"), F.col("_blocks") * max_repeat))
+    # the last block of a shard may be shorter: rounds are told by words, so that it doesn't count as a whole one each time
+    words = F.least(F.col("_given") * F.col("_block"), F.col("_in_shard") * max_repeat)
+    shards = shards.withColumn("_rounds", F.when(F.col("_in_shard") > 0, F.floor(words / F.col("_in_shard"))).otherwise(F.lit(0)))
+    shards = shards.withColumn("_blocks", F.greatest(F.ceil(F.col("_in_shard") / F.col("_block")), F.lit(1)))
     shards = shards.select(
-        F.col("_source_rank").alias("_r"), F.col("_shard").alias("_s"), "_blocks",
-        F.floor(F.col("_given") / F.col("_blocks")).alias("_rounds"), (F.col("_given") % F.col("_blocks")).alias("_rest"),
+        F.col("_source_rank").alias("_r"), F.col("_shard").alias("_s"), "_blocks", "_rounds",
+        F.least(F.round((words - F.col("_rounds") * F.col("_in_shard")) / F.col("_block")).cast("long"), F.col("_blocks")).alias("_rest"),
         F.pmod(F.xxhash64("_source_rank", "_shard", F.lit(seed)), F.col("_blocks")).alias("_u"),
     )
     rows = rows.join(shards, (F.col("_source_rank") == F.col("_r")) & (F.col("_shard") == F.col("_s")))
     stream = Window.partitionBy("_source_rank", "_shard").orderBy(F.xxhash64("_id", F.lit(seed + 1)), "_id", "_words")
     upto = F.sum("_words").over(stream.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_words"))
-    taken = F.col("_rounds") * F.col("_words") + _upto(F.col("_to"), block_words) - _upto(F.col("_from"), block_words)
+    taken = F.col("_rounds") * F.col("_words") + _upto(F.col("_to")) - _upto(F.col("_from"))
     return rows.select(
         F.col("_id").alias(id_col), F.col("_source").alias(source_col), *[F.col(f"_carried_{c}").alias(c) for c in carry], F.col("_words").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), taken.cast("long").alias("taken"),
     )

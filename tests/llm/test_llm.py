@@ -336,6 +336,23 @@ def test_sainte_lague_is_highest_quotients(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("sizes", [[50] * 2_000, [200_000, *range(5, 50)], [90, 70_000, 33, 1_000, 64, 65]])
+def test_small_sources_come_near_their_targets(spark, sizes):
+    """With the parameters as they are; documents have up to 700 words."""
+    rows = []
+    for k, n in enumerate(sizes):
+        cuts = list(range(0, n, 700 if n > 700 else max(1, n // 3))) + [n]
+        rows += [(len(rows) + j, "w " * (hi - lo), f"s{k:05d}") for j, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
+    got = mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert abs(sum(target.values()) - sum(sizes)) < 1e-6 * sum(sizes)
+    assert all(abs(taken[k] - target[k]) <= max(1.5, 0.04 * target[k]) for k in target)
+    assert abs(sum(taken.values()) - sum(sizes)) < 0.01 * sum(sizes)
+
+
 def test_mix_of_many_small_sources_stays_small(spark):
     """1,500 sources whose quotas all round one way; quotas are the highest quotients'."""
     parts = [(1, i + 1, 1.0 if i else 800.0, 1200) for i in range(1500)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +17,31 @@ from .common import materialize
 VERSION = b"WARC/1.1"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ARCHIVES = "archive string, content binary"
-RECORDS = "archive string, offset long, record_type string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, digest_ok boolean"
+RECORDS = "archive string, offset long, record_type string, page_id long, target_uri string, payload_bytes long, payload_digest string, refers_to long, digest_ok boolean, record_id string"
+#: Line ends in a URL, written with a percent sign, and what looks like one, which gets 25 more behind the sign.
+LINE_END = re.compile("%((?:25)*)(0D|0A)")
+ENDS = {"0D": "\r", "0A": "\n"}
+
+
+def header_value(url: str) -> str:
+    """A URL as one header line; ``header_url`` gives it back."""
+    return LINE_END.sub(r"%25\1\2", url).replace("\r", "%0D").replace("\n", "%0A")
+
+
+def header_url(value: str) -> str:
+    return LINE_END.sub(lambda m: f"%{m[1][2:]}{m[2]}" if m[1] else ENDS[m[2]], value)
+
+
+def page_number(record_id: str | None) -> int | None:
+    """The page of an id that ``record`` wrote; none of any other."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
+    return int(found[1]) if found else None
+
+
+def agrees(told: str | None, data: bytes) -> bool:
+    """Whether data has the SHA-1 digest that a header tells, in base32 or hexadecimal; one that is absent or of another kind can't be held against it."""
+    kind, _, value = (told or "").partition(":")
+    return kind.lower() != "sha1" or value.upper() in (sha1_base32(data), hashlib.sha1(data).hexdigest().upper())
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -38,7 +63,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"Content-Length: {len(block)}",
     ]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%0D", "%250D").replace("%0A", "%250A").replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + header_value(url))
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -62,13 +87,17 @@ def members(content: bytes | memoryview, step: int = 1 << 16) -> Iterator[tuple[
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Headers (names in lower case) and block of a record, framed by its Content-Length."""
     head, _, rest = raw.partition(b"\r\n\r\n")
-    first, *lines = head.decode().split("\r\n")
+    first, *lines = head.decode(errors="replace").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = {}
+    headers, name = {}, ""
     for line in lines:
+        if line[:1] in (" ", "\t") and name:  # goes on with the line before
+            headers[name] += " " + line.strip()
+            continue
         name, _, value = line.partition(":")
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        headers[name] = value.strip()
     length = int(headers["content-length"])
     if len(rest) < length:
         raise ValueError("record is shorter than its Content-Length")
@@ -129,10 +158,14 @@ def read_warc(archives: DataFrame, *, payload: bool = False, strict: bool = True
     digests don't is an error. With ``payload`` a
     binary column of that name follows (null for a revisit). A null or empty content has no records; content that
     is cut off or is no WARC is an error.
+
+    Archives of other writers are read too: records of every type are returned under their record_id. page_id and refers_to are null
+    where an id is none of ``write_warc``'s; the payload is what follows the HTTP head, of a block that is not HTTP the whole
+    block. Where a response's digest is absent its own is computed; a digest of another algorithm is returned as it stands
+    and not verified; what a revisit or another record doesn't tell is null.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda text: int(text[len("<urn:page:") : -1]) if text and len(text) > len("<urn:page:>") else None
         for batch in batches:
             for archive, content in zip(batch.column(0), batch.column(1)):
                 if not content.is_valid:
@@ -140,21 +173,24 @@ def read_warc(archives: DataFrame, *, payload: bool = False, strict: bool = True
                 rows: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
                 for offset, raw in members(content.as_buffer()):
                     headers, block = parse(raw)
-                    body = block.partition(b"\r\n\r\n")[2]
-                    kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
-                    ok = headers["warc-block-digest"] == "sha1:" + sha1_base32(block)
-                    if kind == "response":
-                        ok = ok and sha1_base32(body) == digest
-                        size = len(body)
+                    kind = headers.get("warc-type", "")
+                    http = headers.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+                    body = block.partition(b"\r\n\r\n")[2] if http else block
+                    told = headers.get("warc-payload-digest")
+                    digest = told.removeprefix("sha1:") if told else None
+                    ok = agrees(headers.get("warc-block-digest"), block)
+                    if kind == "revisit":
+                        size = int(headers["warc-payload-length"]) if "warc-payload-length" in headers else None
                     else:
-                        size = int(headers["warc-payload-length"])
+                        ok, size = ok and agrees(told, body), len(body)
+                        digest = digest or (sha1_base32(body) if kind == "response" else None)
                     if strict and not ok:
                         raise ValueError(f"digest of the record at {offset} in {archive.as_py()} does not agree")
                     url = headers.get("warc-target-uri")
-                    if url is not None:
-                        url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%250D", "%0D").replace("%250A", "%0A")
-                    values = [archive.as_py(), offset, kind, number(headers["warc-record-id"]), url, size, digest, number(headers.get("warc-refers-to")), ok]
-                    for column, value in zip(rows.values(), [*values, body if kind == "response" else None]):
+                    url = None if url is None else header_url(url)
+                    record_id = headers.get("warc-record-id")
+                    values = [archive.as_py(), offset, kind, page_number(record_id), url, size, digest, page_number(headers.get("warc-refers-to")), ok, record_id]
+                    for column, value in zip(rows.values(), [*values, None if kind == "revisit" else body]):
                         column.append(value)
                 yield pa.RecordBatch.from_pydict(rows, arrow)
 

@@ -160,6 +160,24 @@ def _boundaries(language: str, view: str) -> str:
 
 register("chk4_python_boundaries", _boundaries("python", "coded").replace("WITH ", f"WITH {_CODE}, ", 1), lambda s, d: B.language_boundaries(_code(s, d), "python"))
 register("chk4_go_boundaries", _boundaries("go", "brace_view"), lambda s, d: B.language_boundaries(W.brace_view(s, d), "go"))
+#: By language what opens a function in its view of the documents, and what stands before the first line.
+OPENERS = {
+    "javascript": ("async function f", "import a from 'b'\nconst c = require('d')\nclass K extends L {\n}\n"),
+    "typescript": ("function f", "import 'a'\nimport { b } from \"c\"\nclass K extends L implements M, N {\nx = (y): void => {\n}\n}\n"),
+    "java": ("public static List<String> f", "import static a.b.C;\nimport d.*;\npublic final class K {\n}\n"),
+    "csharp": ("internal int f", "using A.B;\nusing C;\npublic sealed class K {\n}\n"),
+    "rust": ("async fn f", "use a::b;\nuse c::{d, e};\nstruct S {\n}\nenum E {\n}\ntrait T {\n}\n"),
+}
+
+
+def _opened(s, d, language: str):
+    opener, before = OPENERS[language]
+    return W.brace_view(s, d).withColumn("text", F.concat(F.lit(before), F.replace("text", F.lit("func f"), F.lit(opener))))
+
+
+for _language, (_opener, _before) in OPENERS.items():
+    _view = "opened AS (SELECT * REPLACE ({} || replace(text, 'func f', '{}') AS text) FROM brace_view)".format(" || chr(10) || ".join(_q(x) for x in _before.split("\n")), _opener)
+    register(f"chk4_{_language}_boundaries", _boundaries(_language, "opened").replace("WITH ", f"WITH {_view}, ", 1), lambda s, d, own=_language: B.language_boundaries(_opened(s, d, own), own))
 register(
     "chk6_brace_blocks",
     f"WITH {_NUMBERED('brace_view')}, {_BRACES} SELECT s.doc_id, CAST(s.n AS INT) AS start_line, CAST(coalesce(min(o.n), s.total) AS INT) AS end_line FROM b s LEFT JOIN b o ON o.doc_id = s.doc_id AND o.n > s.n AND o.depth - s.depth + s.own = 0 WHERE starts_with(s.x, 'func ') GROUP BY s.doc_id, s.n, s.total",

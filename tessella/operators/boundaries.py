@@ -26,10 +26,21 @@ LANGUAGES = {
         "function": (r"func\s+(?:\([^)]*\)\s+)?(\w+)\s*\(",), "class": (r"type\s+(\w+)\s+struct",), "import": (r"import\s+[\"']([^\"']+)[\"']", r"import\s+(\w+)\s+[\"']"),
         "words": ("if", "else", "for", "range", "switch", "case", "select", "go", "defer"),
     },
+    "typescript": {
+        "function": (r"function\s+(\w+)\s*\(", r"(\w+)\s*=\s*\([^)]*\)\s*:\s*\w+\s*=>", r"async\s+function\s+(\w+)"),
+        "class": (r"class\s+(\w+)(?:\s+extends\s+\w+)?(?:\s+implements\s+[\w,\s]+)?",),
+        "import": (r"import\s+.*\s+from\s+['\"]([^'\"]+)['\"]", r"import\s+['\"]([^'\"]+)['\"]"),
+        "words": ("if", "else", "for", "while", "switch", "case", "try", "catch", "async", "await", "interface", "type"),
+    },
     "java": {
         "function": (r"(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+(\w+)\s*\(",), "class": (r"(?:public|private|protected)?\s*(?:abstract|final)?\s*class\s+(\w+)",), "import": (r"import\s+(?:static\s+)?([^;]+);",),
         "words": ("if", "else", "for", "while", "switch", "case", "try", "catch", "synchronized", "volatile"),
     },
+    "csharp": {
+        "function": (r"(?:public|private|protected|internal|static|\s)+[\w<>\[\]]+\s+(\w+)\s*\(",),
+        "class": (r"(?:public|private|protected|internal)?\s*(?:abstract|sealed|static)?\s*class\s+(\w+)",), "import": (r"using\s+([^;]+);",),
+        "words": ("if", "else", "for", "foreach", "while", "switch", "case", "try", "catch", "async", "await"),
+    },
     "rust": {
         "function": (r"fn\s+(\w+)\s*\(", r"async\s+fn\s+(\w+)\s*\("), "class": (r"struct\s+(\w+)", r"enum\s+(\w+)", r"trait\s+(\w+)"), "import": (r"use\s+([^;]+);",),
         "words": ("if", "else", "for", "while", "loop", "match", "async", "await", "unsafe"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .operators import access as A
 from .operators import ann as N
 from .operators import embedding as E
 from .operators import extensions as X
@@ -149,3 +150,52 @@ register(
     FROM code_view LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)""",
     dependency_scores,
 )
+
+
+# requests, deletions and usage
+def asked_access(s, d):
+    requests = table(s, d, "events").select("event_id", "user_id", (F.col("event_id") % 100 + 1).alias("collection_id"))
+    users = table(s, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("workspace_id"))
+    return A.check_requests(requests, W.collections(s, d), W.members(s, d), users)
+
+
+register(
+    "acl1_requests",
+    """SELECT event_id, e.user_id, collection_id, coalesce(c.workspace_id = u.c_nationkey AND (c.visibility IN ('public', 'internal') OR c.owner_id = e.user_id
+        OR EXISTS (SELECT 1 FROM members m WHERE m.collection_id = e.collection_id AND m.user_id = e.user_id AND m.is_active)), false) AS allowed
+    FROM (SELECT event_id, user_id, event_id % 100 + 1 AS collection_id FROM events) e LEFT JOIN collections c USING (collection_id) LEFT JOIN customer u ON u.c_custkey = e.user_id""",
+    asked_access,
+)
+
+
+def deleted(s, d):
+    tables = {n: table(s, d, n) for n in ("customer", "orders", "lineitem")}
+    references = [A.Reference("customer", "c_custkey", "orders", "o_custkey"), A.Reference("orders", "o_orderkey", "lineitem", "l_orderkey")]
+    left = A.hard_delete(tables, references, "customer", tables["customer"].where("c_acctbal < 0").select("c_custkey"))
+    return left["lineitem"].select("l_orderkey", "l_linenumber")
+
+
+register("rel4_hard_delete", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0)", deleted)
+
+
+def usage(s, d):
+    docs = table(s, d, "documents").select(F.col("source").alias("collection"), F.col("lang").alias("type"), F.octet_length("text").cast("long").alias("bytes"), ((F.col("doc_id") % 101) / 100).alias("quality"))
+    points = table(s, d, "embeddings").join(table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("collection")), "vec_id")
+    queries = table(s, d, "events").join(table(s, d, "documents").select(F.col("doc_id").alias("event_id"), F.col("source").alias("collection")), "event_id")
+    return SE.collection_usage(docs, points, queries.select("collection", F.concat("event_type", F.lit(" "), (F.col("user_id") % 7).cast("string")).alias("query"), "ts"))
+
+
+_BY = "(SELECT collection, string_agg({v} || '=' || n, ',' ORDER BY {v}) AS {name} FROM (SELECT collection, {v}, {n} AS n FROM {of} WHERE {v} IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"
+register(
+    "ana3_collection_usage",
+    f"""WITH o AS (SELECT source AS collection, lang AS type, strlen(text) AS bytes, printf('%.2f', least(floor((doc_id % 101) / 100.0 * 10), 9) / 10.0) AS bin FROM documents),
+    e AS (SELECT source AS collection, event_type || ' ' || (user_id % 7) AS query, strftime(ts, '%Y-%m-%d') AS day FROM events JOIN documents ON doc_id = event_id),
+    p AS (SELECT collection, query, count(*) AS n, row_number() OVER (PARTITION BY collection ORDER BY count(*) DESC, query) AS k FROM e GROUP BY 1, 2)
+    SELECT collection, storage, storage_by_type, quality_histogram, coalesce(vectors, 0) AS vectors, daily_queries, popular_queries
+    FROM (SELECT collection, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS storage FROM o GROUP BY 1)
+    LEFT JOIN {_BY.format(v='type', n='CAST(sum(bytes) AS BIGINT)', of='o', name='storage_by_type')} USING (collection) LEFT JOIN {_BY.format(v='bin', n='count(*)', of='o', name='quality_histogram')} USING (collection)
+    LEFT JOIN (SELECT source AS collection, count(*) AS vectors FROM embeddings JOIN documents ON doc_id = vec_id GROUP BY 1) USING (collection)
+    LEFT JOIN {_BY.format(v='day', n='count(*)', of='e', name='daily_queries')} USING (collection)
+    LEFT JOIN (SELECT collection, string_agg(n || ' ' || query, ' | ' ORDER BY k) AS popular_queries FROM p WHERE k <= 5 GROUP BY 1) USING (collection)""",
+    usage,
+)

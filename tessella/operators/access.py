@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,19 @@ def accessible_collections(collections: DataFrame, members: DataFrame, users: Da
     return pairs.join(active, ["collection_id", "user_id"], "left").where(F.col("visibility").isin("public", "internal") | (F.col("owner_id") == F.col("user_id")) | F.col("_member")).select("user_id", "collection_id")
 
 
+def check_requests(requests: DataFrame, collections: DataFrame, members: DataFrame, users: DataFrame) -> DataFrame:
+    """ACL1, ACL5: ``requests`` (user_id, collection_id, ...) with ``allowed``: by the rule of ``accessible_collections``, for what was asked alone.
+
+    A collection of another workspace, and users and collections that are not there, are not allowed. Each join is on the request's
+    own keys, so the result has the requests' rows, however many users and collections a workspace has.
+    """
+    own = collections.select("collection_id", F.col("workspace_id").alias("_place"), "visibility", "owner_id")
+    active = members.where("is_active").select("collection_id", "user_id").distinct().withColumn("_member", F.lit(True))
+    known = requests.join(own, "collection_id", "left").join(users.select("user_id", F.col("workspace_id").alias("_home")), "user_id", "left").join(active, ["collection_id", "user_id"], "left")
+    may = F.col("visibility").isin("public", "internal") | (F.col("owner_id") == F.col("user_id")) | F.coalesce("_member", F.lit(False))
+    return known.select(*requests.columns, F.coalesce((F.col("_place") == F.col("_home")) & may, F.lit(False)).alias("allowed"))
+
+
 def role_permissions(members: DataFrame) -> DataFrame:
     """ACL2: can_read, can_write and can_admin of each member's role."""
     can = lambda p: F.col("role").isin(*[r for r, ps in PERMISSIONS.items() if p in ps])
@@ -96,3 +110,31 @@ def page_info(df: DataFrame, offset: int, limit: int) -> DataFrame:
     """REL5: total rows, the 1-based number of the page at ``offset``, pages in all, and whether others follow or go before."""
     total = F.count("*")
     return df.agg(total.alias("total"), F.lit(offset // limit + 1).cast("long").alias("page"), F.ceil(total / limit).alias("pages"), (total > offset + limit).alias("has_next"), F.lit(offset > 0).alias("has_previous"))
+
+
+class Reference(NamedTuple):
+    """A foreign key: rows of ``child`` go with the row of ``parent`` whose ``key`` is their ``column``."""
+
+    parent: str
+    key: str
+    child: str
+    column: str
+
+
+def hard_delete(tables: dict[str, DataFrame], references: list[Reference], root: str, gone: DataFrame) -> dict[str, DataFrame]:
+    """REL4: ``tables`` without the rows of ``root`` whose keys are in ``gone`` (of the columns that it shares with ``root``), and without what refers to them.
+
+    ``references`` come from parents to children; what goes of a child is told by what went of all its parents, with one semi-join
+    and one anti-join a reference. Rows whose column is null refer to nothing and stay.
+    """
+    shared = [c for c in gone.columns if c in tables[root].columns]
+    went = {root: tables[root].join(gone.select(*shared), shared, "left_semi")}
+    left = dict(tables) | {root: tables[root].join(gone.select(*shared), shared, "left_anti")}
+    for ref in references:
+        if ref.parent not in went:
+            continue
+        keys = went[ref.parent].select(F.col(ref.key).alias(ref.column)).distinct()
+        more = left[ref.child].join(keys, ref.column, "left_semi")
+        went[ref.child] = went[ref.child].unionByName(more) if ref.child in went else more
+        left[ref.child] = left[ref.child].join(keys, ref.column, "left_anti").select(*left[ref.child].columns)
+    return left

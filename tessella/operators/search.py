@@ -170,6 +170,35 @@ def query_suggestions(log: DataFrame, terms: DataFrame, limit: int = 9, prefix:
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("collection", "user_id", "suggestion", "place")
 
 
+def counts_by(df: DataFrame, value: str, name: str, weight: Column | None = None) -> DataFrame:
+    """(collection, name): each collection's rows (or their summed weight) by value, as "value=n" joined by commas in order of value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy("collection", value).agg((F.count("*") if weight is None else F.sum(weight)).alias("n"))
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))), lambda x: F.concat(x["v"].cast("string"), F.lit("="), x["n"].cast("string")))
+    return counts.groupBy("collection").agg(F.array_join(pairs, ",").alias(name))
+
+
+def collection_usage(docs: DataFrame, points: DataFrame, queries: DataFrame, popular: int = 5, bins: int = 10) -> DataFrame:
+    """ANA3: per collection its quality histogram, vectors, queries by day, popular queries, and bytes in all and by type.
+
+    ``docs`` (collection, type, bytes, quality between 0 and 1), ``points`` (collection, embedding), ``queries`` (collection, query,
+    ts). The histogram has ``bins`` equal bins, named by their lower bounds, the last one with 1; documents without a quality are in none. A
+    collection's ``popular`` most frequent queries are "n query" joined by " | ", ties by the text; counts are taken before
+    anything is ranked, so a row holds one entry a value.
+    """
+    at = F.least(F.floor(F.col("quality") * bins), F.lit(bins - 1)) / bins
+    histogram = counts_by(docs.withColumn("_bin", F.format_number(at, 2)), "_bin", "quality_histogram")
+    vectors = points.where("embedding is not null").groupBy("collection").agg(F.count("*").alias("vectors"))
+    days = counts_by(queries.withColumn("_day", F.date_format("ts", "yyyy-MM-dd")), "_day", "daily_queries")
+    asked = queries.where("query is not null").groupBy("collection", "query").agg(F.count("*").alias("n"))
+    ranked = asked.withColumn("_k", F.row_number().over(Window.partitionBy("collection").orderBy(F.desc("n"), "query"))).where(F.col("_k") <= popular)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("_k", "n", "query"))), lambda x: F.concat_ws(" ", x["n"].cast("string"), x["query"]))
+    top = ranked.groupBy("collection").agg(F.array_join(said, " | ").alias("popular_queries"))
+    out = docs.groupBy("collection").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("storage"))
+    for more in (counts_by(docs, "type", "storage_by_type", F.col("bytes")), histogram, vectors, days, top):
+        out = out.join(more, "collection", "left")
+    return out.fillna(0, ["vectors"])
+
+
 def collection_stats(docs: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """ANA3: per collection its documents (by type and language), chunks and their mean lines, and queries, successes, mean time and kinds.
 
@@ -177,16 +206,11 @@ def collection_stats(docs: DataFrame, chunks: DataFrame, queries: DataFrame) ->
     value are "value=n" joined by commas in order of value; they are aggregated by value first, so a row holds one entry a value.
     """
 
-    def spread(df: DataFrame, value: str, name: str) -> DataFrame:
-        counts = df.where(F.col(value).isNotNull()).groupBy("collection", value).agg(F.count("*").alias("n"))
-        pairs = F.transform(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "n"))), lambda x: F.concat(x["v"], F.lit("="), x["n"].cast("string")))
-        return counts.groupBy("collection").agg(F.array_join(pairs, ",").alias(name))
-
     own = docs.groupBy("collection").agg(F.count("*").alias("documents"))
     parts = chunks.groupBy("collection").agg(F.count("*").alias("chunks"), F.round(F.avg("lines"), 6).alias("avg_lines"))
     asked = queries.groupBy("collection").agg(F.count("*").alias("queries"), F.count_if(F.col("status") == "completed").alias("successful"), F.round(F.avg("seconds"), 6).alias("avg_seconds"))
     out = own
-    for more in (spread(docs, "type", "by_type"), spread(docs, "lang", "by_language"), parts, asked, spread(queries, "query_type", "query_types")):
+    for more in (counts_by(docs, "type", "by_type"), counts_by(docs, "lang", "by_language"), parts, asked, counts_by(queries, "query_type", "query_types")):
         out = out.join(more, "collection", "left")
     return out.fillna(0, ["chunks", "queries", "successful"])
 

@@ -186,7 +186,7 @@ def collection_usage(docs: DataFrame, points: DataFrame, queries: DataFrame, pop
     anything is ranked, so a row holds one entry a value.
     """
     at = F.least(F.floor(F.col("quality") * bins), F.lit(bins - 1)) / bins
-    histogram = counts_by(docs.withColumn("_bin", F.format_number(at, 2)), "_bin", "quality_histogram")
+    histogram = counts_by(docs.withColumn("_bin", F.when(F.col("quality").isNotNull(), F.format_number(at, 2))), "_bin", "quality_histogram")
     vectors = points.where("embedding is not null").groupBy("collection").agg(F.count("*").alias("vectors"))
     days = counts_by(queries.withColumn("_day", F.date_format("ts", "yyyy-MM-dd")), "_day", "daily_queries")
     asked = queries.where("query is not null").groupBy("collection", "query").agg(F.count("*").alias("n"))

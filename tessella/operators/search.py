@@ -18,44 +18,60 @@ from .vectors import Match, metadata_filter, vector_topk
 LEAST_KEYWORDS, RELAXED, LEAST_VECTOR = 0.1, 0.2, 0.1
 
 
-def keyword_search(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, min_score: float = 0.0, where: Column | None = None) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """The best 2k vectors of each query, written once: what the searches below choose from, so that vectors are scanned once for all of them."""
+    return settled(vector_topk(queries.select("query_id", "embedding"), vectors, 2 * k, where=where))
+
+
+def keyword_search(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, min_score: float = 0.0, where: Column | None = None, near: DataFrame | None = None) -> DataFrame:
     """RET2: (query_id, doc_id, score, vector_score, rank): of the best 2k vectors of each (query_id, embedding, keywords) those that hold keywords, the best ``k`` by their share.
 
-    Ties keep the vectors' order. Queries without keywords have no hits; vectors are those of the documents of the same id.
+    Ties keep the vectors' order. Queries without keywords have no hits; vectors are those of the documents of the same id. ``near``
+    is what ``nearest`` gave for these queries, or for more.
     """
     asked = queries.where(F.size("keywords") > 0)
-    near = vector_topk(asked.select("query_id", "embedding"), vectors, 2 * k, max(LEAST_VECTOR, min_score - RELAXED), where)
+    least = max(LEAST_VECTOR, min_score - RELAXED)
+    near = vector_topk(asked.select("query_id", "embedding"), vectors, 2 * k, least, where) if near is None else near.where(F.col("score") >= least)
     found = near.join(asked.select("query_id", "keywords"), "query_id").join(docs.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
     scored = found.select("query_id", F.col("vec_id").alias("doc_id"), keyword_score(F.col("keywords"), F.col("text")).alias("score"), F.col("score").alias("vector_score"), F.col("rank").alias("_r"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "_r")
     return scored.where(F.col("score") >= LEAST_KEYWORDS).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_r")
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, where: Column | None = None) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, where: Column | None = None, near: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the best ``k`` documents by their vectors."""
-    return vector_topk(queries.select("query_id", "embedding"), vectors, k, min_score, where).withColumnRenamed("vec_id", "doc_id")
+    if near is None:
+        hits = vector_topk(queries.select("query_id", "embedding"), vectors, k, min_score, where)
+    else:
+        hits = near.where(F.col("rank") <= k).join(queries.select("query_id"), "query_id", "left_semi")
+        hits = hits if min_score is None else hits.where(F.col("score") >= min_score)
+    return hits.withColumnRenamed("vec_id", "doc_id")
 
 
-def hybrid_search(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, min_score: float = 0.0, method: str = "rrf", where: Column | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, min_score: float = 0.0, method: str = "rrf", where: Column | None = None, near: DataFrame | None = None) -> DataFrame:
     """RET7: (query_id, doc_id, score, rank): vector and keyword hits fused by rrf, weighted or simple, the best ``k``; ties by id."""
-    near, words = vector_search(queries, vectors, k, min_score, where), keyword_search(queries, vectors, docs, k, min_score, where)
+    base = nearest(queries, vectors, k, where) if near is None else near
+    close, words = vector_search(queries, vectors, k, min_score, where, base), keyword_search(queries, vectors, docs, k, min_score, where, base)
     if method == "rrf":
-        both = near.select("query_id", "doc_id", "rank").unionByName(words.select("query_id", "doc_id", "rank"))
+        both = close.select("query_id", "doc_id", "rank").unionByName(words.select("query_id", "doc_id", "rank"))
         fused = rrf_fuse(both).select("query_id", "doc_id", "score")
     else:
-        fused = {"weighted": weighted_fuse, "simple": simple_fuse}[method](near, words)
+        fused = {"weighted": weighted_fuse, "simple": simple_fuse}[method](close, words)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def adaptive_search(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int, min_score: float = 0.0, method: str = "rrf") -> DataFrame:
-    """RET7: queries with type and complexity go each to the search that suits them: keyword ones to keywords, simple ones that are no code to vectors, the others to both."""
+    """RET7: queries with type and complexity go each to the search that suits them: keyword ones to keywords, simple ones that are no code to vectors, the others to both.
+
+    The vectors are scanned once, for all queries.
+    """
     route = F.when(F.col("type") == "code", "hybrid").when(F.col("type") == "keyword", "keyword").when(F.col("complexity") == "simple", "vector").otherwise("hybrid")
-    routed = queries.withColumn("_route", route)
+    routed, near = queries.withColumn("_route", route), nearest(queries, vectors, k)
     ways: dict[str, Callable[[DataFrame], DataFrame]] = {
-        "hybrid": lambda q: hybrid_search(q, vectors, docs, k, min_score, method),
-        "keyword": lambda q: keyword_search(q, vectors, docs, k, min_score),
-        "vector": lambda q: vector_search(q, vectors, k, min_score),
+        "hybrid": lambda q: hybrid_search(q, vectors, docs, k, min_score, method, near=near),
+        "keyword": lambda q: keyword_search(q, vectors, docs, k, min_score, near=near),
+        "vector": lambda q: vector_search(q, vectors, k, min_score, near=near),
     }
     out = None
     for name, way in ways.items():

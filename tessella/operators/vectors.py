@@ -54,6 +54,10 @@ class Match(NamedTuple):
     test: Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
 
 
+#: Scores that a task works out at a time, queries times vectors.
+SCORES = 4 << 20
+
+
 class _Best:
     """The best ``k`` of each query so far, as flat arrays; ties by id."""
 
@@ -65,6 +69,8 @@ class _Best:
         n = score.shape[1]
         least = self.floor if n <= self.k else np.maximum(self.floor, np.partition(score, n - self.k, axis=1)[:, n - self.k])
         q, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        if not len(q):
+            return
         q, own, score = np.concatenate([self.q, q]), np.concatenate([self.id, ids[at]]), np.concatenate([self.score, score[q, at]])
         order = np.lexsort((own, -score, q))
         q, own, score = q[order], own[order], score[order]
@@ -75,7 +81,7 @@ class _Best:
         self.floor[q[full]] = score[full]
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, where: Column | None = None, match: Match | None = None, block_bytes: int = 64 << 20) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, where: Column | None = None, match: Match | None = None, block_bytes: int = 8 << 20) -> DataFrame:
     """VEC3: (query_id, vec_id, score, rank), the ``k`` best by cosine for each (query_id, embedding) query; ties by id.
 
     Queries are taken in blocks of ``block_bytes``, the only thing broadcast; each task holds its best k of every query of the
@@ -99,9 +105,11 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, unit, own = held.value
             best = _Best(len(ids), k)
+            # the matrix of scores has SCORES numbers at most
+            step = max(1, min(2_048, SCORES // len(ids)))
             for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    part = batch.slice(lo, 2048)
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
                     column, score = part.column(1), np.zeros((len(ids), part.num_rows))
                     size = pc.list_value_length(column).to_numpy()
                     for d, (places, m) in unit.items():

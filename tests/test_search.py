@@ -42,6 +42,17 @@ def test_topk_against_brute_force(spark):
         assert [s for _, s in sorted(got[q])] == sorted(score[q].tolist(), reverse=True)[:7]
 
 
+def test_many_queries_stay_within_the_scores_of_a_step(spark, monkeypatch):
+    """20,000 queries in a few blocks: no matrix is larger than the bound."""
+    rnd = np.random.RandomState(9)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rnd.randn(600, 8))], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rnd.randn(20_000, 8))], "query_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "SCORES", 1 << 17)
+    got = vectors.vector_topk(asked, frame, 2, block_bytes=1 << 20).agg(F.count("*"), F.sum("vec_id"), F.countDistinct("query_id")).first()
+    monkeypatch.undo()
+    assert got == vectors.vector_topk(asked, frame, 2).agg(F.count("*"), F.sum("vec_id"), F.countDistinct("query_id")).first() and got[0] == 40_000
+
+
 def test_approximate_search_has_the_recall_it_promises(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     asked = frame.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")

@@ -36,7 +36,7 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 LOOSE = frozenset("#root html body".split())
 CONTAINERS = frozenset("div section article main center table tbody tr td header footer aside nav form ul ol dl".split())
 CONTENT_NAMES = "article content main post entry story body text prose".split()
-OTHER_NAMES = "ad ads advert advertisement banner sponsor promo nav navbar menu breadcrumb header masthead footer sidebar aside widget related comment comments reply disqus cookie consent notice alert popup modal newsletter subscribe signup share social login search pagination tags copyright legal skip".split()
+OTHER_NAMES = "ad ads advert advertisement banner sponsor promo nav navbar menu breadcrumb header masthead footer sidebar aside widget related comment comments reply disqus cookie consent notice alert popup modal newsletter subscribe signup share social login search pagination tags copyright legal skip sponsored promoted discussion gdpr toolbar".split()
 
 
 #: The hidden states.
@@ -130,11 +130,15 @@ def parse(source: str) -> Page:
 
 def _observe(tags: list[str], parents: list[int], attributes: list[str], texts: list[tuple[int, str]]) -> Page:
     n = len(tags)
-    chars, linked, stops = [0] * n, [0] * n, [0] * n
+    chars, linked, stops, direct = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text in texts:
         if node >= 0:
             chars[node] += len(text)
             stops[node] += text.count(".") + text.count(",")
+            direct[node] += 0 if text.isspace() else len(text)
+    for i in range(n - 1, 0, -1):
+        if tags[i] in INLINE and tags[i] != "a":
+            direct[parents[i]] += direct[i]
     for i in range(n - 1, 0, -1):
         if tags[i] == "a":
             linked[i] = chars[i]
@@ -145,6 +149,9 @@ def _observe(tags: list[str], parents: list[int], attributes: list[str], texts:
     features, labels = [], []
     for i in range(n):
         own = [f"t:{tags[i]}", f"n:{min(8, int(math.log2(chars[i] + 1)))}", f"l:{4 * linked[i] // (chars[i] + 1)}", f"s:{min(3, 50 * stops[i] // (chars[i] + 1))}"]
+        if tags[i] in CONTAINERS and direct[i]:
+            # how much text a container holds itself, not only in what it holds
+            own.append(f"d:{min(8, int(math.log2(direct[i] + 1)))}")
         label = None
         for m in NAMED.finditer(attributes[i]) if attributes[i] else ():
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -204,6 +211,25 @@ def labelled_pages() -> Iterator[str]:
             more = "".join(f'<{kind} data-content=0 class="{name}"><p data-content=0>{short}</p></{kind}>' for name in (OTHER_NAMES[j - 1], OTHER_NAMES[j - 2]))
             for body in (bodies[(j + k) % 5], bodies[1 + (j + k) % 2]):
                 yield f"<html data-content=0><head data-content=0></head><body data-content=0>{body}{more}</body></html>"
+        # text that stands in containers without a name of use, beside others with links, few words or another's name
+        for j, bad in enumerate(OTHER_NAMES):
+            prose, short = passages[(j + k) % 4] * (2, 3, 6, 9)[(j + k) % 4], passages[j % 4] if (j + k) % 2 == 0 else ("Go", "Short", "Two words", "Short words here", "Some more short words in a row")[(j + k // 2) % 5]
+            box, other = ("div", "div", "section", "div", "td")[(j + k) % 5], ("div", "section", "div", "aside", "footer")[(j + 2 * k) % 5]
+            links = "".join(f'<a data-content=0 href="/{i}">Link {i}</a> ' for i in range(2 + j % 5))
+            inner = (prose, f"{prose}<br data-content=1>{prose}", f"{prose}<b data-content=1>bold</b> and <i data-content=1>so</i> on. {prose}", f"<h2 data-content=1>A title</h2>{prose}")[(j + k) % 4]
+            if j % 3 == 1:
+                beside = ("aside", "footer", "aside", "header")[(j + k) % 4]
+                inner += f"<{beside} data-content=0>{prose if k % 2 else short}</{beside}>" + ("" if k % 3 else f"<p data-content=1>{prose}</p>")
+            own = f'<{box} data-content=1 id="{"abcdefgh"[(j + k) % 8]}{k}">{inner}</{box}>'
+            for _ in range((j + k) % 4):
+                own = f"<div data-content=0>{own}</div>"
+            if box == "td":
+                own = f"<table data-content=0><tr data-content=0>{own}</tr></table>"
+            # a name of use with another's before it is no content
+            named = f'<{other} data-content=0 class="{bad if j % 4 else f"{bad}-{good}"}">{f"<p data-content=0>{short * 3}</p>" if (j + k) % 3 == 1 else short}</{other}>'
+            top = f"<div data-content=0>{links}</div>" if j % 2 else f"<header data-content=0>{links}</header>"
+            end = f"<footer data-content=0>{short}</footer>" if j % 3 else ""
+            yield f"<html data-content=0><body data-content=0>{(top, '', named)[j % 3]}{own}{(named, '', top + named)[(j + k) % 3]}{end}</body></html>"
         # text that hangs on the root or body is content; there is little else on such a page
         prose = passages[k % 4] * (1 + k)
         yield from (prose, "Short words here", f"<body data-content=0>{prose}<p data-content=1>{prose}</p>", f'<body data-content=0>{prose}<nav data-content=0><a data-content=0 href="/x">Link</a></nav>')
@@ -252,7 +278,8 @@ def fit_counts(counts: dict[tuple[str, str, int], float], least: float = 2, extr
     for f in {f for kind, f, _ in counts if kind == "f"}:
         seen = [counts.get(("f", f, y), 0) for y in STATES]
         if sum(seen) >= least:
-            features[f] = tuple((seen[y] + extra) / total[y] for y in STATES)
+            # what a state was never seen with is as unlikely in each, however often the state was seen
+            features[f] = tuple(seen[y] / total[y] + len(STATES) * extra / sum(total) for y in STATES)
     edge = tuple(tuple(share([counts.get(("e", f"{kind}{parent}", y), 0) + extra for y in STATES]) for parent in STATES) for kind in range(4))
     return Model(features, edge, share([counts.get(("r", "", y), 0) + extra for y in STATES]))
 

@@ -608,6 +608,29 @@ def test_main_text_of_held_out_pages(spark):
         assert html.main_text(source, model) == " ".join(text.split())
 
 
+TOLD = "The town lies by the river, and people have lived there for long. They built a bridge in the old days. It still stands, though the water is high."
+LINKS = '<a href="/a">Home</a> <a href="/b">News</a> <a href="/c">About us</a>'
+#: Text that stands in containers themselves, and parts with names that the training pages don't pair in this way.
+STANDING = [
+    (f"<html><body><div>{TOLD}</div></body></html>", TOLD),
+    (f"<html><body><div><div><div>{TOLD}</div></div></div></body></html>", TOLD),
+    (f"<html><body><div id=header>{LINKS}</div><div id=col2>{TOLD}<br>{TOLD}</div><div id=footer>Copyright 2020</div></body></html>", f"{TOLD} {TOLD}"),
+    (f"<html><body><header>{LINKS}</header><div id=col2>{TOLD}<br><br>{TOLD}</div><footer>All rights reserved</footer></body></html>", f"{TOLD} {TOLD}"),
+    (f"<html><body><article><h1>Title</h1><p>{TOLD}</p><p>{TOLD}</p></article><section id=comments><div><p>{TOLD} I agree with it, really.</p></div></section></body></html>", f"Title {TOLD} {TOLD}"),
+    (f"<html><body><div class=story><p>{TOLD}</p><p>{TOLD}</p></div><div class=discussion><p>{TOLD}</p></div></body></html>", f"{TOLD} {TOLD}"),
+    (f"<html><body><div class=gdpr-bar>We use cookies to make this site work.</div><div class=entry><p>{TOLD}</p></div></body></html>", TOLD),
+    (f"<html><body><article><p>{TOLD}</p><div class=sponsored-content>Buy this now</div><p>{TOLD}</p></article></body></html>", f"{TOLD} {TOLD}"),
+    (f"<table><tr><td>{LINKS}</td><td>{TOLD}</td></tr></table>", TOLD),
+]
+
+
+@pytest.mark.parametrize("data", ["sf0.001", "sf0.1"])
+def test_text_that_stands_in_containers(spark, data):
+    model = html.fit_extractor(spark.read.parquet(f"/root/testdata/{data}/pages.parquet"))
+    for source, text in STANDING:
+        assert html.main_text(source, model) == text
+
+
 def test_odd_pages_take_linear_time_and_defined_results(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     model = html.fit_extractor(pages)

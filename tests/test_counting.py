@@ -2,7 +2,8 @@
 
 import random
 
-from tessella.operators import counting, retrieval
+from tessella.operators import counting, postings, retrieval
+from tessella.sources import tables
 
 
 def made(spark, n=3_000, asked=200):
@@ -38,6 +39,14 @@ def test_matches_are_counted_where_documents_are(spark):
     assert records < 200 * 5 * counting.tasks(spark) + 5_000
 
 
+def test_posting_search_shuffles_lists_and_no_matches(spark):
+    docs, queries, want = made(spark)
+    index = postings.build_posting_index(docs, tables.new_folder(spark, "postings"), width=500)
+    records, got = shuffled(spark, lambda: sorted(map(tuple, postings.search_postings(queries, index, 5).collect())))
+    assert got == want
+    assert records < index.blocks.count() + 200 * 5 * counting.tasks(spark) + 5_000
+
+
 def test_queries_in_blocks_are_all_answered(spark):
     docs, queries, want = made(spark, 400)
     assert sorted(map(tuple, retrieval.keyword_scan(queries, docs, 5, 100).collect())) == want

@@ -2,7 +2,7 @@
 
 import random
 
-from tessella.operators import counting, postings, retrieval
+from tessella.operators import counting, postings, rank, retrieval
 from tessella.sources import tables
 
 
@@ -50,3 +50,13 @@ def test_posting_search_shuffles_lists_and_no_matches(spark):
 def test_queries_in_blocks_are_all_answered(spark):
     docs, queries, want = made(spark, 400)
     assert sorted(map(tuple, retrieval.keyword_scan(queries, docs, 5, 100).collect())) == want
+
+
+def test_no_text_is_ranked_across_collections(spark):
+    long = "x" * 5_000
+    hits = spark.createDataFrame([(1, 1, 0, 0.5, 1, long), (1, 2, 1, 0.9, 1, long), (1, 3, 1, 0.8, 2, None), (1, 4, 0, 0.7, 2, "")], "query_id long, doc_id long, collection long, score double, rank int, content string")
+    for search, want in ((rank.multi_collection_search, [4, 1]), (rank.cross_workspace_search, [2, 3, 4, 1])):
+        found = search(hits)
+        assert [r.doc_id for r in found.orderBy("rank").collect()] == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "content" not in plan.split("Window", 1)[1].split("Project", 1)[0] and "sha2" in plan

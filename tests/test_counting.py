@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tessella.operators import counting, postings, rank, retrieval
 from tessella.sources import tables
 
@@ -60,3 +62,17 @@ def test_no_text_is_ranked_across_collections(spark):
         assert [r.doc_id for r in found.orderBy("rank").collect()] == want
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "content" not in plan.split("Window", 1)[1].split("Project", 1)[0] and "sha2" in plan
+
+
+def test_features_move_words_and_no_texts(spark):
+    docs = spark.createDataFrame([(1, "Deep deep blue SEAS " * 500), (2, "the sea"), (3, None), (4, "blue")], "doc_id long, text string")
+    prepared = rank.prepare_contents(docs, F.lit("a.txt"), F.lit("text"), F.lit(True))
+    assert "text" not in prepared.columns
+    asked = spark.createDataFrame([(7, "blue sea", "semantic", ["blue", "sea"]), (8, "eas", "code", ["eas"]), (9, "", "semantic", [])], "query_id long, query string, kind string, asked array<string>")
+    hits = spark.createDataFrame([(q, d, 0.5) for q in (7, 8, 9) for d in (1, 2, 3, 4, 5)], "query_id long, doc_id long, score double")
+    found, features = rank.rerank_features(hits, asked, prepared)
+    got = {(r.query_id, r.doc_id): r for r in found.select("query_id", "doc_id", "whole", "inside", features["keyword_match"].alias("m")).collect()}
+    assert {k: (r.whole, r.inside, r.m) for k, r in got.items() if k[1] < 5 and k[0] < 9} == {
+        (7, 1): (1, 2, 1.0), (7, 2): (1, 1, 0.75), (7, 3): (0, 0, 0.0), (7, 4): (1, 1, 0.75), (8, 1): (0, 1, 0.5), (8, 2): (0, 0, 0.0), (8, 3): (0, 0, 0.0), (8, 4): (0, 0, 0.0),
+    }
+    assert len(got) == 12 and all(r.m == 0 for k, r in got.items() if k[0] == 9)

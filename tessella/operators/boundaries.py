@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,54 +53,109 @@ LANGUAGES = {
 METHOD = r"^\s*(def|function|public|private|protected)\s+\w+"
 
 
-def _numbered(text: Column) -> Column:
-    """Lines with number, indent (null if blank) and opened less closed braces."""
-    indent = lambda x: F.when(~x.rlike(r"^\s*$"), F.length(F.regexp_extract(x, r"^\s*", 0)))
-    return F.transform(lines_of(text), lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"), indent(x).alias("indent"), (occurrences(x, "{") - occurrences(x, "}")).alias("braces")))
+def _indents(lines: Column) -> Column:
+    """Of each line its indent, -1 if it is blank."""
+    return F.transform(lines, lambda x: F.when(x.rlike(r"^\s*$"), -1).otherwise(F.length(F.regexp_extract(x, r"^\s*", 0))))
 
 
-def _indent_end(lines: Column, start: Column) -> Column:
-    """The line before the next one that isn't blank and is indented no deeper; a blank start counts as not indented."""
-    after = F.filter(lines, lambda x: (x["n"] > start["n"]) & (x["indent"] <= F.coalesce(start["indent"], F.lit(0))))
-    return F.coalesce(F.get(after, F.lit(0))["n"] - 1, F.size(lines))
+def _occurrences(lines: pa.Array, marks: Iterable[str]) -> np.ndarray:
+    """How often each line has the marks, each without overlaps."""
+    return sum((pc.count_substring(lines, m).to_numpy().astype(np.int64) for m in marks), np.zeros(len(lines), np.int64))
 
 
-def _brace_end(lines: Column, start: Column) -> Column:
-    """The first later line at whose end as many braces are closed as opened since the start."""
-    zero = F.struct(F.lit(0).alias("open"), F.lit(None).cast("int").alias("end"))
-    step = lambda s, x: F.struct((s["open"] + x["braces"]).alias("open"), F.coalesce(s["end"], F.when((x["n"] > start["n"]) & (s["open"] + x["braces"] == 0), x["n"])).alias("end"))
-    return F.aggregate(F.slice(lines, start["n"], F.size(lines)), zero, step, lambda s: F.coalesce(s["end"], F.size(lines)))
+class Lines(NamedTuple):
+    """Lines of many documents behind each other: indents (-1 of a blank line), opened less closed braces, and words that count; and how many lines the longest document has."""
+
+    indent: np.ndarray
+    braces: np.ndarray
+    words: np.ndarray
+    longest: int
+
+
+def _brace_ends(lines: Lines, at: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each line ``at`` the first later one at whose end as many braces are closed as opened since; ``last``, the document's last one, if there is none."""
+    depth = np.cumsum(lines.braces)
+    level, n = depth - depth.min(initial=0), len(depth)
+    key = np.sort(level * n + np.arange(n))
+    before = level[at] - lines.braces[at]
+    place = np.searchsorted(key, before * n + at, "right")
+    found = key[np.minimum(place, n - 1)]
+    ok = (place < n) & (found // n == before) & (found % n <= last)
+    return np.where(ok, found % n, last)
+
+
+def _indent_ends(lines: Lines, at: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each line ``at`` the one before the next that isn't blank and is indented no deeper, told by the least indents of 1, 2, 4 and so on lines; a blank start counts as not indented."""
+    own = np.maximum(lines.indent[at], 0)
+    least = [np.where(lines.indent < 0, np.iinfo(np.int32).max, lines.indent).astype(np.int32)]
+    while 2 ** len(least) <= lines.longest:
+        half = 2 ** (len(least) - 1)
+        least.append(np.minimum(least[-1][:-half], least[-1][half:]))
+    after = at + 1
+    for k in range(len(least) - 1, -1, -1):
+        deeper = after + 2**k <= last + 1
+        deeper[deeper] = least[k][after[deeper]] > own[deeper]
+        after = after + deeper * 2**k
+    return after - 1
+
+
+def _blocks(docs: DataFrame, text: Column, hits: Column, indented: bool = False, words: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, type, name, start_line, end_line, words) of the ``hits`` (type, name, n, last) of each document's lines: up to ``last``, or where that is null to the end of the block; ``words`` are counted whatever their case.
+
+    A task takes the lines of many documents at once. Blocks end and add up by running sums, so work grows with lines and hits, not
+    with lines times hits.
+    """
+    words = tuple(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, text, hits, *indent = batch.columns
+            size, line = pc.list_value_length(text).to_numpy(), text.flatten()
+            first = np.r_[0, np.cumsum(size)]
+            braces = _occurrences(line, "{") - _occurrences(line, "}")
+            lines = Lines(indent[0].flatten().to_numpy() if indent else braces, braces, _occurrences(line, words), int(size.max(initial=0)))
+            own, hit = pc.list_parent_indices(hits).to_numpy(), hits.flatten()
+            kind, name, n, last = (pc.struct_field(hit, k) for k in range(4))
+            at, fixed = n.to_numpy().astype(np.int64) - 1 + first[own], pc.fill_null(last, 0).to_numpy()
+            end = np.where(fixed > 0, fixed - 1 + first[own], (_indent_ends if indented else _brace_ends)(lines, at, first[own + 1] - 1))
+            so_far = np.r_[0, np.cumsum(lines.words)]
+            columns = [doc.take(pa.array(own)), kind, name, n, pa.array(end - first[own] + 1, pa.int32()), pa.array(so_far[end + 1] - so_far[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "type", "name", "start_line", "end_line", "words"])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    # what goes to the task has no filter above it, which would work out the hits twice
+    rows = docs.select("doc_id", lines_of(F.lower(text)).alias("_low"), hits.alias("_hits"), *([_indents(F.col("_l")).alias("_indent")] if indented else []))
+    return rows.mapInArrow(run, f"doc_id {key}, type string, name string, start_line int, end_line int, words long")
 
 
 def brace_block_ends(docs: DataFrame, begins: str, text_col: str = "text") -> DataFrame:
     """CHK6: (doc_id, start_line, end_line) of each line that ``begins`` hits, up to where its braces are closed, else the last line."""
-    rows = docs.select("doc_id", _numbered(F.col(text_col)).alias("_lines"))
-    starts = rows.select("doc_id", "_lines", F.explode(F.filter("_lines", lambda x: x["x"].rlike(begins))).alias("s"))
-    return starts.select("doc_id", F.col("s.n").alias("start_line"), _brace_end(F.col("_lines"), F.col("s")).alias("end_line"))
+    rows = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("_text"), lines_of(F.col(text_col)).alias("_l"))
+    hit = lambda x, i: F.when(x.rlike(begins), F.struct(F.lit("").alias("type"), F.lit("").alias("name"), (i + 1).alias("n"), F.lit(None).cast("int").alias("last")))
+    found = _blocks(rows, F.col("_text"), F.filter(F.transform("_l", hit), lambda s: s.isNotNull()))
+    return found.select("doc_id", "start_line", "end_line")
 
 
 def language_boundaries(docs: DataFrame, language: str, text_col: str = "text") -> DataFrame:
     """CHK4: (doc_id, type, name, start_line, end_line, complexity): all imports as one range, then functions and classes to the ends of their blocks.
 
     A line that two patterns of a kind hit gives two rows. Complexity is one and the language's words in the block's
-    text, parts of other words too, at most 10; 1 for imports.
+    text, parts of other words too, at most 10; 1 for imports. No word goes over a line, so a line's words are counted once.
     """
     own = LANGUAGES[language]
-    rows = docs.select("doc_id", _numbered(F.col(text_col)).alias("_lines"))
+    rows = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("_text"), lines_of(F.col(text_col)).alias("_l"))
 
     def hit(kind: str, p: str) -> Column:
-        return F.transform(F.filter("_lines", lambda s: s["x"].rlike(p)), lambda s: F.struct(F.lit(kind).alias("type"), F.regexp_extract(s["x"], p, 1).alias("name"), s["n"].alias("n"), s["indent"].alias("indent")))
+        found = F.transform("_l", lambda x, i: F.when(x.rlike(p), F.struct(F.lit(kind).alias("type"), F.regexp_extract(x, p, 1).alias("name"), (i + 1).alias("n"), F.lit(None).cast("int").alias("last"))))
+        return F.filter(found, lambda s: s.isNotNull())
 
     hits = lambda kind: [hit(kind, p) for p in own[kind]]
     at = F.transform(F.concat(*hits("import")), lambda h: h["n"])
-    imports = F.when(F.size(at) > 0, F.array(F.struct(F.lit("imports").alias("type"), F.lit("imports").alias("name"), F.array_min(at).alias("n"), F.array_max(at).alias("indent"))))
-    every = F.concat(F.coalesce(imports, F.array().cast("array<struct<type:string,name:string,n:int,indent:int>>")), *hits("function"), *hits("class"))
-    each = rows.select("doc_id", "_lines", F.explode(every).alias("s"))
-    block = (_indent_end if language == "python" else _brace_end)(F.col("_lines"), F.col("s"))
-    each = each.withColumn("end_line", F.when(F.col("s.type") == "imports", F.col("s.indent")).otherwise(block))
-    content = F.lower(F.array_join(F.transform(F.slice("_lines", F.col("s.n"), F.col("end_line") - F.col("s.n") + 1), lambda x: x["x"]), "\n"))
-    complexity = F.when(F.col("s.type") == "imports", 1).otherwise(F.least(sum((occurrences(content, w) for w in own["words"]), F.lit(1)), F.lit(10)))
-    return each.select("doc_id", "s.type", "s.name", F.col("s.n").alias("start_line"), "end_line", complexity.alias("complexity"))
+    imports = F.when(F.size(at) > 0, F.array(F.struct(F.lit("imports").alias("type"), F.lit("imports").alias("name"), F.array_min(at).alias("n"), F.array_max(at).alias("last"))))
+    every = F.concat(F.coalesce(imports, F.array().cast("array<struct<type:string,name:string,n:int,last:int>>")), *hits("function"), *hits("class"))
+    found = _blocks(rows, F.col("_text"), every, language == "python", own["words"])
+    complexity = F.when(F.col("type") == "imports", 1).otherwise(F.least(F.col("words") + 1, F.lit(10))).cast("int")
+    return found.select("doc_id", "type", "name", "start_line", "end_line", complexity.alias("complexity"))
 
 
 def heuristic_chunks(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -3,7 +3,9 @@
 import itertools
 import json
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import boundaries as B
@@ -82,6 +84,33 @@ def test_python_boundaries_join_imports(spark):
     assert sorted((r.type, r.name, r.start_line, r.end_line) for r in rows) == [("class", "C", 8, 9), ("function", "f", 3, 6), ("function", "f", 3, 6), ("imports", "imports", 1, 7)]
 
 
+def test_blocks_of_many_lines_against_a_plain_loop(spark):
+    rnd = random.Random(11)
+    lines = ["def f(x):", "    if a:", "fn g() {", "  }", "", "  } else {", "x", "\tfor y in z: {", "class A:", "import b", "use a::b;"]
+    texts = {i: "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 80))) for i in range(60)}
+    texts[60] = "\n".join(["fn g() {"] * 8_000)  # block by block that is 32 million lines
+    frame = spark.createDataFrame([*texts.items(), (61, None)], "doc_id long, text string").coalesce(1)
+    for language, begins, uses in (("python", ("def f", "class A"), "import b"), ("rust", ("fn g",), "use a")):
+        want = []
+        for i, text in texts.items():
+            rows = text.split("\n")
+            at = [n for n, x in enumerate(rows) if uses in x]
+            want += [(i, at[0] + 1, at[-1] + 1, 1)] if at else []
+            count = [sum(x.lower().count(w) for w in B.LANGUAGES[language]["words"]) for x in rows]
+            size, depth = [len(x) - len(x.lstrip()) for x in rows], np.cumsum([x.count("{") - x.count("}") for x in rows])
+            for n, x in enumerate(rows):
+                if x.startswith(begins):
+                    before = depth[n - 1] if n else 0
+                    if language == "python":
+                        end = next((m - 1 for m in range(n + 1, len(rows)) if rows[m].strip() and size[m] <= size[n]), len(rows) - 1)
+                    else:
+                        end = len(rows) - 1 if i == 60 else next((m for m in range(n + 1, len(rows)) if depth[m] == before), len(rows) - 1)
+                    want.append((i, n + 1, end + 1, min(10, 1 + sum(count[n : end + 1]))))
+        began = time.time()
+        got = sorted((r.doc_id, r.start_line, r.end_line, r.complexity) for r in B.language_boundaries(frame, language).collect())
+        assert got == sorted(want) and time.time() - began < 30
+
+
 def test_heuristic_chunks_against_a_plain_loop(spark):
     rnd = random.Random(5)
     lines = ["def f(x):", "class A(B):", "  async def g():", "# a longer comment", "# short", "", "x = 1", "import os"]

@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -199,3 +200,16 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         tables.settled(type("Frame", (), {"sparkSession": Session()})())
+
+
+def test_the_best_are_found_without_copies_of_the_scores():
+    rnd = np.random.default_rng(3)
+    score = rnd.integers(0, 500, (2_048, 1_500)) / 500
+    best = vectors._Best(len(score), 5)
+    tracemalloc.start()
+    best.add(score, np.arange(score.shape[1]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < score.nbytes / 2
+    want = np.argsort(-score, axis=1, kind="stable")[:, :5]
+    assert (best.id.reshape(-1, 5) == want).all() and (best.score.reshape(-1, 5) == np.take_along_axis(score, want, 1)).all()

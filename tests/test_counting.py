@@ -76,3 +76,22 @@ def test_features_move_words_and_no_texts(spark):
         (7, 1): (1, 2, 1.0), (7, 2): (1, 1, 0.75), (7, 3): (0, 0, 0.0), (7, 4): (1, 1, 0.75), (8, 1): (0, 1, 0.5), (8, 2): (0, 0, 0.0), (8, 3): (0, 0, 0.0), (8, 4): (0, 0, 0.0),
     }
     assert len(got) == 12 and all(r.m == 0 for k, r in got.items() if k[0] == 9)
+
+
+def without_broadcasts(spark, run):
+    """Records that ``run`` shuffles, and what it gives, where no join is small enough to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        return shuffled(spark, run)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hits_meet_their_queries_by_number(spark):
+    asked = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"]), (3, ["a", "b"])], "query_id long, _set array<string>")
+    sets = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "_rep long, _set array<string>")
+    lists = spark.createDataFrame([(r, f, [10 * f + i for i in range(3)]) for r in (1, 2) for f in range(1, 200)], "_rep long, found int, docs array<long>")
+    n = 2 * 199
+    records, got = without_broadcasts(spark, lambda: retrieval.scored(asked, sets, counting.best_of(lists, 600)).count())
+    # lists are shuffled once, and the 3 * n hits made of them are not
+    assert got == 3 * 3 * 199 and records < 1.5 * n

@@ -95,3 +95,16 @@ def test_hits_meet_their_queries_by_number(spark):
     records, got = without_broadcasts(spark, lambda: retrieval.scored(asked, sets, counting.best_of(lists, 600)).count())
     # lists are shuffled once, and the 3 * n hits made of them are not
     assert got == 3 * 3 * 199 and records < 1.5 * n
+
+
+def test_hits_are_shuffled_by_query_document_and_query(spark):
+    n = 40
+    docs = spark.createDataFrame([(d, f"def deep {d} because step") for d in range(n)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"how function {q}", ("code", "question")[q % 2], ["how", "deep", str(q)]) for q in range(n)], "query_id long, query string, kind string, asked array<string>")
+    hits = spark.createDataFrame([(q, d, (q * d) % 7 / 7) for q in range(n) for d in range(n)], "query_id long, doc_id long, score double")
+    prepared = rank.prepare_contents(docs, F.lit("a.txt"), F.lit("text"), F.lit(True))
+    records, got = without_broadcasts(spark, lambda: rank.rerank(*rank.rerank_features(hits, asked, prepared)).count())
+    assert got == 10 * n and records < 3.5 * n * n
+    found, features = rank.rerank_features(hits, asked, prepared)
+    rows = found.select("query_id", features["code_relevance"].alias("c"), features["answer_likelihood"].alias("a")).distinct().collect()
+    assert {(r.c, r.a) for r in rows if r.query_id % 2} == {(None, 0.1 + 0.2)} and {(round(r.c, 6), r.a) for r in rows if r.query_id % 2 == 0} == {(0.4, None)}

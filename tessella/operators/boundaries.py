@@ -49,6 +49,8 @@ LANGUAGES = {
         "words": ("if", "else", "for", "while", "loop", "match", "async", "await", "unsafe"),
     },
 }
+#: Of the marks that stand in one of these patterns, its every match holds the first.
+MARKS = ("=>", "function", "class", "struct", "enum", "trait", "import", "require", "using", "def", "func", "fn", "use")
 #: Lines that begin a method, by which a class is split.
 METHOD = r"^\s*(def|function|public|private|protected)\s+\w+"
 
@@ -128,6 +130,12 @@ def _blocks(docs: DataFrame, text: Column, hits: Column, indented: bool = False,
     return rows.mapInArrow(run, f"doc_id {key}, type string, name string, start_line int, end_line int, words long")
 
 
+def _hit(line: Column, pattern: str) -> Column:
+    """Whether a line has a match of one of LANGUAGES' patterns, which is looked for only where its mark stands."""
+    mark = next((m for m in MARKS if m in pattern), None)
+    return F.contains(line, F.lit(mark)) & line.rlike(pattern) if mark else line.rlike(pattern)
+
+
 def brace_block_ends(docs: DataFrame, begins: str, text_col: str = "text") -> DataFrame:
     """CHK6: (doc_id, start_line, end_line) of each line that ``begins`` hits, up to where its braces are closed, else the last line."""
     rows = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("_text"), lines_of(F.col(text_col)).alias("_l"))
@@ -146,7 +154,7 @@ def language_boundaries(docs: DataFrame, language: str, text_col: str = "text")
     rows = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.col(text_col).alias("_text"), lines_of(F.col(text_col)).alias("_l"))
 
     def hit(kind: str, p: str) -> Column:
-        found = F.transform("_l", lambda x, i: F.when(x.rlike(p), F.struct(F.lit(kind).alias("type"), F.regexp_extract(x, p, 1).alias("name"), (i + 1).alias("n"), F.lit(None).cast("int").alias("last"))))
+        found = F.transform("_l", lambda x, i: F.when(_hit(x, p), F.struct(F.lit(kind).alias("type"), F.regexp_extract(x, p, 1).alias("name"), (i + 1).alias("n"), F.lit(None).cast("int").alias("last"))))
         return F.filter(found, lambda s: s.isNotNull())
 
     hits = lambda kind: [hit(kind, p) for p in own[kind]]

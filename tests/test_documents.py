@@ -177,3 +177,14 @@ def test_running_averages_do_not_depend_on_ranges(spark):
         for k, total in enumerate(itertools.accumulate(r[2] for r in own), 1):
             want[own[k - 1][0]] = round(total / k, 6)
     assert all(abs(want[r.run_id] - r.avg_duration) < 2e-6 for r in chunks.run_stats(frame, 7).collect())
+
+
+def test_patterns_are_looked_for_where_their_marks_stand(spark):
+    lines = {
+        "def f(x)": "python", "class C(D):": "python", "from a import b": "python", "f = (a) =>": "javascript", "f = function": "javascript", "require ('x')": "javascript", "func (r T) f(": "go", "type T struct": "go",
+        "f = () : T =>": "typescript", "public int f(": "java", "import static a.b;": "java", "static class C": "csharp", "using a.b;": "csharp", "async fn f(": "rust", "enum E": "rust", "trait T": "rust", "use a::b;": "rust",
+    }
+    for line, language in lines.items():
+        found = B.language_boundaries(spark.createDataFrame([(1, f"plain\n{line}\nEnd"), (2, "plain")], "doc_id long, text string"), language)
+        assert {(r.doc_id, r.start_line) for r in found.collect()} == {(1, 2)}, line
+        assert "Contains" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -62,7 +62,7 @@ def test_what_is_written_of_the_pairs_takes_little_room(spark, tmp_path):
     users = spark.range(4_000).selectExpr("id * 977 AS user_id", "'u' || id AS user_name", "id % 5 AS workspace_id")
     collections = spark.range(1_000).selectExpr("id * 983 AS collection_id", "id % 5 AS workspace_id", "id * 977 AS owner_id", "if(id % 3 > 0, 'public', 'private') AS visibility")
     members = spark.range(1_000).selectExpr("id * 983 AS collection_id", "id * 977 AS user_id", "'editor' AS role", "true AS is_active")
-    for name, rows in (("three", access.check_workspace(collections, users, members, "write")), ("five", access.workspace_collections(collections, users, members))):
+    for name, rows in (("one", access.accessible_collections(collections, members, users)), ("three", access.check_workspace(collections, users, members, "write")), ("five", access.workspace_collections(collections, users, members))):
         rows.coalesce(2).write.parquet(str(tmp_path / name))
         n = spark.read.parquet(str(tmp_path / name)).count()
         assert n > 500_000 and sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet")) < 0.4 * n

@@ -2,6 +2,7 @@
 
 import random
 
+from corpus_pipeline import drop_near_duplicates
 from tessella.llm import setjoin
 from tessella.llm.common import match_ids
 
@@ -48,3 +49,16 @@ def test_ids_meet_documents_in_parts(spark):
         assert sorted(r.doc_id for r in match_ids(docs, ids, "inner", n).collect()) == [0, 7, 7, *range(14, 50, 7)]
         left = [r.text for r in match_ids(docs, ids, "left_anti", n).collect()]
         assert sorted(left) == sorted(["none", *(f"t{i}" for i in range(50) if i % 7)])
+
+
+def test_the_pipeline_does_not_shuffle_texts_to_drop_copies(spark):
+    rows = texts(300, 1_500)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*rows, rows[0]])], "doc_id long, text string, lang string")
+    threshold, batch = (spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        size, n = moved(spark, lambda: drop_near_duplicates(spark, docs, "").selectExpr("sum(length(text))").first()[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert n == sum(map(len, rows)) and size < 0.5 * n

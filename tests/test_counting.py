@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.operators import counting, postings, rank, retrieval
@@ -108,3 +110,25 @@ def test_hits_are_shuffled_by_query_document_and_query(spark):
     found, features = rank.rerank_features(hits, asked, prepared)
     rows = found.select("query_id", features["code_relevance"].alias("c"), features["answer_likelihood"].alias("a")).distinct().collect()
     assert {(r.c, r.a) for r in rows if r.query_id % 2} == {(None, 0.1 + 0.2)} and {(round(r.c, 6), r.a) for r in rows if r.query_id % 2 == 0} == {(0.4, None)}
+
+
+def test_known_documents_are_not_sorted_again(monkeypatch):
+    rnd = np.random.RandomState(9)
+    n, docs, k = 40, 600, 50
+    has = rnd.rand(docs, 12) < 0.4
+    sets = [np.flatnonzero(rnd.rand(12) < 0.6) for _ in range(n)]
+    asked = counting.Queries(np.arange(n), pa.array([str(i) for i in range(12)]), np.cumsum([0, *map(len, sets)]), np.concatenate(sets))
+    best, sizes, lexsort = counting.Most(asked, k, 20), [], np.lexsort
+    monkeypatch.setattr(counting.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or lexsort(keys))
+    ids = rnd.permutation(docs) * 3 - 200
+    for lo in range(0, docs, 60):
+        row, token = np.nonzero(has[lo : lo + 60])
+        best.add(counting.shard_of(ids[lo : lo + 60], row, token, 12))
+        if lo + 60 < docs:
+            continue
+        for q, own in enumerate(sets):
+            count = has[:, own].sum(1)
+            want = sorted((-c, i) for c, i in zip(count.tolist(), ids.tolist()) if c)[:k]
+            assert [(-c, i) for c, i in zip(best.found[q].tolist(), best.doc[q].tolist()) if c] == want
+    # a shard has 60 documents, few of which are better than the 50 known ones; the known ones of 40 queries are 2,000
+    assert max(sizes[-3:]) < 1_000
